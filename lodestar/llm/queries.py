@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm import langid, quality
 from lodestar.llm.common import Scratch
 from lodestar.llm.decontaminate import contamination
 from lodestar.llm.dedup_exact import exact_dedup
+from lodestar.llm.licenses import license_scan
 from lodestar.llm.packing import pack
+from lodestar.llm.sharding import shuffle_to_shards
+from lodestar.llm.simhash import simhash_classes
+from lodestar.llm.token_counts import TokenLedger, counted
 from lodestar.llm.token_files import read_token_files, token_files
 from lodestar.plans.registry import Registry, table
 
@@ -35,6 +40,69 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 """
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@REGISTRY.query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(4) != 2))
+    return langid.identify(docs, model, keep=[F.col("doc_id"), (_fold(4) == 2).alias("held_out")])
+
+
+@REGISTRY.query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """licenses: the distinct names found, in order; spans: license@first_word+n_words."""
+    found = license_scan(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    return found.select(
+        "doc_id",
+        F.size("matches").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat(m["license"], F.lit("@"), m["first_word"].cast("string"), F.lit("+"), m["n_words"].cast("string"))), ",").alias("spans"),
+    )
+
+
+@REGISTRY.query("op3_token_rollups")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after four commits, one of them repeated.
+
+    Tokenizer word_bpe_49k: every document is inserted once. Tokenizer words: every
+    document is inserted with an estimate (a quarter of its bytes) and then revised to its
+    number of words. A last batch takes the rows of a withdrawn source, src19, out of the
+    words counts.
+    """
+    docs = table(spark, sf_dir, "documents")
+    ledger = TokenLedger(spark, f"{Scratch(spark).path}/tokens")
+    keys = [F.col("source"), F.col("lang")]
+    none = F.lit(None).cast("long")
+    bpe = counted(docs, keep=keys).select(F.lit("insert").alias("op"), "source", "lang", F.lit("word_bpe_49k").alias("tokenizer"), "n_tokens", none.alias("old_tokens"))
+    estimate = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    plain = docs.select(*keys, F.lit("words").alias("tokenizer"), estimate.alias("estimate"), words.alias("words"))
+    ledger.commit("0-bpe", bpe)
+    ledger.commit("1-estimates", plain.select(F.lit("insert").alias("op"), *keys, "tokenizer", F.col("estimate").alias("n_tokens"), none.alias("old_tokens")))
+    revised = plain.select(F.lit("revise").alias("op"), *keys, "tokenizer", F.col("words").alias("n_tokens"), F.col("estimate").alias("old_tokens"))
+    for _ in range(2):  # the second time changes nothing
+        ledger.commit("2-words", revised)
+    ledger.commit("3-withdrawn", plain.where("source = 'src19'").select(F.lit("delete").alias("op"), *keys, "tokenizer", none.alias("n_tokens"), F.col("words").alias("old_tokens")))
+    return ledger.totals()
+
+
+@REGISTRY.query("op4_quality_fm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    usable = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable)
+    return quality.classify(docs, model, keep=[F.col("doc_id"), (_fold(5) == 0).alias("held_out")])
+
+
+@REGISTRY.query("op5_hypergeometric_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shuffle_to_shards(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @REGISTRY.query("op6_benchmark_decontamination", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +121,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_to")
 
 
+@REGISTRY.query("op9_simhash_bktree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op10_content_sort_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

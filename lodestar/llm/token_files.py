@@ -61,9 +61,11 @@ class TokenWriter:
             self._flush()
 
     def _flush(self, last: bool = False) -> None:
+        """Writes full batches, and at last also a partial one: all batches but the last are alike."""
         flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
-        whole = len(flat) // self.sequence
-        body, rest = flat[: whole * self.sequence], flat[whole * self.sequence :]
+        unit = self.sequence * (1 if last else BATCH)
+        whole = len(flat) // unit * unit
+        body, rest = flat[:whole], flat[whole:]
         mask = np.ones(len(body), bool)
         if last and len(rest):
             body = np.concatenate([body, rest, np.zeros(self.sequence - len(rest), self.dtype)])
@@ -124,6 +126,8 @@ class TokenFile:
         while n > 0:
             k, at = divmod(start, span)
             part = self._values(k, 0).to_numpy(zero_copy_only=True)[at : at + n]
+            if not len(part):
+                raise ValueError(f"{self.name} ends before token {start}")
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, "<u2")
@@ -134,7 +138,7 @@ class TokenFile:
             yield from zip(*(c.to_pylist() for c in reader.get_batch(k).columns), strict=True)
 
 
-def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes all documents in ascending id order; one row a file: part, at, name, n_tokens.
 
     Every document ends with `end_id`; null and empty texts are that id alone. Rows with a
@@ -157,7 +161,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
                     if out is None:
                         out = TokenWriter(folder, f"part-{part:06d}-{len(done):04d}", sequence, dtype)
                     out.add(doc_id, np.concatenate([np.frombuffer(raw, "<u4"), end]))
-                    if out.tokens >= FILE_TOKENS:
+                    if out.tokens >= file_tokens:
                         done.append(out.close())
                         out = None
         if out is not None:
