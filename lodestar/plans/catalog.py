@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from lodestar.plans import retrieval
 from lodestar.plans.registry import Registry
 
 REGISTRY = Registry()
+for part in (retrieval.R,):
+    for name, query in part.queries.items():
+        REGISTRY.query(name, part.oracles.get(name))(query)
