@@ -2,45 +2,74 @@
 
 The vocabulary's pre-tokenizer never joins text across ASCII white space, and its
 normaliser lower-cases, so a text's ids are the concatenated ids of its white-space
-separated words with A-Z lowered. Each distinct word is encoded once per worker, by the
-library, and looked up afterwards. Texts that could hold special tokens go to the library
-whole, as do the words of other vocabularies (`by_word=False`).
+separated words with A-Z lowered. Nor does it join a letter or digit with the ASCII marks
+after it, so a word's closing marks have ids of their own. Each distinct word without them
+is encoded once per worker, by the library, and looked up afterwards. Texts that could
+hold special tokens go to the library whole, as do those of other vocabularies
+(`by_word=False`).
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: distinct words that a worker remembers; beyond it the memory is emptied and filled anew
-MEMORY = 400_000
-#: bytes of text that are split at a time
+#: words with and without closing marks that a worker remembers; beyond it a memory is filled anew
+MEMORY, STEMS = 500_000, 900_000
+#: bytes of a text that are split at a time
 BLOCK = 1 << 22
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Stems(dict):
+    def __init__(self, tokenizer, limit: int) -> None:
+        super().__init__()
+        self.encode, self.limit = tokenizer.encode, limit
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = np.array(self.encode(word.decode(), None, False, False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
+class _Words(dict):
+    def __init__(self, stems: _Stems, limit: int) -> None:
+        super().__init__()
+        self.stems, self.limit = stems, limit
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        stem = word.rstrip(_MARKS)
+        if stem and len(stem) < len(word) and (stem[-1:].isalnum() or stem.decode()[-1].lower()[-1].isalpha()):
+            ids = self.stems[stem] + self.stems[word[len(stem) :]]
+        else:
+            ids = self.stems[word]
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    def __init__(self, path: str, by_word: bool = True) -> None:
+    def __init__(self, path: str, by_word: bool = True, memory: int = MEMORY, stems: int = STEMS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
-        self.ids: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = _Words(_Stems(self.tokenizer, stems), memory)
 
-    def _split(self, raw: bytes) -> Iterator[list[bytes]]:
+    def _split(self, raw: bytes, block: int) -> Iterator[list[bytes]]:
         """Words in blocks, so that a huge text isn't held as a list of all its words."""
         at = 0
         while at < len(raw):
-            end = at + BLOCK
+            end = at + block
             if end < len(raw):
                 cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
                 end = cut if cut > at else end
@@ -49,49 +78,19 @@ class Encoder:
             yield raw[at:end].split()
             at = end
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        new = list(set(words).difference(self.ids))
-        if len(self.ids) + len(new) > MEMORY:
-            self.ids.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.ids.update(zip(part, self._library([w.decode() for w in part]), strict=True))
+    def one(self, text: str | None, block: int = BLOCK) -> bytes:
+        """The ids of a text, 4 bytes each, little-endian; null as the empty text."""
+        if not text:
+            return b""
+        if not self.by_word or "<|" in text:
+            return np.array(self.tokenizer.encode(text, None, False, False).ids, dtype="<u4").tobytes()
+        ids, raw = self.words.__getitem__, text.encode().lower()
+        if len(raw) <= block:
+            return b"".join(map(ids, raw.split()))
+        return b"".join(b"".join(map(ids, words)) for words in self._split(raw, block))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, 4 bytes each, little-endian; null as the empty text."""
-        out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[list[bytes]]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.by_word or "<|" in text:
-                out[i] = self._library([text])[0]
-                continue
-            raw = text.encode().lower()
-            if len(raw) > BLOCK:
-                pieces = []
-                for words in self._split(raw):
-                    self._learn(words)
-                    pieces.append(b"".join(map(self.ids.__getitem__, words)))
-                out[i] = b"".join(pieces)
-                continue
-            plain.append((i, [raw.split()]))
-            size += len(raw)
-            if size > BLOCK:
-                self._flush(plain, out)
-                plain, size = [], 0
-        self._flush(plain, out)
-        return out
-
-    def _flush(self, plain: list[tuple[int, list[list[bytes]]]], out: list[bytes]) -> None:
-        if not plain:
-            return
-        self._learn(list(chain.from_iterable(words for _, (words,) in plain)))
-        get = self.ids.__getitem__
-        for i, (words,) in plain:
-            out[i] = b"".join(map(get, words))
+        return [self.one(text) for text in texts]
 
 
 @lru_cache(maxsize=2)
