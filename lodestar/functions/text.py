@@ -162,6 +162,10 @@ def title_terms(c: Column | str, stopwords: tuple[str, ...] = TITLE_STOPWORDS) -
     return F.array_except(F.array_distinct(found), strings(stopwords))
 
 
+def _cue_of(kind: str):
+    return lambda number: F.concat(F.lit(f"{kind}:"), F.when(number == "", F.lit("0")).otherwise(number))
+
+
 def report_cues(c: Column | str, families: dict[str, str] = REPORT_CUES) -> Column:
     """Identifiers such as tg:100, leading zeros dropped."""
     plain = normalize_ws(F.translate(text_or_empty(c), "_-", "  "))
@@ -169,7 +173,7 @@ def report_cues(c: Column | str, families: dict[str, str] = REPORT_CUES) -> Colu
     for kind, pattern in families.items():
         numbers = F.regexp_extract_all(F.lower(plain), F.lit(pattern), F.lit(1))
         bare = F.transform(numbers, lambda n: F.ltrim(n, F.lit("0")))
-        parts.append(F.transform(bare, lambda n, kind=kind: F.concat(F.lit(f"{kind}:"), F.when(n == "", F.lit("0")).otherwise(n))))
+        parts.append(F.transform(bare, _cue_of(kind)))
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
