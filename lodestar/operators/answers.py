@@ -24,7 +24,8 @@ def sentence_candidates(evidence: DataFrame, weak: tuple[str, ...] = WEAK_SECTIO
     overlap = share_of(F.array_distinct(query_terms("question")), token_set("sentence"))
     score = overlap + 0.20 / F.col("rank") - F.when(section.isin(*weak), 0.65).otherwise(0.0) - F.when(section == UNKNOWN, 0.03).otherwise(0.0)
     rows = rows.withColumn("score", F.round(score, 6)).withColumn("body", ~section.isin(*weak))
-    return rows.where(F.col("body") | ~F.max("body").over(Window.partitionBy("qid"))).drop("body")
+    rows = rows.withColumn("any_body", F.max("body").over(Window.partitionBy("qid")))
+    return rows.where("body OR NOT any_body").drop("body", "any_body")
 
 
 def semantic_order(candidates: DataFrame, model: Column | None = None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.plans import retrieval, textual
+from lodestar.plans import corpus, evaluation, retrieval, textual
 from lodestar.plans.registry import Registry
 
 REGISTRY = Registry()
-for part in (retrieval.R, textual.R):
+for part in (retrieval.R, textual.R, corpus.R, evaluation.R):
     for name, query in part.queries.items():
         REGISTRY.query(name, part.oracles.get(name))(query)

@@ -13,7 +13,7 @@ from lodestar.plans.sql import BM25, CHUNKS, HYBRID, tok, tokset
 from lodestar.sources import adapters
 
 R = Registry()
-TEXT = F.col("text")
+TEXT = "text"
 
 
 def chunks_of(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,3 +50,6 @@ merged AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.chunk_id, s.chunk_id
  coalesce(d.score, 0.0) AS dense_score, coalesce(s.score, 0.0) AS bm25_score, d.rank IS NOT NULL AS dense_hit, s.rank IS NOT NULL AS bm25_hit,
  round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 8) AS fusion_score FROM dense d FULL JOIN sparse s ON d.qid = s.qid AND d.chunk_id = s.chunk_id),
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fusion_score DESC, corpus_pos) AS retrieval_rank FROM merged QUALIFY retrieval_rank <= 20)"""
+
+#: chunks, sparse and hybrid rankings
+RERANK_HEAD = HYBRID
