@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,6 @@ def model_scorer(predict):
     The hook for cross-encoders and sequence classifiers: of several outputs a pair, the
     last is its score.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def score(question: pd.Series, text: pd.Series) -> pd.Series:
         raw = predict(list(zip(question.fillna(""), text.fillna(""), strict=True)))

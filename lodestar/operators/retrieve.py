@@ -9,6 +9,7 @@ Scores are rounded to six places before ranking, with corpus position as the tie
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,8 +164,6 @@ def model_embedding(encode, dimension: int):
     The hook for neural encoders: texts travel in Arrow batches and `encode` is shipped
     once a task.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v))[:dimension] for v in encode(texts.fillna("").tolist())])

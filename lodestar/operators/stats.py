@@ -10,11 +10,12 @@ Z95 = 1.959963984540054
 
 def wilson(successes: Column, total: Column, z: float = Z95) -> Column:
     """Struct low, high of the Wilson score interval; 0, 0 for no trials."""
-    n = F.nullif(total.cast("double"), F.lit(0.0))
+    n = F.greatest(total.cast("double"), F.lit(1.0))
     p = successes / n
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     margin = z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)
-    return F.struct(F.coalesce(F.greatest(F.lit(0.0), centre - margin), F.lit(0.0)).alias("low"), F.coalesce(F.least(F.lit(1.0), centre + margin), F.lit(0.0)).alias("high"))
+    low, high = F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
+    return F.struct(F.when(total > 0, low).otherwise(0.0).alias("low"), F.when(total > 0, high).otherwise(0.0).alias("high"))
 
 
 def log_factorial(n: Column) -> Column:
