@@ -59,8 +59,9 @@ class Engine:
             hits = retrieve.rrf(retrieve.dense_search(asked, self.vectors, tie="corpus_pos"), sparse, k)
         else:
             hits = retrieve.sparse_only(sparse, k)
-        hits = retrieve.small(hits.drop("corpus_pos"))
-        return self.chunks.join(hits, "chunk_id").join(retrieve.small(questions.select("qid", "question")), "qid")
+        n = questions.count()
+        hits = retrieve.sized(hits.drop("corpus_pos"), n * k)
+        return self.chunks.join(hits, "chunk_id").join(retrieve.sized(questions.select("qid", "question"), n), "qid")
 
     def evidence(self, questions: DataFrame, backend: str = "auto", limit: int | None = None) -> DataFrame:
         """Ranked, refined evidence rows. backend: sparse, hybrid, auto or routed."""

@@ -23,9 +23,14 @@ DIGITS = 6
 BROADCAST_ROWS = 100_000
 
 
+def sized(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast if its known bound of n rows is at most `rows`; else joined by shuffle."""
+    return F.broadcast(df) if n <= rows else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast if a count that stops early says it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The same for a cheap table, by a count that stops early."""
+    return sized(df, df.limit(rows + 1).count(), rows)
 
 
 def top_k(df: DataFrame, k: int, by: list[str | Column], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -40,9 +45,12 @@ def best(k: int, score: str, rank: str = "rank", by: str = "qid", tie: str = "co
 # --- inverted index -----------------------------------------------------------
 
 
-def postings(chunks: DataFrame, text: Column, id_col: str = "chunk_id") -> DataFrame:
-    """(token, chunk_id, tf)."""
-    return chunks.select(F.col(id_col), F.explode(tokens(text)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, text: Column | str, id_col: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
+    """(token, chunk_id, tf); `only` (token) keeps other tokens out of the exchange."""
+    each = chunks.select(F.col(id_col), F.explode(tokens(text)).alias("token"))
+    if only is not None:
+        each = each.join(only, "token", "left_semi")
+    return each.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(chunks: DataFrame, text: Column, *keep: str, id_col: str = "chunk_id") -> DataFrame:
@@ -78,14 +86,15 @@ def bm25(questions: DataFrame, posting: DataFrame, length: DataFrame, k1: float
     """(qid, chunk_id, columns of `length`, score) for pairs that share a term."""
     stats = statistics(length)
     terms = question_terms(questions)
-    wanted = terms.select("token").distinct()
-    frequencies = document_frequencies(posting if variant == "okapi" else posting.join(small(wanted), "token", "left_semi"))
+    n_terms = terms.count()
+    wanted = sized(terms.select("token").distinct(), n_terms)
+    frequencies = document_frequencies(posting if variant == "okapi" else posting.join(wanted, "token", "left_semi"))
     if variant == "okapi":
         n = length.count()
         weights = okapi_idf(frequencies, F.lit(n))
     else:
         weights = frequencies.crossJoin(F.broadcast(stats)).select("token", idf(F.col("n"), F.col("df")).alias("idf"))
-    terms = small(terms.join(weights, "token"))
+    terms = sized(terms.join(weights, "token"), n_terms)
     length = length.crossJoin(F.broadcast(stats.select("avgdl")))
     hits = posting.join(terms, "token")
     scored = hits.join(length, "chunk_id")
@@ -113,7 +122,9 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column, k: int =
     after ranking, so it may leave fewer than k.
     """
     length = lengths(chunks, text, "doc_id", "corpus_pos")
-    hits = bm25(questions, postings(chunks, text), length, **how)
+    asked = question_terms(questions).select("token").distinct()
+    only = None if how.get("variant") == "okapi" else small(asked)
+    hits = bm25(questions, postings(chunks, text, only=only), length, **how)
     if scope == "none":
         return best(k, "score")(hits)
     scoped = questions.select("qid", "report_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.predicates import scene
 from lodestar.functions.rules import STRATEGIES
-from lodestar.operators.retrieve import small, top_k
+from lodestar.operators.retrieve import top_k
 
 
 def with_scene(questions: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def select_strategy(scenes: DataFrame, dense_available: bool, matches: DataFrame
     usable = (F.col("strategy_used") != "") & F.col("retrieval_backend").isin("sparse", "hybrid")
     per = matches.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("strategy_used", "retrieval_backend", "evidence_top_k"), F.when(usable, F.col("rank"))).alias("m"))
     backend = F.col("m.retrieval_backend") if dense_available else F.lit("sparse")
-    rows = rows.join(small(per), "qid", "left")
+    rows = rows.join(per, "qid", "left")
     known = F.col("m").isNotNull()
     return rows.select(
         "qid",

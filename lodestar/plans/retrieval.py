@@ -42,8 +42,10 @@ def hybrid_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates_of(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid candidates with their questions and chunks; the hits are the small side."""
-    hits = hybrid_of(spark, sf).drop("corpus_pos")
-    return chunks_of(spark, sf).join(rt.small(hits), "chunk_id").join(rt.small(questions_of(spark, sf)), "qid")
+    asked = questions_of(spark, sf)
+    n = asked.count()
+    hits = rt.sized(hybrid_of(spark, sf).drop("corpus_pos"), n * rt.FUSED_K)
+    return chunks_of(spark, sf).join(hits, "chunk_id").join(rt.sized(asked, n), "qid")
 
 
 def reranked_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,8 +163,8 @@ def rk_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("jn_hit_meta", f"WITH {BM25} SELECT s.qid, s.chunk_id, c.title, c.section, c.page_start, c.page_end FROM sparse s JOIN chunks c USING (chunk_id)")
 def jn_hit_meta(spark: SparkSession, sf: str) -> DataFrame:
-    hits = sparse_of(spark, sf).select("qid", "chunk_id")
-    return chunks_of(spark, sf).join(rt.small(hits), "chunk_id").select("qid", "chunk_id", "title", "section", "page_start", "page_end")
+    hits = rt.sized(sparse_of(spark, sf).select("qid", "chunk_id"), questions_of(spark, sf).count() * rt.TOP_K)
+    return chunks_of(spark, sf).join(hits, "chunk_id").select("qid", "chunk_id", "title", "section", "page_start", "page_end")
 
 
 HAY = "title || ' ' || section || ' ' || subsection || ' ' || text"
