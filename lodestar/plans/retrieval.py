@@ -152,7 +152,7 @@ def rk_lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("fn_minmax", f"WITH {RERANK} SELECT qid, chunk_id, round(p, 6) AS prior FROM scaled")
 def fn_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid_of(spark, sf).select("qid", "chunk_id", F.round(rr.minmax(F.col("final_retrieval_score")), 6).alias("prior"))
+    return candidates_of(spark, sf).select("qid", "chunk_id", F.round(rr.minmax(F.col("final_retrieval_score")), 6).alias("prior"))
 
 
 @R.query("rk_blend", f"WITH {RERANK} SELECT qid, chunk_id, rerank_score, rank FROM reranked")
