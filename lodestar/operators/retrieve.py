@@ -42,6 +42,10 @@ def best(k: int, score: str, rank: str = "rank", by: str = "qid", tie: str = "co
     return lambda df: top_k(df, k, [by], [F.col(score).desc(), F.col(tie).asc()], rank)
 
 
+#: a chunk that a question's scope allows
+INSIDE = "report_id IS NULL OR report_id = doc_id"
+
+
 # --- inverted index -----------------------------------------------------------
 
 
@@ -54,7 +58,8 @@ def postings(chunks: DataFrame, text: Column | str, id_col: str = "chunk_id", on
 
 
 def lengths(chunks: DataFrame, text: Column, *keep: str, id_col: str = "chunk_id") -> DataFrame:
-    return chunks.select(F.col(id_col), *keep, F.size(tokens(text)).alias("dl"))
+    """(id, keep, dl), dealt by id: the exchange keeps tokenising out of the joins' inner loops."""
+    return chunks.select(F.col(id_col), *keep, F.size(tokens(text)).alias("dl")).repartition(F.col(id_col))
 
 
 def document_frequencies(posting: DataFrame) -> DataFrame:
@@ -82,40 +87,34 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(tokens("question")).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(questions: DataFrame, posting: DataFrame, length: DataFrame, k1: float = K1, b: float = B, variant: str = "plain") -> DataFrame:
-    """(qid, chunk_id, columns of `length`, score) for pairs that share a term."""
+def bm25_scores(questions: DataFrame, posting: DataFrame, length: DataFrame, key: str = "chunk_id", k1: float = K1, b: float = B, variant: str = "plain") -> DataFrame:
+    """(qid, key, score) for pairs that share a term; key is a column of `length` that names a chunk.
+
+    A posting's part that doesn't depend on the question is computed once, before it meets
+    the questions, and sums are kept per two narrow keys.
+    """
     stats = statistics(length)
     terms = question_terms(questions)
     n_terms = terms.count()
     wanted = sized(terms.select("token").distinct(), n_terms)
     frequencies = document_frequencies(posting if variant == "okapi" else posting.join(wanted, "token", "left_semi"))
     if variant == "okapi":
-        n = length.count()
-        weights = okapi_idf(frequencies, F.lit(n))
+        weights = okapi_idf(frequencies, F.lit(length.count()))
     else:
         weights = frequencies.crossJoin(F.broadcast(stats)).select("token", idf(F.col("n"), F.col("df")).alias("idf"))
-    terms = sized(terms.join(weights, "token"), n_terms)
-    length = length.crossJoin(F.broadcast(stats.select("avgdl")))
-    hits = posting.join(terms, "token")
-    scored = hits.join(length, "chunk_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    keep = [c for c in length.columns if c not in ("chunk_id", "dl", "avgdl")]
-    return scored.groupBy("qid", "chunk_id", *keep).agg(F.round(F.sum(part), DIGITS).alias("score"))
-
+    terms = sized(terms.join(weights, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("tw")), n_terms)
+    norm = length.crossJoin(F.broadcast(stats.select("avgdl"))).select("chunk_id", *({key} - {"chunk_id"}), (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
+    part = posting.join(norm, "chunk_id").select("token", key, (F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))).alias("pw"))
+    return part.join(terms, "token").groupBy("qid", key).agg(F.round(F.sum(F.col("tw") * F.col("pw")), DIGITS).alias("score"))
 
-def fill_zero(hits: DataFrame, questions: DataFrame, length: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Pads each question to k rows with chunks of score zero in corpus order.
 
-    A question has at most k hits, so the padding is among the first 2k chunks: the corpus
-    isn't crossed with the questions.
-    """
-    first = length.orderBy("corpus_pos").limit(2 * k).select("chunk_id", "corpus_pos")
-    missing = questions.select("qid").crossJoin(F.broadcast(first)).join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
-    both = hits.select("qid", "chunk_id", "corpus_pos", "score").unionByName(missing.withColumn("score", F.lit(0.0)))
-    return best(k, "score")(both)
+def bm25(questions: DataFrame, posting: DataFrame, length: DataFrame, **how) -> DataFrame:
+    """(qid, chunk_id, columns of `length`, score) for pairs that share a term."""
+    key = "corpus_pos" if "corpus_pos" in length.columns else "chunk_id"
+    return bm25_scores(questions, posting, length, key, **how).join(length.drop("dl"), key)
 
 
-def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column, k: int = TOP_K, scope: str = "none", **how) -> DataFrame:
+def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column | str, k: int = TOP_K, scope: str = "none", **how) -> DataFrame:
     """Top k a question: qid, chunk_id, doc_id, corpus_pos, score, rank.
 
     scope="pre" ranks only chunks of the question's report_id, scope="post" drops others
@@ -124,14 +123,27 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column, k: int =
     length = lengths(chunks, text, "doc_id", "corpus_pos")
     asked = question_terms(questions).select("token").distinct()
     only = None if how.get("variant") == "okapi" else small(asked)
-    hits = bm25(questions, postings(chunks, text, only=only), length, **how)
-    if scope == "none":
-        return best(k, "score")(hits)
-    scoped = questions.select("qid", "report_id")
-    inside = F.col("report_id").isNull() | (F.col("report_id") == F.col("doc_id"))
+    posting = postings(chunks, text, only=only)
     if scope == "pre":
-        return best(k, "score")(hits.join(scoped, "qid").where(inside).drop("report_id"))
-    return best(k, "score")(hits).join(scoped, "qid").where(inside).drop("report_id")
+        scoped = questions.select("qid", "report_id")
+        return best(k, "score")(bm25(questions, posting, length, **how).join(scoped, "qid").where(INSIDE)).drop("report_id")
+    ranked = best(k, "score")(bm25_scores(questions, posting, length, "corpus_pos", **how))
+    hits = ranked.join(length.drop("dl"), "corpus_pos")
+    if scope == "none":
+        return hits
+    return hits.join(questions.select("qid", "report_id"), "qid").where(INSIDE).drop("report_id")
+
+
+def fill_zero(hits: DataFrame, questions: DataFrame, length: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Pads each question to k rows with chunks of score zero in corpus order.
+
+    A question has at most k hits, so the padding is among the first 2k chunks: the corpus
+    isn't crossed with the questions.
+    """
+    first = length.orderBy("corpus_pos").limit(2 * k).select("chunk_id", "corpus_pos")
+    missing = questions.select("qid").crossJoin(F.broadcast(first)).join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+    both = hits.select("qid", "chunk_id", "corpus_pos", "score").unionByName(missing.withColumn("score", F.lit(0.0)))
+    return best(k, "score")(both)
 
 
 # --- dense --------------------------------------------------------------------
