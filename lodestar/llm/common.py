@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,19 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """The same table; the session's Python workers can then import this package as the driver did.
+
+    Where the package isn't on PYTHONPATH already, its folder is added to what workers are
+    started with. A cluster without a shared code folder needs it installed or shipped.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    known = [*env.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+    return df
+
+
 class Scratch:
     """A fresh folder below the shared one for intermediate tables.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import importable
+
 DIMENSIONS = 1024
 SEED = 11
 #: letter classes: a to z have one each, other letters share the rest
@@ -138,7 +140,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensi
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(sums, pa.list_(pa.float64()))], names=["lang", "sums"])
 
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = rows.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("d", "x"))
+    parts = importable(rows).mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("d", "x"))
     summed = parts.groupBy("lang", "d").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r.lang for r in summed})
     prototypes, row = np.zeros((len(langs), dimensions)), {x: i for i, x in enumerate(langs)}
@@ -181,4 +183,4 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
                 columns = [*part.columns[:-1], pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))]
                 yield pa.record_batch(columns, names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
+    return importable(rows).mapInArrow(run, schema).toDF(*names, "lang_pred", "score")

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import importable
+
 from lodestar.llm.wordhash import KEPT, mix, span_hashes, spans
 
 SHINGLE = 5
@@ -186,4 +188,4 @@ def license_scan(df: DataFrame, text_col: str = "text", keep: list[Column] | Non
                 got = [[dict(zip(fields, m, strict=True)) for m in scanner.scan(t.as_py())] for t in part.column(part.num_columns - 1)]
                 yield pa.record_batch([*part.columns[:-1], pa.array(got, kind)], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).toDF(*names, "matches")
+    return importable(rows).mapInArrow(run, schema).toDF(*names, "matches")

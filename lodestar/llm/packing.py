@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import importable
+
 from lodestar.llm.tokens import END_ID, encoder
 
 CAPACITY = 4096
@@ -136,7 +138,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         yield _batch(out)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return importable(rows).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import importable
+
 from lodestar.llm.wordhash import KEPT, span_hashes, spans
 
 BUCKETS = 1 << 13
@@ -161,7 +163,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
                 made = [describe(t.as_py(), buckets) for t in part.column(2)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.float64()))], names=["id", "label", "stats", "bucket", "value"])
 
-    got = rows.mapInArrow(run, "id long, label int, stats array<double>, bucket array<long>, value array<double>").toArrow()
+    got = importable(rows).mapInArrow(run, "id long, label int, stats array<double>, bucket array<long>, value array<double>").toArrow()
     order = np.argsort(np.array(got["id"].to_pylist(), dtype=np.int64), kind="stable")
     kept = [(np.array(got["stats"][int(i)].as_py()), np.array(got["bucket"][int(i)].as_py(), dtype=np.int64), np.array(got["value"][int(i)].as_py())) for i in order]
     return fit(kept, np.array(got["label"].to_pylist(), dtype=float)[order], buckets)
@@ -186,4 +188,4 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Col
                 score = model.score(np.concatenate([i for i, _ in inputs]), np.concatenate([v for _, v in inputs]), starts)
                 yield pa.record_batch([*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).toDF(*names, "score", "predicted")
+    return importable(rows).mapInArrow(run, schema).toDF(*names, "score", "predicted")

@@ -28,7 +28,6 @@ Equal fingerprints are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch
+from lodestar.llm.common import Scratch, importable
 from lodestar.llm.components import components
 
 RADIUS = 4
@@ -78,7 +77,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return importable(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 class BKTree:
@@ -207,7 +206,7 @@ def near_links(nodes: DataFrame, n: int, scratch: Scratch, radius: int = RADIUS,
                 found = []
         yield batch_of(found + links(cell))
 
-    deeper = cells.mapInArrow(search, "a long, b long")
+    deeper = importable(cells).mapInArrow(search, "a long, b long")
     return scratch.save(roots.unionAll(deeper), "near-links")
 
 

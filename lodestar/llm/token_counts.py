@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import importable
+
 from lodestar.llm.tokens import encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -101,4 +103,4 @@ def counted(df: DataFrame, text_col: str = "text", keep: list[Column] | None = N
                 n = [len(raw) // 4 for raw in encode.encode(part.column(part.num_columns - 1).to_pylist())]
                 yield pa.record_batch([*part.columns[:-1], pa.array(n, pa.int64())], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).toDF(*names, "n_tokens")
+    return importable(rows).mapInArrow(run, schema).toDF(*names, "n_tokens")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import importable
+
 from lodestar.llm.tokens import END_ID, encoder
 
 SEQUENCE = 2048
@@ -169,7 +171,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         yield pa.record_batch({"part": pa.array([part] * len(done), pa.int32()), "at": pa.array(range(len(done)), pa.int32()), "name": pa.array([x[0] for x in done], pa.string()), "n_tokens": pa.array([x[1] for x in done], pa.int64())})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(write, "part int, at int, name string, n_tokens long")
+    return importable(rows).repartitionByRange("id").sortWithinPartitions("id").mapInArrow(write, "part int, at int, name string, n_tokens long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -196,7 +198,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 yield _rows(rows)
 
     n = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    return placed.select("name", "base").repartition(max(n, 4 * n), "name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return importable(placed).select("name", "base").repartition(max(n, 4 * n), "name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
