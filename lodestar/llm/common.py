@@ -16,7 +16,7 @@ def shared_root(spark: SparkSession) -> str:
     Only where the session names none (local tests) a temporary folder is used,
     and kept for the session in spark.lodestar.scratch.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.lodestar.scratch", "")
