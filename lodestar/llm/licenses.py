@@ -9,7 +9,9 @@ probability 1 - (1 - s^ROWS)^BANDS. Containment 0.8 leaves s at 0.36 or more, wh
 template's length and place, so every occurrence is retrieved with probability 0.9998.
 Candidates are verified exactly: the share of the template's distinct shingles that occur
 in the window, widened by a stride on both sides, must be at least CONTAINMENT. Templates of fewer than SMALL shingles use windows of every position and
-one band a shingle, so an occurrence is always retrieved.
+one band a shingle, so an occurrence is always retrieved. A template of fewer than five
+words is one shingle of its own number of words, looked up among the document's shingles
+of that number.
 
 Only windows that hold a shingle of some template can match one; others get no signature.
 Every document is judged whole and by itself, so nothing is exchanged.
@@ -55,6 +57,7 @@ TEMPLATES = {
     "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
     "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "all-rights-reserved-short": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
 }
 
@@ -95,23 +98,28 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS, seed: int = 3) -> None:
         self.names = sorted(templates)
-        self.sets = [np.unique(shingles_of(words_of(templates[n].encode()))) for n in self.names]
+        words = [words_of(templates[n].encode()) for n in self.names]
+        self.sets = [np.unique(shingles_of(w)) for w in words]
         self.containment, self.bands, self.rows = containment, bands, rows
         self.salts = np.random.default_rng(seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
-        known = [s for s in self.sets if len(s)]
-        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-        # a bit for the low bits of each known shingle: a quick test before the exact one
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[self.known & np.uint64(0xFFFF)] = True
-        self.classes: dict[int, dict[tuple[int, int], list[int]]] = {}
-        for t, s in enumerate(self.sets):
+        # by words a shingle: SHINGLE, or as many as a shorter template has
+        self.known: dict[int, np.ndarray] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        self.classes: dict[int, dict[int, dict[tuple[int, int], list[int]]]] = {}
+        for t, (w, s) in enumerate(zip(words, self.sets, strict=True)):
             if not len(s):
                 continue
+            k = min(SHINGLE, len(w))
+            self.known[k] = np.union1d(self.known.get(k, s), s)
             length = len(s) if len(s) < SMALL else 1 << (len(s) - 1).bit_length()
-            table = self.classes.setdefault(length, {})
+            table = self.classes.setdefault(k, {}).setdefault(length, {})
             keys = [(0, int(x)) for x in s] if length < SMALL else list(enumerate(self.signature(s)))
             for key in keys:
                 table.setdefault(key, []).append(t)
+        for k, known in self.known.items():
+            # a bit for the low bits of each known shingle: a quick test before the exact one
+            self.seen[k] = np.zeros(1 << 16, bool)
+            self.seen[k][known & np.uint64(0xFFFF)] = True
 
     def signature(self, shingles: np.ndarray) -> list[int]:
         least = mix(shingles[:, None] ^ self.salts[None, :]).min(axis=0).reshape(self.bands, self.rows)
@@ -123,13 +131,17 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, words, containment), one row for each run of matching windows."""
         words = words_of((text or "").encode())
-        shingles = shingles_of(words)
-        at = np.flatnonzero(self.seen[shingles & np.uint64(0xFFFF)])
-        at = at[np.isin(shingles[at], self.known)]
+        return sorted((f for k in self.classes for f in self._scan(words, k)), key=lambda f: (f[1], f[0]))
+
+    def _scan(self, words: np.ndarray, k: int) -> list[tuple[str, int, int, float]]:
+        """Matches of the templates with k words a shingle."""
+        shingles = shingles_of(words, k)
+        at = np.flatnonzero(self.seen[k][shingles & np.uint64(0xFFFF)])
+        at = at[np.isin(shingles[at], self.known[k])]
         found: list[tuple[str, int, int, float]] = []
         if not len(at):
             return found
-        for length, table in self.classes.items():
+        for length, table in self.classes[k].items():
             stride = max(1, length // 8) if length >= SMALL else 1
             n_windows = max(1, -(-(len(shingles) - length) // stride) + 1)
             # windows w that hold a known shingle p: w*stride <= p < w*stride + length
@@ -144,10 +156,10 @@ class Scanner:
                     share = float(np.isin(self.sets[t], shingles[lo:hi]).mean())
                     if share >= self.containment:
                         inside = lo + np.flatnonzero(np.isin(shingles[lo:hi], self.sets[t]))
-                        matches.setdefault(t, []).append((int(inside[0]), int(inside[-1]) + SHINGLE, share))
+                        matches.setdefault(t, []).append((int(inside[0]), int(inside[-1]) + k, share))
             for t, hits in matches.items():
                 found += [(self.names[t], a, min(b, len(words)) - a, share) for a, b, share in _merged(hits)]
-        return sorted(found, key=lambda f: (f[1], f[0]))
+        return found
 
 
 def _merged(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:

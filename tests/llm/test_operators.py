@@ -442,6 +442,17 @@ def test_license_scan_finds_planted_notices(spark, empty, odd):
     assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(odd).count() == 6
 
 
+def test_license_templates_of_under_five_words_match_inside_documents():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    text = "one two three four five six. ALL RIGHTS  RESERVED.\nAll rights reserved. Nine ten all rights were reserved."
+    assert scanner.scan(text) == [("all-rights-reserved-short", 6, 3, 1.0), ("all-rights-reserved-short", 9, 3, 1.0)]
+    assert scanner.scan("All rights reserved.") == [("all-rights-reserved-short", 0, 3, 1.0)] and scanner.scan("all rights") == []
+    assert {m[0] for m in scanner.scan(f"x {licenses.TEMPLATES['all-rights-reserved']} y")} == {"all-rights-reserved", "all-rights-reserved-short"}
+    own = licenses.Scanner({"one": "Copyleft", "two": "No warranty", "four": "Use it as is", "five": "Use it as you like"})
+    got = own.scan("You may use it as is; no warranty, copyleft. Use it as you like")
+    assert [(name, at, n) for name, at, n, _ in got] == [("four", 2, 4), ("two", 6, 2), ("one", 8, 1), ("five", 9, 5)]
+
+
 def test_token_ledger_is_idempotent_and_signed(spark):
     ledger = TokenLedger(spark, Scratch(spark).folder("ledger"))
     schema = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, old_source string"
