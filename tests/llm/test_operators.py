@@ -345,6 +345,15 @@ def test_write_shards_round_trip(spark, docs):
     assert back.count() == len(TEXTS) and {r.text for r in back.collect()} == set(TEXTS)
 
 
+def test_write_shards_keeps_rows_with_null_and_repeated_ids(spark, odd):
+    path, rows = Scratch(spark).folder("shards"), odd.drop("shard")
+    sharding.write_shards(rows, path, 4)
+    back = spark.read.parquet(path)
+    assert sorted(map(repr, back.select(rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    sizes = [r["count"] for r in back.groupBy("shard").count().collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+
+
 def test_word_hashes_depend_on_the_word_alone(monkeypatch):
     inside = np.ones(256, bool)
     inside[32] = False
