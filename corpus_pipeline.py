@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
-A document is known by its doc_id: rows that repeat an id stay or go together, and a null
-id is an id like any other.
+A document is a row, known by its place in the files that docs is read from, so that each
+row's own decision takes effect whether its doc_id is unique, repeated or null.
 """
 
 from __future__ import annotations
@@ -19,9 +19,16 @@ from lodestar.llm.packing import pack
 from lodestar.llm.simhash import simhash_classes
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key: a row's id (nulls last) and its place in the files that docs is read from."""
+    file, at = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    return docs.select("*", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", file, at).alias("__key"))
+
+
+def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """keys: one column, keys of docs."""
+    of = lambda key: [F.col(key)[part].alias(f"__{part}") for part in ("file", "at")]
+    return docs.select(*docs.drop("__key").columns, *of("__key")).join(keys.select(*of(keys.columns[0])), ["__file", "__at"], how).drop("__file", "__at")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +40,21 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup(docs).where("kept"), "left_semi")
+    """One row of each text stays, the one with the smallest id."""
+    rows = _keyed(docs)
+    return _only(rows, exact_dedup(rows, id_col="__key").where("kept").select("__key"), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
-    return _only(docs, simhash_classes(docs).where("doc_id <=> component_id"), "left_semi")
+    """One row of each SimHash component stays, the one with the smallest id."""
+    rows = _keyed(docs)
+    return _only(rows, simhash_classes(rows, id_col="__key").where("__key <=> component_id").select("__key"), "left_semi")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.where("contaminated"), "left_anti")
+    rows = _keyed(docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
+    return _only(rows, found.where("contaminated").select("__key"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

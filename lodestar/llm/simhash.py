@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import Scratch, importable
 from lodestar.llm.components import components
@@ -70,14 +71,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
+    """(id, fp): fp holds the 64 bits as a signed long; id is a long, or a struct as it is."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return importable(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    key = F.col(id_col) if isinstance(df.schema[id_col].dataType, T.StructType) else F.col(id_col).cast("long")
+    rows = importable(df).select(key.alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, rows.select("id").schema.add("fp", "long"))
 
 
 class BKTree:

@@ -162,3 +162,25 @@ def test_pipeline_is_brute_force(spark, docs):
     for i in clean:
         pieces = sorted(got[i], key=lambda r: r.start)
         assert crc(np.frombuffer(b"".join(p.ids for p in pieces), "<u4")) == crc(library_ids(docs[i]["text"]))
+
+
+def test_pipeline_stages_decide_row_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    near = [" ".join(f"w{i}" for i in range(2000)), " ".join(f"w{i}" for i in range(1999))]
+    leak = "this passage of some eleven words stands in the benchmark table"
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a  b c"), (None, "d e f"), (None, "d e f"), (2, "own text of two"), (2, leak), (None, leak), (2, near[0]), (None, near[1]), (3, near[1])]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, *where):
+        got = stage(spark, docs.where(*where) if where else docs, str(tmp_path))
+        assert got.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+
+    assert left(corpus_pipeline.drop_exact_copies) == sorted([(1, "a b c"), (None, "d e f"), (2, "own text of two"), (2, leak), (2, near[0]), (3, near[1])], key=repr)
+    assert left(corpus_pipeline.drop_near_copies) == sorted([(1, "a b c"), (None, "d e f"), (2, "own text of two"), (2, leak), (2, near[0])], key=repr)
+    assert left(corpus_pipeline.drop_near_copies, "doc_id is null and text like 'd%'") == [(None, "d e f")]
+    assert left(corpus_pipeline.drop_benchmark_leaks) == sorted([r for r in rows if r[1] != leak], key=repr)
