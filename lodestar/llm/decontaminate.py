@@ -1,15 +1,22 @@
 """Benchmark decontamination by a prefix-filtered join, in DataFrame operations only.
 
-An item's windows are its runs of WINDOW consecutive words. A window's shingles (runs of
-up to three words) are ordered by how often they occur in the whole corpus, rarest first.
-A document can contain the window only if it contains all of its shingles, so the
-necessary prefix of that order is one shingle: the rarest. Only it is joined. Each hit
-fixes where the window would have to begin; hits that would begin before the text or end
-after it are discarded (position and length bounds), and the rest are verified word by
-word against the document, which is still at hand in the joining row.
-
-The windows are broadcast in blocks of at most `block` rows, so a larger benchmark takes
-more passes and never more memory.
+An item's windows are its runs of WINDOW consecutive words; equal windows of several items
+are one, and are told apart by item only in the last step. A window's shingles are its
+runs of SHINGLE words (of all its words, if it has fewer).
+
+1. One scan of the corpus hashes each word once, forms the shingles' keys from the word
+   hashes and keeps the positions whose key is a window's, with the words around them and a
+   row number. That table is small, and is all that the rest reads.
+2. It says how often each shingle occurs. A window's shingles are ordered by that, rarest
+   first. A document contains the window only if it contains all of its shingles, so the
+   necessary prefix of the order is one shingle: the rarest. Only it is joined with the kept
+   positions.
+3. Each such position fixes where the window would have to begin; those that would begin
+   before the text or end after it are discarded (position and length bounds), and the rest
+   are verified word by word against the words kept.
+
+Up to BROADCAST shingles or windows are broadcast; beyond that count the joins shuffle
+narrow rows, and the words around a position are fetched from a saved table by row number.
 """
 
 from __future__ import annotations
@@ -22,91 +29,110 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch
 
 WINDOW = 10
-SHINGLE = 3
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SHINGLE = 5
+#: all ASCII characters but digits and a to z
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: windows in one broadcast: about 200 bytes each
-BLOCK = 200_000
+#: rows that are broadcast at most: keys of 8 bytes, or windows of about 200
+BROADCAST = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words; splitting at the gaps is much faster than matching the words."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS), "")
 
 
-def _shingle(all_words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), *(F.get(all_words, at + i) for i in range(k)))
+def _key(hashes: Column, at: Column, k: int) -> Column:
+    """The key of the k words from position `at`, given the words' hashes."""
+    return F.xxhash64(F.lit(k), *(F.get(hashes, at + i) for i in range(k)))
 
 
-def _shingles(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds p (word position) and t (hash of the shingle that begins there) to rows with w and n."""
-    rows = df.select("*", F.posexplode_outer("w").alias("p", "x"))
-    by_size = [F.when(F.col("p") + k <= F.col("n"), _shingle(F.col("w"), F.col("p"), k)) for k in sizes]
-    if len(by_size) == 1:
-        return rows.withColumn("t", by_size[0])
-    return rows.withColumn("t", F.explode(F.array(*by_size)))
+def _hashes(all_words: Column) -> Column:
+    return F.transform(all_words, lambda x: F.xxhash64(x))
+
+
+def _positions(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds p (word position), k (words of the shingle) and t (key of the shingle that begins there) to rows with w and n.
+
+    A text without words has one row with neither p nor t. Rows with the first size are one a position.
+    """
+    rows = texts.withColumn("h", _hashes(F.col("w"))).select("*", F.posexplode_outer("h").alias("p", "x"))
+    key = lambda k: F.when(F.col("p") + k <= F.col("n"), _key(F.col("h"), F.col("p"), k))
+    if len(sizes) == 1:
+        return rows.select(*texts.columns, "p", F.lit(sizes[0]).alias("k"), key(sizes[0]).alias("t"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), key(k).alias("t")) for k in sizes)))
+    return rows.select(*texts.columns, "p", each.alias("s")).select(*texts.columns, "p", "s.k", "s.t")
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """item, w (words of the window), n: an item with fewer words is one window; none: no window."""
+    """item, w (words of the window): an item with fewer words is one window; none: no window."""
     rows = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("all")).where(F.size("all") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)))
     rows = rows.select("item", "all", F.explode(starts).alias("s"))
-    return rows.select("item", F.slice("all", F.col("s") + 1, F.lit(window)).alias("w")).distinct().withColumn("n", F.size("w"))
+    return rows.select("item", F.slice("all", F.col("s") + 1, F.lit(window)).alias("w")).distinct()
+
 
+def _join(df: DataFrame, small: DataFrame, n: int, limit: int, on: str, how: str = "inner") -> DataFrame:
+    return df.join(F.broadcast(small) if n <= limit else small, on, how)
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items, items_sha256, contaminated.
 
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have
     no words and are clean; so are all documents if there are no items. Rows that repeat an
-    id, or have none, are judged one by one. Items with one text each count. Other columns
-    are ignored.
+    id, or have none, are judged one by one. Rows that repeat an item's id add their windows
+    to it; a null item id counts no item, though its windows hit. Other columns are ignored.
+    An empty table gives an empty result. Ids and item ids may have any type.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    windows = scratch.save(item_windows(items, item_id, item_text, window), "windows")
-    sizes = sorted(k for (k,) in windows.select(F.least("n", F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # 1 to SHINGLE
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
+    named = scratch.save(item_windows(items, item_id, item_text, window), "items")
+    windows = named.select("w").distinct().withColumn("size", F.size("w")).withColumn("k", F.least("size", F.lit(shingle)))
+    sizes = sorted(k for (k,) in windows.select("k").distinct().collect()) or [shingle]  # 1 to shingle
+    offsets = windows.select("w", "size", "k", _hashes(F.col("w")).alias("h"), F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))).alias("o"))
+    key = reduce(lambda rest, k: F.when(F.col("k") == k, _key(F.col("h"), F.col("o"), k)).otherwise(rest), sizes, F.lit(None).cast("long"))
+    inner = scratch.save(offsets.select("w", "size", "o", key.alias("t")), "shingles")
+    known = scratch.save(inner.select("t", F.lit(True).alias("known")).distinct(), "keys")
+    n_known = known.count()
 
-    # shingles of the windows, and how often each occurs in the corpus
-    inner = windows.select("item", "w", "n", F.least("n", F.lit(SHINGLE)).alias("k"))
-    inner = inner.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("o"))
-    pick = reduce(lambda rest, k: F.when(F.col("k") == k, _shingle(F.col("w"), F.col("o"), k)).otherwise(rest), sizes, F.lit(None).cast("long"))
-    inner = scratch.save(inner.withColumn("t", pick), "shingles")
-    n_windows = windows.count()
-    blocks = max(1, -(-n_windows // block))
-    known = inner.select("t").distinct()
-    counts = []
-    for b in range(blocks):
-        some = known.where(F.pmod("t", F.lit(blocks)) == b)
-        counts.append(_shingles(texts.select("w", "n"), sizes).select("t").join(F.broadcast(some), "t").groupBy("t").count())
-    rarity = scratch.save(reduce(DataFrame.unionAll, counts), "rarity")
-    rank = Window.partitionBy("item", "w").orderBy("frequency", "t", "o")
-    prefix = inner.join(rarity, "t", "left").withColumn("frequency", F.coalesce("count", F.lit(0)))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
+    reach = F.greatest(F.col("p") + F.col("k") - window, F.lit(0))
+    around = F.struct(reach.alias("from"), F.slice("w", reach + 1, F.col("p") + window - reach).alias("w")).alias("around")
+    marks = (F.coalesce("p", F.lit(0)) == 0) & (F.col("k") == sizes[0])
+    if n_known <= limit:
+        kept = _positions(texts, sizes).join(F.broadcast(known), "t", "left").where(F.col("known") | marks)
+        kept = kept.select("row", marks.alias("mark"), F.when(marks, F.col("id")).alias("id"), "n", "p", "t", "known", F.when(F.col("known"), around).alias("around"))
+        kept = scratch.save(kept, "positions")
+        documents, hits = kept.where("mark").select("row", "id", "n"), kept.where("known").select("row", "n", "p", "t", "around")
+    else:
+        texts = scratch.save(texts, "texts")
+        narrow = _positions(texts, sizes).select("row", "p", "k", "t").join(known, "t", "left_semi")
+        documents, hits = texts.select("row", "id", "n"), scratch.save(texts.join(narrow, "row").select("row", "n", "p", "t", around), "positions")
+
+    rarity = hits.groupBy("t").agg(F.count(F.lit(1)).alias("frequency"))
+    order = Window.partitionBy("w").orderBy("frequency", "t", "o")
     # a window whose rarest shingle never occurs cannot occur itself
-    prefix = prefix.withColumn("rank", F.row_number().over(rank)).where("rank = 1 and frequency > 0")
-    prefix = scratch.save(prefix.select("item", F.col("w").alias("iw"), F.col("n").alias("size"), "o", F.col("t").alias("it")), "prefixes")
-
-    hits = []
-    for b in range(blocks):
-        some = prefix.where(F.pmod("it", F.lit(blocks)) == b) if blocks > 1 else prefix
-        rows = _shingles(texts, sizes).join(F.broadcast(some), F.col("t") == F.col("it"), "left")
-        begin = F.col("p") - F.col("o")
-        found = (begin >= 0) & (begin + F.col("size") <= F.col("n"))
-        found = F.coalesce(F.when(found, F.slice("w", begin + 1, F.col("size")) == F.col("iw")), F.lit(False))
-        rows = rows.withColumn("found", found).where(F.col("found") | (F.coalesce("p", F.lit(0)) == 0 if b == 0 else F.lit(False)))
-        hits.append(rows.select("row", "id", "n", F.when(F.col("found"), F.col("item")).alias("item"), F.when(F.col("found"), F.struct(begin.alias("b"), (begin + F.col("size")).alias("e"))).alias("span")))
-    per = reduce(DataFrame.unionAll, hits).groupBy("row").agg(F.first("id").alias("id"), F.max("n").alias("n"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item").alias("items"))
+    prefix = inner.join(rarity, "t", "left").fillna(0, ["frequency"]).withColumn("rank", F.row_number().over(order)).where("rank = 1 and frequency > 0")
+    prefix = scratch.save(prefix.select("t", "o", "size", "w"), "prefixes")
+    begin = F.col("p") - F.col("o")
+    found = _join(hits, prefix, prefix.count(), limit, "t").where((begin >= 0) & (begin + F.col("size") <= F.col("n")))
+    found = found.where(F.slice("around.w", begin - F.col("around.from") + 1, F.col("size")) == F.col("w"))
+    found = scratch.save(found.select("row", "w", F.struct(begin.alias("b"), (begin + F.col("size")).alias("e")).alias("span")), "occurrences")
+
     covered = F.aggregate(
-        "spans",
+        F.array_sort(F.collect_set("span")),
         F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a["hit"] + F.greatest(s["e"] - F.greatest(s["b"], a["end"]), F.lit(0))).alias("hit"), F.greatest(a["end"], s["e"]).alias("end")),
         lambda a: a["hit"],
     )
-    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    hit = found.groupBy("row").agg(covered.alias("hit"))
+    items_of = _join(found.select("row", "w").distinct(), named, named.count(), limit, "w").groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    no_items = F.array().cast("array<string>")
+    per = documents.join(hit.join(items_of, "row"), "row", "left").withColumn("items", F.coalesce("items", no_items))
     return per.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_words"),
-        covered.cast("long").alias("n_hit"),
+        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        names.alias("items"),
+        "items",
     ).select("*", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -111,14 +111,14 @@ def leaks(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [200_000, 2])
-def test_contamination_is_brute_force(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("limit", [200_000, 2])
+def test_contamination_is_brute_force(spark, limit):
+    rng = random.Random(limit)
     vocabulary = ["aa", "bb", "cc", "éé", "d1"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 5, 10, 12, 15])))) for i in range(8)] + [(8, None), (9, "..."), (10, "Never Here")]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(25)] + ["x " + items[0][1] + " y", items[5][1].upper(), None, "", LONG, *[" ".join([t or "", "zz", t or ""]) for _, t in items]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("row", F.lit(1))
-    got = {r.doc_id: r for r in contamination(df, spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(0)), block=block).collect()}
+    got = {r.doc_id: r for r in contamination(df, spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(0)), limit=limit).collect()}
     for i, want in enumerate(leaks(texts, items)):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want, texts[i]
@@ -126,8 +126,9 @@ def test_contamination_is_brute_force(spark, block):
 
 def test_contamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
-    rows = contamination(odd, items).collect()
-    assert len(rows) == 6 and sum(r.contaminated for r in rows) == 4
+    for limit in (200_000, 0):
+        rows = contamination(odd, items, limit=limit).collect()
+        assert len(rows) == 6 and sum(r.contaminated for r in rows) == 4
     assert contamination(empty, items).count() == 0
     clean = contamination(odd, items.limit(0)).collect()
     assert len(clean) == 6 and not any(r.contaminated for r in clean)
