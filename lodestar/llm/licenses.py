@@ -1,25 +1,31 @@
 """License scans: MinHash bands over overlapping text windows, then exact containment.
 
-Templates fall into classes by their number of five-word shingles, rounded up to a power
-of two. For each class a document is read in windows of that length, which begin every
-eighth of it, so some window covers all but a sixteenth of any occurrence. A window's
-MinHash signature is cut into BANDS bands of ROWS rows; templates that share a band are
-candidates. A window and a template with Jaccard similarity s share a band with
-probability 1 - (1 - s^ROWS)^BANDS. Containment 0.8 leaves s at 0.36 or more, whatever the
-template's length and place, so every occurrence is retrieved with probability 0.9998.
-Candidates are verified exactly: the share of the template's distinct shingles that occur
-in the window, widened by a stride on both sides, must be at least CONTAINMENT. Templates of fewer than SMALL shingles use windows of every position and
-one band a shingle, so an occurrence is always retrieved. A template of fewer than five
-words is one shingle of its own number of words, looked up among the document's shingles
-of that number.
-
-Only windows that hold a shingle of some template can match one; others get no signature.
-Every document is judged whole and by itself, so nothing is exchanged.
+A template is a set of shingles of SHINGLE words (a template of fewer words is one shingle
+of its own number of words, and has windows of such shingles). Documents are read in
+overlapping windows, of a length and stride that follow from a template's number of
+shingles t: up to eight, t and 1; beyond, six or eight strides, of a power of two, so that
+some window covers any occurrence wholly.
+
+Every window gets a MinHash signature, cut into bands of ROWS values; the templates that
+share a band with it are retrieved. A window that contains the share CONTAINMENT of a
+template has, in the worst case, the Jaccard similarity
+
+    s = c / (length + t - c),    c = ceil(CONTAINMENT * t),
+
+with it, and shares one of b bands with probability 1 - (1 - s^ROWS)^b. Each length has as
+many bands as make that COLLISION at least. Retrieved templates are verified exactly: the share
+of the template's distinct shingles that occur in the window must be CONTAINMENT at least.
+
+Windows begin at a document's first word and never cross its end, so every document is
+judged whole and by itself, and nothing is exchanged. Long documents are read in segments
+that overlap by the longest window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,37 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.common import importable
-
+from lodestar.llm.license_texts import TEMPLATES
 from lodestar.llm.wordhash import KEPT, mix, span_hashes, spans
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS, ROWS = 64, 2
-SMALL = 12
-
-# License notices as their publishers word them.
-TEMPLATES = {
-    "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "mit-short": "Released under the MIT License.",
-    "mit-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "mit-disclaimer": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "bsd-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "bsd-no-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-    "isc-permission": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "zlib-permission": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.""",
-    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
-    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
-    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
-    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "all-rights-reserved-short": "All rights reserved.",
-    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
-}
+COLLISION = 0.999
+ROWS = 2
+#: shingles of a document that are read at a time (a multiple of all strides), and of a batch of documents
+SEGMENT, BATCH = 1 << 16, 1 << 15
+#: blocks of a window at most; that many less one separate documents that are read together
+BLOCKS = 8
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -93,74 +79,169 @@ def shingles_of(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def window_of(t: int) -> tuple[int, int]:
+    """Length and stride of the windows for a template of t shingles."""
+    if t <= BLOCKS:
+        return t, 1
+    stride = 2
+    while True:
+        for blocks in (6, BLOCKS):
+            if blocks * stride >= t + stride - 1:
+                return blocks * stride, stride
+        stride *= 2
+
+
+def bands_for(distinct: int, length: int, containment: float = CONTAINMENT, collision: float = COLLISION, rows: int = ROWS) -> int:
+    """Bands that retrieve a template of so many distinct shingles from a window that contains enough of them."""
+    common = max(1, math.ceil(containment * distinct - 1e-9))
+    s = min(1.0, common / (length + distinct - common))
+    return 1 if s == 1 else math.ceil(math.log(1 - collision) / math.log1p(-(s**rows)))
+
+
+@dataclass
+class Windows:
+    """Templates that are searched in windows of one length."""
+
+    length: int
+    stride: int
+    bands: int = 0
+    templates: list[int] = field(default_factory=list)
+    #: by band: values of the band -> templates, and a bit for the low bits of each key
+    tables: list[dict[tuple[int, ...], list[int]]] = field(default_factory=list)
+    seen: list[np.ndarray] = field(default_factory=list)
+
+
+def _low(values: list[np.ndarray]) -> np.ndarray:
+    """Sixteen bits of a band's values."""
+    out = values[0]
+    for v in values[1:]:
+        out = out * np.uint32(0x9E3779B1) ^ v
+    return out & np.uint32(0xFFFF)
+
+
 class Scanner:
     """Matches documents against the templates."""
 
-    def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS, seed: int = 3) -> None:
+    def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT, collision: float = COLLISION, rows: int = ROWS, seed: int = 3) -> None:
         self.names = sorted(templates)
         words = [words_of(templates[n].encode()) for n in self.names]
         self.sets = [np.unique(shingles_of(w)) for w in words]
-        self.containment, self.bands, self.rows = containment, bands, rows
-        self.salts = np.random.default_rng(seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
-        # by words a shingle: SHINGLE, or as many as a shorter template has
-        self.known: dict[int, np.ndarray] = {}
-        self.seen: dict[int, np.ndarray] = {}
-        self.classes: dict[int, dict[int, dict[tuple[int, int], list[int]]]] = {}
+        self.containment, self.rows = containment, rows
+        #: by words a shingle: windows by length
+        self.windows: dict[int, dict[int, Windows]] = {}
         for t, (w, s) in enumerate(zip(words, self.sets, strict=True)):
-            if not len(s):
-                continue
-            k = min(SHINGLE, len(w))
-            self.known[k] = np.union1d(self.known.get(k, s), s)
-            length = len(s) if len(s) < SMALL else 1 << (len(s) - 1).bit_length()
-            table = self.classes.setdefault(k, {}).setdefault(length, {})
-            keys = [(0, int(x)) for x in s] if length < SMALL else list(enumerate(self.signature(s)))
-            for key in keys:
-                table.setdefault(key, []).append(t)
-        for k, known in self.known.items():
-            # a bit for the low bits of each known shingle: a quick test before the exact one
-            self.seen[k] = np.zeros(1 << 16, bool)
-            self.seen[k][known & np.uint64(0xFFFF)] = True
-
-    def signature(self, shingles: np.ndarray) -> list[int]:
-        least = mix(shingles[:, None] ^ self.salts[None, :]).min(axis=0).reshape(self.bands, self.rows)
-        out = np.zeros(self.bands, np.uint64)
-        for r in range(self.rows):
-            out = mix(out * np.uint64(31) + least[:, r])
-        return out.tolist()
-
-    def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """(license, first word, words, containment), one row for each run of matching windows."""
-        words = words_of((text or "").encode())
-        return sorted((f for k in self.classes for f in self._scan(words, k)), key=lambda f: (f[1], f[0]))
-
-    def _scan(self, words: np.ndarray, k: int) -> list[tuple[str, int, int, float]]:
-        """Matches of the templates with k words a shingle."""
-        shingles = shingles_of(words, k)
-        at = np.flatnonzero(self.seen[k][shingles & np.uint64(0xFFFF)])
-        at = at[np.isin(shingles[at], self.known[k])]
-        found: list[tuple[str, int, int, float]] = []
-        if not len(at):
-            return found
-        for length, table in self.classes[k].items():
-            stride = max(1, length // 8) if length >= SMALL else 1
-            n_windows = max(1, -(-(len(shingles) - length) // stride) + 1)
-            # windows w that hold a known shingle p: w*stride <= p < w*stride + length
-            first, last = np.maximum(0, (at - length) // stride + 1), np.minimum(at // stride, n_windows - 1)
-            hit = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]))
-            matches: dict[int, list[tuple[int, int, float]]] = {}
-            for w in hit.tolist():
-                window = shingles[w * stride : w * stride + length]
-                keys = [(0, int(x)) for x in window] if length < SMALL else list(enumerate(self.signature(window)))
-                for t in sorted({t for key in keys for t in table.get(key, ())}):
-                    lo, hi = max(0, w * stride - stride), w * stride + length + stride
-                    share = float(np.isin(self.sets[t], shingles[lo:hi]).mean())
-                    if share >= self.containment:
-                        inside = lo + np.flatnonzero(np.isin(shingles[lo:hi], self.sets[t]))
-                        matches.setdefault(t, []).append((int(inside[0]), int(inside[-1]) + k, share))
-            for t, hits in matches.items():
-                found += [(self.names[t], a, min(b, len(words)) - a, share) for a, b, share in _merged(hits)]
+            if len(s):
+                k = min(SHINGLE, len(w))
+                length, stride = window_of(len(w) - k + 1)
+                held = self.windows.setdefault(k, {}).setdefault(length, Windows(length, stride))
+                held.templates.append(t)
+                held.bands = max(held.bands, bands_for(len(s), length, containment, collision, rows))
+        most = max((w.bands for by in self.windows.values() for w in by.values()), default=0)
+        self.factors = np.random.default_rng(seed).integers(1, 1 << 63, most * rows, dtype=np.uint64) | np.uint64(1)
+        for by in self.windows.values():
+            for w in by.values():
+                for band in range(w.bands):
+                    table: dict[tuple[int, ...], list[int]] = {}
+                    seen = np.zeros(1 << 16, bool)
+                    for t in w.templates:
+                        values = [self._hash(self.sets[t], f).min(keepdims=True) for f in self._functions(band)]
+                        table.setdefault(tuple(int(v[0]) for v in values), []).append(t)
+                        seen[_low(values)] = True
+                    w.tables.append(table)
+                    w.seen.append(seen)
+
+    def _functions(self, band: int) -> range:
+        return range(band * self.rows, (band + 1) * self.rows)
+
+    def _hash(self, shingles: np.ndarray, f: int) -> np.ndarray:
+        return (shingles * self.factors[f] >> np.uint64(32)).astype(np.uint32)
+
+    def retrieved(self, documents: list[np.ndarray], k: int) -> set[tuple[int, int, int, int]]:
+        """(document, length, first shingle, template) of each window of k-word shingles and template that share a band."""
+        by_length, found = self.windows[k], set()
+        gap, sizes = BLOCKS - 1, np.array([len(d) for d in documents])
+        strides = sorted({w.stride for w in by_length.values()})
+        # where each document begins, by stride; gaps of the largest value separate them
+        layout, gather, stride = {}, {}, 1
+        while stride <= strides[-1]:
+            n = -(-sizes // stride)
+            begin = np.concatenate([[0], np.cumsum(n + gap)])
+            layout[stride] = (begin, n)
+            if stride > 1:
+                above = layout[stride // 2][0]
+                first = np.full(begin[-1], above[-1] - 1, np.int64)
+                for d, m in enumerate(n.tolist()):
+                    first[begin[d] : begin[d] + m] = above[d] + 2 * np.arange(m)
+                gather[stride] = (first, np.minimum(first + 1, above[-1] - 1))
+            stride *= 2
+        begin = layout[1][0]
+        whole, blank = np.zeros(begin[-1], np.uint64), np.full(begin[-1], 0xFFFFFFFF, np.uint32)
+        for d, shingles in enumerate(documents):
+            whole[begin[d] : begin[d] + len(shingles)] = shingles
+            blank[begin[d] : begin[d] + len(shingles)] = 0
+        for band in range(max(w.bands for w in by_length.values())):
+            least: dict[int, list[np.ndarray]] = {}
+            for f in self._functions(band):
+                at_stride = self._hash(whole, f) | blank
+                for stride in layout:
+                    if stride > 1:
+                        first, second = gather[stride]
+                        at_stride = np.minimum(at_stride[first], at_stride[second])
+                    of = [w for w in by_length.values() if w.stride == stride and band < w.bands]
+                    sliding = [at_stride]
+                    for w in of:
+                        blocks = w.length // stride
+                        while 2 << (len(sliding) - 1) <= blocks:
+                            half = 1 << (len(sliding) - 1)
+                            sliding.append(np.minimum(sliding[-1][:-half], sliding[-1][half:]))
+                        power = blocks.bit_length() - 1
+                        rest = blocks - (1 << power)
+                        v = sliding[power]
+                        least.setdefault(w.length, []).append(np.minimum(v[:-rest], v[rest:]) if rest else v)
+            for length, values in least.items():
+                w = by_length[length]
+                begin, n = layout[w.stride]
+                for i in np.flatnonzero(w.seen[band][_low(values)]).tolist():
+                    for t in w.tables[band].get(tuple(int(v[i]) for v in values), ()):
+                        d = int(np.searchsorted(begin, i, "right")) - 1
+                        if i - begin[d] < n[d]:
+                            found.add((d, length, int(i - begin[d]) * w.stride, t))
         return found
 
+    def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text (license, first word, words, containment), one row for each run of matching windows."""
+        words = [words_of((t or "").encode()) for t in texts]
+        hits: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in texts]
+        for k, by_length in self.windows.items():
+            longest = max(by_length)
+            # parts of documents: (document, first shingle, shingles)
+            parts: list[tuple[int, int, np.ndarray]] = []
+            held = 0
+            for d, w in enumerate(words):
+                shingles = shingles_of(w, k) if len(w) >= k else w[:0]
+                for at in range(0, len(shingles), SEGMENT):
+                    parts.append((d, at, shingles[at : at + SEGMENT + longest]))
+                    held += len(parts[-1][2])
+                    if held >= BATCH:
+                        self._verify(parts, k, hits)
+                        parts, held = [], 0
+            if parts:
+                self._verify(parts, k, hits)
+        out = []
+        for w, found in zip(words, hits, strict=True):
+            rows = [(self.names[t], a, min(b, len(w)) - a, share) for t, spans_of in found.items() for a, b, share in _merged(spans_of)]
+            out.append(sorted(rows, key=lambda m: (m[1], m[0])))
+        return out
+
+    def _verify(self, parts: list[tuple[int, int, np.ndarray]], k: int, hits: list[dict[int, list[tuple[int, int, float]]]]) -> None:
+        for p, length, first, t in self.retrieved([x for _, _, x in parts], k):
+            d, at, shingles = parts[p]
+            window = shingles[first : first + length]
+            share = float(np.isin(self.sets[t], window).mean())
+            if share >= self.containment - 1e-9:
+                inside = at + first + np.flatnonzero(np.isin(window, self.sets[t]))
+                hits[d].setdefault(t, []).append((int(inside[0]), int(inside[-1]) + k, share))
+
 
 def _merged(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Joins overlapping spans; the largest containment counts."""
@@ -181,8 +262,10 @@ def _scanner(templates: tuple[tuple[str, str], ...], containment: float) -> Scan
 def license_scan(df: DataFrame, text_col: str = "text", keep: list[Column] | None = None, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """The `keep` columns of each row, then matches: array of (license, first_word, n_words, containment).
 
-    Null, empty and word-less texts have an empty array, as have all texts if there are no
-    templates. Other columns are ignored; repeated rows are judged one by one.
+    Matches are ordered by first word and name; templates that match the same words, equal
+    ones too, are all reported. Null, empty and word-less texts have an empty array, as have
+    all texts if there are no templates; templates without words never match. Other columns
+    are ignored, repeated rows are judged one by one, an empty table gives an empty result.
     """
     fixed = tuple(sorted((TEMPLATES if templates is None else templates).items()))
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
@@ -197,7 +280,7 @@ def license_scan(df: DataFrame, text_col: str = "text", keep: list[Column] | Non
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [[dict(zip(fields, m, strict=True)) for m in scanner.scan(t.as_py())] for t in part.column(part.num_columns - 1)]
+                got = [[dict(zip(fields, m, strict=True)) for m in found] for found in scanner.scan(part.column(part.num_columns - 1).to_pylist())]
                 yield pa.record_batch([*part.columns[:-1], pa.array(got, kind)], names=schema.fieldNames())
 
     return importable(rows).mapInArrow(run, schema).toDF(*names, "matches")

@@ -256,37 +256,61 @@ def classes_by_hand(fps, radius=4):
     return {f: find(f) for f in known}
 
 
-@pytest.mark.parametrize("piece", [2048, 3])
-def test_near_links_join_what_brute_force_joins(spark, piece):
-    rng = random.Random(piece)
-    fps = [rng.getrandbits(64) for _ in range(60)]
-    for centre in fps[:6]:  # clusters, chains and near misses
-        for _ in range(25):
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def clusters(rng, n, members, bits):
+    """n random fingerprints, the first of which have clusters, chains and near misses around them."""
+    fps = [rng.getrandbits(64) for _ in range(n)]
+    for centre in fps[: len(members)]:
+        for _ in range(members[fps.index(centre)]):
             f = centre
-            for b in rng.sample(range(64), rng.randint(1, 7)):
+            for b in rng.sample(range(64), rng.randint(1, bits)):
                 f ^= 1 << b
             fps.append(f)
-    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    return list(dict.fromkeys(fps))
+
+
+@pytest.mark.parametrize(("piece", "group", "members"), [(2048, 1 << 18, [25] * 6), (3, 1 << 18, [25] * 6), (4, 16, [25] * 6), (200, 1 << 18, [1500, 40])])
+def test_trees_join_what_all_pairs_join(spark, piece, group, members):
+    """Also in shards of over a thousand nodes, by the trees of small shards, at the roots of large ones and in broadcast trees."""
+    fps = clusters(random.Random(piece), 60, members, 7)
     scratch = Scratch(spark)
-    nodes = spark.createDataFrame([(signed(f), i) for i, f in enumerate(dict.fromkeys(fps))], "fp long, least long")
-    got = {r.node: r.root for r in components(simhash.near_links(nodes, len(fps), scratch, piece=piece), scratch).collect()}
-    want = defaultdict(set)
+    nodes = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, least long").select(F.struct(F.lit(False).alias("none"), "least", "fp").alias("node"))
+    links = simhash.near_links(nodes, len(fps), scratch, piece=piece, group=group)
+    for r in links.collect():
+        assert ((r.a.fp ^ r.b.fp) & ((1 << 64) - 1)).bit_count() <= 4
+    found = {r.found for r in links.select("found").distinct().collect()}
+    assert found == ({"tree"} if piece == 2048 else {"tree", "root", "broadcast tree"})
+    got = {r.node.fp: r.root for r in components(links, scratch).collect()}
+    want, have, least = defaultdict(set), defaultdict(set), {signed(f): i for i, f in enumerate(fps)}
     for f, t in classes_by_hand(fps).items():
         want[t].add(signed(f))
-    have = defaultdict(set)
-    for f in {signed(f) for f in fps}:
-        have[got.get(f, f)].add(f)
+    for f in least:
+        have[got[f].fp if f in got else f].add(f)
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
+    assert all(root.least == min(least[f] for f in have[root.fp]) for root in got.values())  # a root is its component's first node
+
+
+def test_shard_links_are_all_pairs_of_a_big_shard():
+    fps = clusters(random.Random(8), 400, [900, 300, 200], 5)
+    links, top = simhash.shard_links(fps, 4), classes_by_hand(fps)
+    assert all((fps[i] ^ fps[j]).bit_count() <= 4 for i, j in links)
+    unions = simhash.Unions()
+    for i, j in links:
+        assert unions.join(i, j)
+    assert len({unions.top(i) for i in range(len(fps))}) == len(set(top.values()))
 
 
 def test_bk_tree_finds_all_within_the_radius():
     rng = random.Random(4)
-    values = [rng.getrandbits(14) for _ in range(400)]
+    values = list({rng.getrandbits(14) for _ in range(400)})
     tree = simhash.BKTree()
     for v in values:
         tree.add(v)
     for q in values[:50]:
-        assert set(tree.search(q, 4)) == {v for v in values if (v ^ q).bit_count() <= 4}
+        assert {tree.values[i] for i in tree.search(q, 4)} == {v for v in values if (v ^ q).bit_count() <= 4}
 
 
 def test_block_plan_loses_no_pair():
@@ -304,6 +328,23 @@ def test_simhash_classes(docs, odd, empty):
         assert got[i].component_id == min(j for j in fps if top[fps[j]] == top[fps[i]])
     assert simhash.simhash_classes(odd).count() == 6
     assert simhash.simhash_classes(empty).count() == 0
+    named = {r.doc_id: r.component_id for r in simhash.simhash_classes(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()}
+    assert all(named[f"d{i}"] == min(f"d{j}" for j in fps if top[fps[j]] == top[fps[i]]) for i in fps)
+
+
+def test_hot_fingerprints_and_hubs(spark, monkeypatch):
+    """Rows of a hot key meet their one partner by broadcast; results are the same."""
+    from lodestar.llm import components as stars
+
+    monkeypatch.setattr(stars, "HOT_ROWS", 3)
+    texts = [None] * 40 + ["a b c d e f"] * 30 + [f"own text number {i} of many {i * 7}" for i in range(20)]
+    rows = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = simhash.simhash_classes(rows).groupBy("fingerprint", "component_id").count().collect()
+    assert sorted(r["count"] for r in got)[-2:] == [30, 40] and sum(r["count"] for r in got) == len(texts)
+    assert {r.component_id for r in got if r["count"] in (30, 40)} == {1, 40}
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 300), 100)}
 
 
 def test_components_of_paths_and_stars(spark):
@@ -428,39 +469,96 @@ def test_descriptions_don_t_depend_on_the_blocks(monkeypatch):
     assert np.allclose(a[0][:10], b[0][:10]) and np.array_equal(a[1], b[1]) and np.allclose(a[2], b[2])
 
 
-def test_license_scan_finds_planted_notices(spark, empty, odd):
+def notices_by_hand(text, templates, containment=0.8):
+    """Every window of every template, by sets of word tuples."""
+    cut = lambda s: re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))
+    w, out = cut(text), []
+    for name, notice in templates.items():
+        v = cut(notice)
+        k = min(5, len(v))
+        if not k or len(w) < k:
+            continue
+        need, have = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}, [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        length, stride = licenses.window_of(len(v) - k + 1)
+        hits = []
+        for at in range(0, len(have), stride):
+            inside = [i for i in range(at, min(at + length, len(have))) if have[i] in need]
+            share = len({have[i] for i in inside}) / len(need)
+            if share >= containment:
+                hits.append((inside[0], inside[-1] + k, share))
+        while hits:
+            x, y, share = hits.pop(0)
+            while hits and hits[0][0] < y:
+                y, share = max(y, hits[0][1]), max(share, hits[0][2])
+                hits.pop(0)
+            out.append((name, x, y - x, share))
+    return sorted(out, key=lambda m: (m[1], m[0]))
+
+
+def noisy(rng, words, share):
+    """Words of which about `share` are replaced, dropped or have another put before them."""
+    out = []
+    for w in words:
+        out += rng.choice([["zzz"], [], ["yyy", w]]) if rng.random() < share else [w]
+    return out
+
+
+def test_bands_retrieve_what_all_windows_contain(spark):
+    """Recall of retrieval by bands against exact containment in all windows of noisy notices."""
+    rng, scanner = random.Random(3), licenses.Scanner(licenses.TEMPLATES)
+    filler = [f"w{i}" for i in range(500)] + "the of this license software is in any".split()
+    there, got = 0, 0
+    for _ in range(12):
+        for notice in licenses.TEMPLATES.values():
+            text = " ".join([*rng.choices(filler, k=rng.randint(0, 90)), *noisy(rng, notice.split(), rng.choice([0, 0.01, 0.03])), *rng.choices(filler, k=rng.randint(0, 60))])
+            words = licenses.words_of(text.encode())
+            for k, by_length in scanner.windows.items():
+                shingles = licenses.shingles_of(words, k) if len(words) >= k else words[:0]
+                found = scanner.retrieved([shingles], k)
+                for w in by_length.values():
+                    for at in range(0, len(shingles), w.stride):
+                        for t in w.templates:
+                            if np.isin(scanner.sets[t], shingles[at : at + w.length]).mean() >= licenses.CONTAINMENT:
+                                there, got = there + 1, got + ((0, w.length, at, t) in found)
+    assert there > 1000 and got >= 0.99 * there
+
+
+def test_bands_collide_as_promised():
+    for t in (1, 2, 5, 8, 9, 30, 170):
+        length, stride = licenses.window_of(t)
+        assert length >= t + stride - 1 and length % stride == 0 and length // stride <= licenses.BLOCKS
+        c = -(-8 * t // 10)
+        assert 1 - (1 - (c / (length + t - c)) ** licenses.ROWS) ** licenses.bands_for(t, length) >= licenses.COLLISION
+
+
+def test_license_scan_is_all_windows(spark, empty, odd, monkeypatch):
     rng = random.Random(3)
     filler = [f"w{i}" for i in range(500)]
     fill = lambda n: " ".join(rng.choices(filler, k=n))
-    texts, want = [], []
-    for name, notice in licenses.TEMPLATES.items():
-        texts.append(f"{fill(rng.randint(0, 90))}\n{notice}\n{fill(40)}")
-        want.append(name)
-    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=[F.col("doc_id")]).collect()
-    for r in got:
-        assert want[r.doc_id] in {m.license for m in r.matches}, want[r.doc_id]
-    # a tenth of the words of a long notice changed: found or not as exact containment says
-    words = licenses.TEMPLATES["gpl-notice"].split()
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    for gap in (40, 20, 5):
-        changed = " ".join("zzz" if i % gap == gap - 1 else w for i, w in enumerate(words))
-        have = set(licenses.shingles_of(licenses.words_of(changed.encode())).tolist())
-        need = scanner.sets[scanner.names.index("gpl-notice")].tolist()
-        share = sum(s in have for s in need) / len(need)
-        assert ("gpl-notice" in {m[0] for m in scanner.scan(f"{fill(33)} {changed} {fill(21)}")}) == (share >= 0.8)
-    assert [r.matches for r in licenses.license_scan(spark.createDataFrame([(None,), ("",), ("... !",), (fill(3000),)], "text string")).collect()] == [[], [], [], []]
+    texts = [f"{fill(rng.randint(0, 90))}\n{notice}\n{fill(40)}" for notice in licenses.TEMPLATES.values()]
+    texts += [" ".join(noisy(rng, notice.split(), 0.02)) for notice in licenses.TEMPLATES.values()]
+    texts += [texts[3], None, "", "... !", fill(3000), " ".join([*texts[:9], fill(5000), *texts[9:20]]), "one two three four five six. ALL RIGHTS  RESERVED.\nAll rights reserved. Nine ten all rights were reserved.", "All rights reserved.", "all rights"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("matches", F.lit("clash")).withColumn("k0", F.lit(1))
+    want = [notices_by_hand(t, licenses.TEMPLATES) for t in texts]
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in licenses.license_scan(df, keep=[F.col("doc_id")]).collect()}
+    assert len(got) == len(texts)
+    for i, (name, notice) in enumerate(licenses.TEMPLATES.items()):
+        assert name in {m[0] for m in got[i]}, name
+    for i, rows in enumerate(want):
+        assert [m[:3] for m in got[i]] == [m[:3] for m in rows] and np.allclose([m[3] for m in got[i]], [m[3] for m in rows]), texts[i]
+    # the same whatever is read together: blocks of bytes, segments of shingles, batches of documents
+    scanner, whole = licenses.Scanner(licenses.TEMPLATES), [got[i] for i in range(len(texts))]
+    for name, n in (("KEPT", 64), ("SEGMENT", 64), ("BATCH", 10)):
+        monkeypatch.setattr(licenses, name, n)
+        assert scanner.scan(texts) == whole
     assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(odd).count() == 6
+    assert all(r.matches == [] for r in licenses.license_scan(df, templates={"none": "..."}).collect() + licenses.license_scan(df, templates={}).collect())
 
 
-def test_license_templates_of_under_five_words_match_inside_documents():
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    text = "one two three four five six. ALL RIGHTS  RESERVED.\nAll rights reserved. Nine ten all rights were reserved."
-    assert scanner.scan(text) == [("all-rights-reserved-short", 6, 3, 1.0), ("all-rights-reserved-short", 9, 3, 1.0)]
-    assert scanner.scan("All rights reserved.") == [("all-rights-reserved-short", 0, 3, 1.0)] and scanner.scan("all rights") == []
-    assert {m[0] for m in scanner.scan(f"x {licenses.TEMPLATES['all-rights-reserved']} y")} == {"all-rights-reserved", "all-rights-reserved-short"}
-    own = licenses.Scanner({"one": "Copyleft", "two": "No warranty", "four": "Use it as is", "five": "Use it as you like"})
-    got = own.scan("You may use it as is; no warranty, copyleft. Use it as you like")
-    assert [(name, at, n) for name, at, n, _ in got] == [("four", 2, 4), ("two", 6, 2), ("one", 8, 1), ("five", 9, 5)]
+def test_license_templates_of_any_length_and_ties():
+    own = licenses.Scanner({"one": "Copyleft", "two": "No warranty", "four": "Use it as is", "five": "Use it as you like", "five again": "Use it, as you like!"})
+    got = own.scan(["You may use it as is; no warranty, copyleft. Use it as you like"])[0]
+    assert [(name, at, n) for name, at, n, _ in got] == [("four", 2, 4), ("two", 6, 2), ("one", 8, 1), ("five", 9, 5), ("five again", 9, 5)]
 
 
 def test_token_ledger_is_idempotent_and_signed(spark):
