@@ -20,8 +20,10 @@ DEFINITION_CUES = ("is referred to as", "is defined as", "refers to", "can be su
 # Therapy kinds that make a passage specific to one of them.
 MODALITIES = ("brachytherapy", "electron therapy", "photon therapy", "proton therapy", "carbon ion therapy", "total body irradiation", "concomitant imaging doses")
 
-# Sections and phrases of summaries.
+# Sections of summaries.
 SUMMARY_SECTIONS = ("8. RECOMMENDATIONS", "6. TECHNIQUES TO MINIMIZE NONTARGET DOSE")
+
+# Phrases of summaries.
 SUMMARY_PHRASES = ("this report provides", "this report aims to", "to those ends", "the focus of this report", "provides guidance")
 
 # Report identifiers, applied to lower-cased text.
@@ -38,13 +40,21 @@ REPORT_CUES = {
 }
 
 # Words that don't tell titles apart.
-TITLE_STOPWORDS = tuple("aapm iaea report reports publication radiation radiotherapy therapy physics quality assurance guidance evidence grounded matter covers cover what which does that would for and the with".split())
+TITLE_STOPWORDS = (
+    "aapm", "iaea", "report", "reports", "publication", "radiation", "radiotherapy", "therapy", "physics", "quality", "assurance", "guidance",
+    "evidence", "grounded", "matter", "covers", "cover", "what", "which", "does", "that", "would", "for", "and", "the", "with",
+)
 
 # Words that carry no content in a question.
-QUERY_STOPWORDS = tuple("a an and are as according about based be by define discuss discussed does for from how in is it of on or say section the to tg what which with".split())
+QUERY_STOPWORDS = (
+    "a", "an", "and", "are", "as", "according", "about", "based", "be", "by", "define", "discuss", "discussed", "does", "for", "from", "how", "in",
+    "is", "it", "of", "on", "or", "say", "section", "the", "to", "tg", "what", "which", "with",
+)
 
-# Questions about tables and figures, and questions that ask for a list.
+# Questions about tables and figures.
 ASSET_QUERY = r"(?i)\b(table|figure|fig\.?|diagram|asset)\b|\b(?:detected|displayed|shown|this|that|the)\s+image\b|\bimage\s+(?:asset|metadata|above|below|shown|displayed|on\s+page)\b"
+
+# Questions that ask for a list.
 LISTING_QUERY = r"(?i)\b(?:what|which|list|name|identify|describe)\b.*\b(?:actions?|areas?|categories|elements|indices|issues|methods|purposes|properties|reasons|systems|technologies|tests|tools|types)\b"
 
 # Tags and the patterns that set them.
@@ -55,6 +65,8 @@ TAGS = {
     "risk": (r"\bsecond(?:ary)? cancer\b", r"\bcardiac toxicity\b", r"\bfetal dose\b", r"\bcataract\b", r"\bpacemaker\b", r"\blate effects?\b", r"\brisk\b"),
     "modality_specific": tuple(rf"\b{m}\b" for m in MODALITIES),
 }
+
+# Wording that sets the recommendation tag.
 RECOMMENDATION = r"\brecommend(?:ation|ations|ed)?\b"
 
 # Kinds of scenes for routing.
@@ -65,6 +77,8 @@ QUESTION_PATTERNS = {
     "calculation": r"\b(calculate|derive|formula|equation|constant|half-life|output factor|monitor unit|mu)\b",
     "table_or_figure": r"\b(table|figure|chart|diagram|image|appendix)\b",
 }
+
+# Domains and the terms that tag a question with them.
 DOMAIN_TERMS = {
     "dosimetry": ("dosimetry", "dose", "absorbed", "calibration", "ionization", "chamber", "output factor", "small field", "brachytherapy", "reference dosimeter"),
     "quality_management": ("quality", "qa", "qc", "fmea", "risk", "audit", "chart review", "process map", "failure mode", "tolerance", "safety"),
@@ -73,13 +87,17 @@ DOMAIN_TERMS = {
     "equipment": ("linac", "accelerator", "equipment", "machine", "record and verify", "mlc", "epid", "tomotherapy"),
     "facility_safety": ("facility", "shielding", "room", "radiation protection", "staffing", "programme", "infrastructure"),
 }
+
+# Words and phrases of other domains.
 OUT_OF_DOMAIN = (
-    *"bread crypto municipal portfolio dental antibiotic stock recipe weather legal tax sourdough python finance dashboard filing proprietorship california violin violinist baroque ornamentation soil blueberries garden chess opening kitchen faucet cartridge kyoto itinerary marathon camera lens photography mortgage refinance mold bathroom grout jazz piano voicings wi-fi wifi flour neapolitan pizza dough".split(),
-    "web framework",
-    "knee injury",
-    "packet loss",
-    "home network",
+    "bread", "crypto", "municipal", "portfolio", "dental", "antibiotic", "stock", "recipe", "weather", "legal", "tax", "sourdough", "python",
+    "web framework", "finance", "dashboard", "filing", "proprietorship", "california", "violin", "violinist", "baroque", "ornamentation", "soil",
+    "blueberries", "garden", "chess", "opening", "kitchen", "faucet", "cartridge", "kyoto", "itinerary", "marathon", "knee injury", "camera", "lens",
+    "photography", "mortgage", "refinance", "mold", "bathroom", "grout", "jazz", "piano", "voicings", "wi-fi", "wifi", "packet loss", "home network",
+    "flour", "neapolitan", "pizza", "dough",
 )
+
+# Questions about a patient or another speciality, which stay unanswered.
 BOUNDARIES = (
     r"\b(chemotherapy|immunotherapy|antibiotic|cellulitis|radiation dermatitis)\b",
     r"\b(surgery|surgical|survival benefit|cure rate|prognosis)\b",
@@ -93,6 +111,8 @@ BOUNDARIES = (
     r"\b(should i|should my|my mother|my father|my wife|my husband|this patient)\b",
     r"\b(which treatment should|choose sbrt or surgery|treatment regimen)\b",
 )
+
+# Words of a question that spans reports.
 BROAD = r"\b(across|between|multiple|several|overall)\b"
 
 # Strategies by kind of task (name, backend, evidence rows).
@@ -121,6 +141,8 @@ OVERCLAIMS = (
 
 # Weights of the reranker's model score, prior and bonus by kind of question.
 BLEND_WEIGHTS = {"definition": (0.55, 0.45, 0.15), "section_locator": (0.58, 0.42, 0.20), "recommendation": (0.62, 0.38, 0.20)}
+
+# The weights of other questions.
 BLEND_DEFAULT = (0.65, 0.35, 0.25)
 
 # Topics and the keywords that assign chunks to them.
@@ -136,5 +158,9 @@ TAXONOMY = {
     "nontarget-dose-and-radiation-protection": ("nontarget", "out-of-field", "radiation protection", "induced", "safety of sources", "shielding", "imaging dose"),
     "education-and-foundations": ("handbook", "training", "resident", "education", "fundamentals", "half-life", "radioactive decay"),
 }
+
+# The topic of chunks that no keyword assigns.
 FALLBACK_TOPIC = "education-and-foundations"
+
+# Words left out of a topic's frequent terms.
 TOPIC_TERM_STOPWORDS = ("the", "and", "for", "with", "report", "radiotherapy", "radiation")
