@@ -6,8 +6,8 @@ whose class would leave more than SLACK of its share unused gives its largest re
 share C/(i+1) to that class as a full piece, and the rest is classed again. Each task packs
 its own documents and keeps at most i - 1 open pieces a class. At its end those leftovers
 are laid end to end and cut at the capacity; the last run is split by powers of two,
-which need no padding. No exchange is needed, and a task's memory doesn't grow with its
-input.
+which need no padding. No exchange is needed, and a task holds the ids of its open pieces
+(fewer than CLASSES sequences) and of the document at hand, however many documents it packs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from lodestar.llm.tokens import END_ID, encoder
 
 CAPACITY = 4096
 CLASSES = 64
-SLACK = 1 / 128
+SLACK = 1 / 32
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
@@ -70,7 +70,9 @@ class Packer:
     def add(self, doc_id: int | None, ids: np.ndarray, out: list[tuple]) -> None:
         start = 0
         for kind, n in cut(len(ids), self.capacity, self.classes, self.slack):
-            piece = (doc_id, start, ids[start : start + n], len(ids))
+            part = ids[start : start + n]
+            # a piece that stays open is a copy, not a view that would keep its whole document
+            piece = (doc_id, start, part.copy() if kind != 1 else part, len(ids))
             start += n
             held = self.open.setdefault(kind, [])
             held.append(piece)
