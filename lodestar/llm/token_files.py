@@ -143,9 +143,10 @@ class TokenFile:
 def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes all documents in ascending id order; one row a file: part, at, name, n_tokens.
 
-    Every document ends with `end_id`; null and empty texts are that id alone. Rows with a
-    null id come first; rows that repeat an id follow one another. Other columns are
-    ignored. An empty table gives no files. Evaluating the result writes the files, so save
+    Ids are numbers. Every document ends with `end_id`; null and empty texts are that id
+    alone. Rows with a null id come first; rows that repeat an id follow one another in the
+    order of their texts' hashes, so that an id that many rows share is split over tasks and
+    a task that runs again writes the same file. Other columns are ignored. An empty table gives no files. Evaluating the result writes the files, so save
     it once (see `token_files`).
     """
 
@@ -171,7 +172,9 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         yield pa.record_batch({"part": pa.array([part] * len(done), pa.int32()), "at": pa.array(range(len(done)), pa.int32()), "name": pa.array([x[0] for x in done], pa.string()), "n_tokens": pa.array([x[1] for x in done], pa.int64())})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return importable(rows).repartitionByRange("id").sortWithinPartitions("id").mapInArrow(write, "part int, at int, name string, n_tokens long")
+    order = ("id", F.xxhash64("text"))
+    rows = importable(rows).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return rows.mapInArrow(write, "part int, at int, name string, n_tokens long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -206,9 +209,20 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(raw, pa.binary())})
 
 
+def _clear_temporary(folder: str) -> None:
+    """Deletes what failed tasks left; finished files have other names."""
+    from pyarrow import fs
+
+    store, root = file_system(folder)
+    for found in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("."):
+            store.delete_file(found.path)
+
+
 def token_files(spark: SparkSession, df: DataFrame, folder: str, **how) -> tuple[DataFrame, str]:
     """Writes the files once and returns their saved listing and the folder of the files."""
     files = f"{folder}/tokens"
     listing = write_token_files(df, files, **how)
     listing.write.mode("overwrite").parquet(f"{folder}/listing")
+    _clear_temporary(files)
     return spark.read.schema("part int, at int, name string, n_tokens long").parquet(f"{folder}/listing"), files
