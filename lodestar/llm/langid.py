@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter class has a random vector of +1 and -1. A letter trigram is bound as the
+Every letter, of any script, has a random vector of +1 and -1, derived from a hash of its code
+point; what is no letter is one boundary with a vector of its own. A letter trigram is bound as the
 element-wise product of its letters' vectors, the first rotated by two places and the
 second by one, so order matters; the vectors of different trigrams are nearly orthogonal.
 A document's vector bundles (sums) its trigrams' vectors, a language's prototype those of
@@ -23,26 +24,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.wordhash import mix
 
 DIMENSIONS = 1024
 SEED = 11
-#: letter classes: a to z have one each, other letters share the rest
-CLASSES = 128
+#: bits of a code point in a trigram's code
+BITS = 21
+POINT = (1 << BITS) - 1
 UNDETERMINED = "und"
 #: documents whose counts are multiplied at a time, code points read at a time, and trigrams bound at a time
 GROUP, SLICE, BIND = 128, 1 << 19, 4096
-#: bound trigrams that a worker remembers
-MEMORY = 16_384
+#: bound trigrams and letters' vectors that a worker remembers
+MEMORY, LETTERS = 16_384, 8_192
 
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    """Class of each code point: 0 no letter, 1 to 26 a to z, then the rest by remainder."""
-    kinds = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            kinds[c] = c - 96 if 97 <= c <= 122 else 27 + c % (CLASSES - 27)
-    return kinds
+    """Each code point's letter: itself, or 0 (the boundary) if it is none."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    return np.where(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000), points, np.uint32(0))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -54,46 +54,64 @@ def trigrams(text: str | None) -> np.ndarray:
     text = text or ""
     for at in range(0, len(text) or 1, SLICE):
         points = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        kinds = letter_table()[points].astype(np.uint32)
+        kinds = letter_table()[points]
         last = at + SLICE >= len(text)
         kinds = np.concatenate([carry, kinds, np.zeros(int(last), np.uint32)])
         keep = np.ones(len(kinds), bool)
         keep[1:] = (kinds[1:] != 0) | (kinds[:-1] != 0)
         kinds = kinds[keep]
         if len(kinds) >= 3:
-            codes = (kinds[:-2] << 14) | (kinds[1:-1] << 7) | kinds[2:]
+            wide = kinds.astype(np.int64)
+            codes = (wide[:-2] << 2 * BITS) | (wide[1:-1] << BITS) | wide[2:]
             parts.append(codes[kinds[1:-1] != 0])
         carry = kinds[-2:]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 class Binder:
     """Vectors of trigrams; the most recent MEMORY of them are kept bound."""
 
     def __init__(self, dimensions: int, seed: int) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dimensions))
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.place = np.full(CLASSES**3, -1, np.int32)
+        self.dimensions, self.seed = dimensions, seed
+        self.known: dict[int, np.ndarray] = {}
+        self.codes, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.bound = np.zeros((MEMORY, dimensions), np.float32)
-        self.codes = np.zeros(MEMORY, np.int64)
-        self.used = 0
+
+    def letters(self, points: list[int]) -> np.ndarray:
+        """A row of +1 and -1 for each code point: the bits of hashes of it."""
+        if len(self.known) > LETTERS:
+            self.known.clear()
+        new = np.array([p for p in points if p not in self.known], np.uint64)
+        if len(new):
+            words = np.arange(-(-self.dimensions // 64), dtype=np.uint64) + np.uint64(self.seed << 40)
+            hashes = mix(mix(words)[None, :] ^ (new + np.uint64(1))[:, None] * np.uint64(0x9E3779B97F4A7C15))
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : self.dimensions]
+            self.known.update(zip(new.tolist(), (2 * bits.astype(np.int8) - 1), strict=True))
+        return np.array([self.known[p] for p in points], np.int8).reshape(-1, self.dimensions)
 
     def _bind(self, codes: np.ndarray) -> np.ndarray:
-        return self.first[codes >> 14] * self.second[(codes >> 7) & 127] * self.third[codes & 127]
+        points, at = np.unique(np.concatenate([codes >> 2 * BITS, (codes >> BITS) & POINT, codes & POINT]), return_inverse=True)
+        vectors = self.letters(points.tolist())
+        first, second, third = at.reshape(3, -1)
+        return np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.place[codes] < 0]
-        if self.used + len(new) > MEMORY:
-            self.place[self.codes[: self.used]] = -1
-            self.used, new = 0, codes
-        at = np.arange(self.used, self.used + len(new))
-        self.place[new], self.codes[at], self.bound[at] = at, new, self._bind(new)
-        self.used += len(new)
-        return self.bound[self.place[codes]]
+        """Vectors of distinct codes in ascending order, at most BIND of them."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        new = codes[self.codes[at] != codes] if len(self.codes) else codes
+        if len(self.codes) + len(new) > MEMORY:
+            self.codes, self.place, new = self.codes[:0], self.place[:0], codes
+        if len(new):
+            slots = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.bound[slots] = self._bind(new)
+            merged = np.concatenate([self.codes, new])
+            order = np.argsort(merged, kind="stable")
+            self.codes, self.place = merged[order], np.concatenate([self.place, slots])[order]
+        return self.bound[self.place[np.searchsorted(self.codes, codes)]]
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """counts: documents x codes; sums of counted vectors."""
-        out = np.zeros((len(counts), self.bound.shape[1]), np.float32)
+        out = np.zeros((len(counts), self.dimensions), np.float32)
         for at in range(0, len(codes), BIND):
             out += counts[:, at : at + BIND] @ self.vectors(codes[at : at + BIND])
         return out
@@ -113,7 +131,7 @@ def bundles(texts: Iterable[str | None], bind: Binder) -> np.ndarray:
         codes.append(code)
         counts.append(count)
     if not rows:
-        return np.zeros((0, bind.bound.shape[1]), np.float32)
+        return np.zeros((0, bind.dimensions), np.float32)
     distinct, column = np.unique(np.concatenate(codes), return_inverse=True)
     dense = np.zeros((len(rows), len(distinct)), np.float32)
     dense[np.concatenate(rows), column] = np.concatenate(counts)
@@ -121,7 +139,10 @@ def bundles(texts: Iterable[str | None], bind: Binder) -> np.ndarray:
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """Languages in ascending order and their prototypes, from all rows with a language and a text."""
+    """Languages in ascending order and their prototypes, from all rows with a language and a text.
+
+    Repeated rows count one by one. A table without such rows gives no languages.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -154,7 +175,8 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
 
     score is the cosine with the predicted language's prototype, 0 where it is negative.
     Texts that are null or have no letter, and all texts of a model without languages, are
-    `und` with score 0. Of equal cosines the first language in order wins.
+    `und` with score 0. Of equal cosines the first language in order wins. Repeated rows are
+    judged one by one, other columns are ignored, an empty table gives an empty result.
     """
     langs, prototypes = model
     dimensions = prototypes.shape[1]
