@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +32,35 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+#: applications that have this package already
+_SHIPPED: set[str] = set()
+
+
 def importable(df: DataFrame) -> DataFrame:
-    """The same table; the session's Python workers can then import this package as the driver did.
+    """The same table; the session's Python workers can then import this package.
 
-    Where the package isn't on PYTHONPATH already, its folder is added to what workers are
-    started with. A cluster without a shared code folder needs it installed or shipped.
+    The package's files go to the shared folder as one archive, which Spark hands to every
+    worker, also to those of executors that come later.
     """
-    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
-    known = [*env.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+    spark, package = df.sparkSession, Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId not in _SHIPPED and package.is_dir():
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.writestr(zipfile.ZipInfo(str(file.relative_to(package.parent))), file.read_bytes())
+        path = f"{shared_root(spark)}/lodestar/lodestar-{hashlib.sha256(made.getvalue()).hexdigest()[:16]}.zip"
+        fs, place = _hadoop(spark, path)
+        out = fs.create(place, True)
+        out.write(bytearray(made.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(spark.sparkContext.applicationId)
     return df
 
 
@@ -45,13 +68,21 @@ class Scratch:
     """A fresh folder below the shared one for intermediate tables.
 
     Writing a table and reading it back cuts the lineage: losing an executor
-    costs the running stage only. Call drop() once results are stored.
+    costs the running stage only. What isn't dropped before goes with the driver.
     """
 
+    #: scratches made inside `dropping`, innermost last
+    _made: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.path = f"{root or shared_root(spark)}/lodestar/{uuid.uuid4().hex}"
         self._n = 0
+        fs, place = _hadoop(spark, self.path)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        if Scratch._made:
+            Scratch._made[-1].append(self)
 
     def folder(self, name: str) -> str:
         self._n += 1
@@ -62,7 +93,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, folder: str | None = None) -> None:
+        """Deletes one folder of this scratch, or all of it."""
+        fs, place = _hadoop(self.spark, folder or self.path)
+        fs.delete(place, True)
+
+    @staticmethod
+    @contextmanager
+    def dropping() -> Iterator[None]:
+        """Drops all scratches made inside; for use around work whose results are stored elsewhere."""
+        Scratch._made.append([])
+        try:
+            yield
+        finally:
+            for scratch in Scratch._made.pop():
+                scratch.drop()

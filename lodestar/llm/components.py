@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch
 
 #: a key is hot if it has more than HOT_ROWS rows and more than one in HOT_SHARE of all
-HOT_ROWS, HOT_SHARE = 1024, 100_000
+HOT_ROWS, HOT_SHARE = 128, 100_000
 
 
 def hot(n: Column, rows: int) -> Column:

@@ -76,8 +76,8 @@ def _join(df: DataFrame, small: DataFrame, n: int, limit: int, on: str, how: str
     return df.join(F.broadcast(small) if n <= limit else small, on, how)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST, scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items, items_sha256, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[Column] | None = None, window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST, scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items, items_sha256, contaminated, then the `keep` columns.
 
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have
     no words and are clean; so are all documents if there are no items. Rows that repeat an
@@ -95,19 +95,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     known = scratch.save(inner.select("t", F.lit(True).alias("known")).distinct(), "keys")
     n_known = known.count()
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
+    names = docs.select(*(keep or [])).columns
+    own = F.struct(F.col(id_col).alias("id"), *(c.alias(f"k{i}") for i, c in enumerate(keep or []))).alias("own")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), own, words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
     reach = F.greatest(F.col("p") + F.col("k") - window, F.lit(0))
     around = F.struct(reach.alias("from"), F.slice("w", reach + 1, F.col("p") + window - reach).alias("w")).alias("around")
     marks = (F.coalesce("p", F.lit(0)) == 0) & (F.col("k") == sizes[0])
     if n_known <= limit:
         kept = _positions(texts, sizes).join(F.broadcast(known), "t", "left").where(F.col("known") | marks)
-        kept = kept.select("row", marks.alias("mark"), F.when(marks, F.col("id")).alias("id"), "n", "p", "t", "known", F.when(F.col("known"), around).alias("around"))
+        kept = kept.select("row", marks.alias("mark"), F.when(marks, F.col("own")).alias("own"), "n", "p", "t", "known", F.when(F.col("known"), around).alias("around"))
         kept = scratch.save(kept, "positions")
-        documents, hits = kept.where("mark").select("row", "id", "n"), kept.where("known").select("row", "n", "p", "t", "around")
+        documents, hits = kept.where("mark").select("row", "own", "n"), kept.where("known").select("row", "n", "p", "t", "around")
     else:
         texts = scratch.save(texts, "texts")
         narrow = _positions(texts, sizes).select("row", "p", "k", "t").join(known, "t", "left_semi")
-        documents, hits = texts.select("row", "id", "n"), scratch.save(texts.join(narrow, "row").select("row", "n", "p", "t", around), "positions")
+        documents, hits = texts.select("row", "own", "n"), scratch.save(texts.join(narrow, "row").select("row", "n", "p", "t", around), "positions")
 
     rarity = hits.groupBy("t").agg(F.count(F.lit(1)).alias("frequency"))
     order = Window.partitionBy("w").orderBy("frequency", "t", "o")
@@ -127,12 +129,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     hit = found.groupBy("row").agg(covered.alias("hit"))
     items_of = _join(found.select("row", "w").distinct(), named, named.count(), limit, "w").groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    no_items = F.array().cast("array<string>")
-    per = documents.join(hit.join(items_of, "row"), "row", "left").withColumn("items", F.coalesce("items", no_items))
-    return per.select(
-        F.col("id").alias(id_col),
+    # rows that hold a window go to the documents by broadcast if they and their items are few
+    per = scratch.save(hit.join(items_of, "row"), "contaminated")
+    n_rows, n_items = per.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    placed = _join(documents, per, max(n_rows, n_items), limit, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return placed.select(
+        F.col("own.id").alias(id_col),
         F.col("n").cast("long").alias("n_words"),
         F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         "items",
-    ).select("*", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("hit").isNotNull().alias("contaminated"),
+        *(F.col(f"own.k{i}").alias(n) for i, n in enumerate(names)),
+    )

@@ -3,15 +3,17 @@
 Inputs of a text: hashed words (buckets of the lower-cased words, weighted by the square
 root of their share), structure statistics (ratios of letters, capitals, digits, marks,
 line and word lengths, repeated words and lines, echoed words, each in steps of its own quantiles) and
-the metadata that the text itself carries (its length). Labels, language, source and id
-are never inputs. With weights w and factor rows v of RANK numbers,
+numeric metadata columns that are named (as logarithms, in steps too; the registered query
+names n_chars). Labels, language, source and id are never inputs. With weights w and factor rows v of RANK numbers,
 
     y = w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 
 takes time linear in the inputs, and the score is 1 / (1 + exp(-y)).
 
 The model is fitted on at most TRAIN labelled rows, those with the smallest hash of their
-id; that bound is a parameter and the only sample here. Fitting is deterministic.
+id; that bound is a parameter and the only sample here. Fitting is deterministic: an id with
+clashing labels is left out, and of rows that repeat a labelled id one is taken, whatever
+their order.
 """
 
 from __future__ import annotations
@@ -94,6 +96,7 @@ class Model:
     linear: np.ndarray
     factors: np.ndarray
     buckets: int
+    metadata: tuple[str, ...] = ()
 
     def inputs(self, described: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         stats, bucket, value = described
@@ -112,15 +115,15 @@ class Model:
         return y, sums, scaled
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = 30, rate: float = 0.08, decay: float = 2e-5, seed: int = 5) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, metadata: tuple[str, ...] = (), rank: int = RANK, epochs: int = 30, rate: float = 0.08, decay: float = 2e-5, seed: int = 5) -> Model:
     """Adagrad on the logistic loss in batches of 64; an empty or one-sided sample gives its rate as a constant."""
-    n_stats = len(STATISTICS)
+    n_stats = len(STATISTICS) + len(metadata)
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     stats = np.array([r[0] for r in rows]).reshape(-1, n_stats)
     cuts = np.linspace(0, 1, STEPS + 1)[1:-1]
     edges = np.quantile(stats, cuts, axis=0).T if len(rows) else np.zeros((n_stats, STEPS - 1))
     size, rng = buckets + n_stats * STEPS, np.random.default_rng(seed)
-    model = Model(edges, float(np.log(share / (1 - share))), np.zeros(size), rng.normal(0, 0.02, (size, rank)), buckets)
+    model = Model(edges, float(np.log(share / (1 - share))), np.zeros(size), rng.normal(0, 0.02, (size, rank)), buckets, metadata)
     if not len(labels) or labels.min() == labels.max():
         model.factors[:] = 0
         return model
@@ -150,42 +153,64 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN, buckets: int = BUCKETS) -> Model:
-    """Fits on labelled rows for whose id `usable` (over column "id") holds, at most `limit` of them."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(usable & F.col("label").isNotNull()).dropDuplicates(["id"])
+def _metadata(names: Iterable[str]) -> list[Column]:
+    """Numeric columns as logarithms; null and negative values are -1."""
+    number = lambda n: F.col(n).cast("double")
+    return [F.coalesce(F.when(number(n) >= 0, F.log1p(number(n))), F.lit(-1.0)).alias(f"m{i}") for i, n in enumerate(names)]
+
+
+def _described(part: pa.RecordBatch, first: int, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What describe() says of the texts in column `first`, with the metadata of the columns after it."""
+    stated = np.array([c.to_pylist() for c in part.columns[first + 1 :]]).reshape(-1, part.num_rows)
+    made = (describe(t.as_py(), buckets) for t in part.column(first))
+    return [(np.concatenate([stats, stated[:, i]]), bucket, value) for i, (stats, bucket, value) in enumerate(made)]
+
+
+def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Iterable[str] = (), limit: int = TRAIN, buckets: int = BUCKETS) -> Model:
+    """Fits on labelled rows for whose id `usable` (over column "id") holds, at most `limit` of them.
+
+    Null ids and labels are left out, as are ids with two labels; of rows that repeat an id,
+    the one with the least text (nulls first) counts. No labelled rows, or labels of one kind only,
+    give a constant score.
+    """
+    metadata = tuple(metadata)
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(usable & F.col("id").isNotNull() & F.col("label").isNotNull())
+    chosen = chosen.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(limit)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(text_col).alias("text"), *_metadata(metadata)).alias("row")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("row").alias("row")).orderBy("id").select("label", "row.*")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [describe(t.as_py(), buckets) for t in part.column(2)]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.float64()))], names=["id", "label", "stats", "bucket", "value"])
+                made = _described(part, 1, buckets)
+                yield pa.record_batch([part.column(0), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.float64()))], names=["label", "stats", "bucket", "value"])
 
-    got = importable(rows).mapInArrow(run, "id long, label int, stats array<double>, bucket array<long>, value array<double>").toArrow()
-    order = np.argsort(np.array(got["id"].to_pylist(), dtype=np.int64), kind="stable")
-    kept = [(np.array(got["stats"][int(i)].as_py()), np.array(got["bucket"][int(i)].as_py(), dtype=np.int64), np.array(got["value"][int(i)].as_py())) for i in order]
-    return fit(kept, np.array(got["label"].to_pylist(), dtype=float)[order], buckets)
+    got = importable(rows).mapInArrow(run, "label int, stats array<double>, bucket array<long>, value array<double>").toArrow()
+    kept = [(np.array(s.as_py()), np.array(b.as_py(), dtype=np.int64), np.array(v.as_py())) for s, b, v in zip(got["stats"], got["bucket"], got["value"], strict=True)]
+    return fit(kept, np.array(got["label"].to_pylist(), dtype=float), buckets, metadata)
 
 
 def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The `keep` columns of each row, then score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null and empty texts are scored by their statistics alone. Other columns are ignored.
+    Null and empty texts are scored by their statistics alone. The model's metadata columns
+    are read from df; other columns are ignored, repeated rows are scored one by one, an
+    empty table gives an empty result.
     """
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     names = df.select(*(keep or [])).columns
-    rows = df.select(*kept, F.col(text_col).alias("text"))
-    schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
+    rows = df.select(*kept, F.col(text_col).alias("text"), *_metadata(model.metadata))
+    schema, first = df.select(*kept).schema.add("score", "double").add("predicted", "integer"), len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                inputs = [model.inputs(describe(t.as_py(), model.buckets)) for t in part.column(part.num_columns - 1)]
+                inputs = [model.inputs(d) for d in _described(part, first, model.buckets)]
                 starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in inputs])[:-1]]).astype(np.int64)
                 score = model.score(np.concatenate([i for i, _ in inputs]), np.concatenate([v for _, v in inputs]), starts)
-                yield pa.record_batch([*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.fieldNames())
+                yield pa.record_batch([*part.columns[:first], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.fieldNames())
 
     return importable(rows).mapInArrow(run, schema).toDF(*names, "score", "predicted")

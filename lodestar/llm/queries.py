@@ -11,6 +11,7 @@ from lodestar.llm.decontaminate import contamination
 from lodestar.llm.dedup_exact import exact_dedup
 from lodestar.llm.licenses import license_scan
 from lodestar.llm.packing import pack
+from lodestar.llm.pipeline import ORACLE_SQL, run
 from lodestar.llm.sharding import shuffle_to_shards
 from lodestar.llm.simhash import simhash_classes
 from lodestar.llm.token_counts import TokenLedger, counted
@@ -40,8 +41,9 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 """
 
 
-def _fold(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+def _fold(n: int, key: str = "doc_id") -> Column:
+    """The fold of an id; a null id counts as the empty text, so it has fold 0."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
 @REGISTRY.query("op1_language_id")
@@ -65,12 +67,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op3_token_rollups")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after four commits, one of them repeated.
+    """Token totals after five batches, one of them sent twice; in the end every document counts.
 
     Tokenizer word_bpe_49k: every document is inserted once. Tokenizer words: every
     document is inserted with an estimate (a quarter of its bytes) and then revised to its
-    number of words. A last batch takes the rows of a withdrawn source, src19, out of the
-    words counts.
+    number of words; a sixteenth of the documents, by checksum of the id, is deleted and
+    inserted again.
     """
     docs = table(spark, sf_dir, "documents")
     ledger = TokenLedger(spark, f"{Scratch(spark).path}/tokens")
@@ -78,22 +80,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("long")
     bpe = counted(docs, keep=keys).select(F.lit("insert").alias("op"), "source", "lang", F.lit("word_bpe_49k").alias("tokenizer"), "n_tokens", none.alias("old_tokens"))
     estimate = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    plain = docs.select(*keys, F.lit("words").alias("tokenizer"), estimate.alias("estimate"), words.alias("words"))
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    plain = docs.select("doc_id", *keys, F.lit("words").alias("tokenizer"), estimate.alias("estimate"), words.alias("words"))
+    change = lambda op, rows, n, old: rows.select(F.lit(op).alias("op"), *keys, "tokenizer", n.alias("n_tokens"), old.alias("old_tokens"))
     ledger.commit("0-bpe", bpe)
-    ledger.commit("1-estimates", plain.select(F.lit("insert").alias("op"), *keys, "tokenizer", F.col("estimate").alias("n_tokens"), none.alias("old_tokens")))
-    revised = plain.select(F.lit("revise").alias("op"), *keys, "tokenizer", F.col("words").alias("n_tokens"), F.col("estimate").alias("old_tokens"))
+    ledger.commit("1-estimates", change("insert", plain, F.col("estimate"), none))
     for _ in range(2):  # the second time changes nothing
-        ledger.commit("2-words", revised)
-    ledger.commit("3-withdrawn", plain.where("source = 'src19'").select(F.lit("delete").alias("op"), *keys, "tokenizer", none.alias("n_tokens"), F.col("words").alias("old_tokens")))
+        ledger.commit("2-words", change("revise", plain, F.col("words"), F.col("estimate")))
+    some = plain.where(_fold(16) == 0)
+    ledger.commit("3-withdrawn", change("delete", some, none, F.col("words")))
+    ledger.commit("4-back", change("insert", some, F.col("words"), none))
     return ledger.totals()
 
 
 @REGISTRY.query("op4_quality_fm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    usable = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
-    model = quality.train(docs, table(spark, sf_dir, "labels"), usable)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), _fold(5, "id") != 0, metadata=["n_chars"])
     return quality.classify(docs, model, keep=[F.col("doc_id"), (_fold(5) == 0).alias("held_out")])
 
 
@@ -131,8 +134,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("pipeline")
+@REGISTRY.query("pipeline", ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)

@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Scratch, importable
@@ -67,16 +67,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long; id as it is."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """id as it is, the `keep` columns, and fp: the 64 bits as a signed long."""
+    kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
+    rows = df.select(F.col(id_col).alias("id"), *kept, F.col(text_col).alias("text"))
+    schema = rows.drop("text").schema.add("fp", "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(fps)], names=schema.fieldNames())
 
-    rows = importable(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, rows.select("id").schema.add("fp", "long"))
+    return importable(rows).mapInArrow(run, schema).toDF("id", *df.select(*(keep or [])).columns, "fp")
 
 
 class BKTree:
@@ -282,22 +284,35 @@ def near_links(nodes: DataFrame, n: int, scratch: Scratch, radius: int = RADIUS,
     return links
 
 
-def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
+def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, limit: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), first, then the `keep` columns.
 
     Null, empty and blank texts have fingerprint zero and link like any others. Ids may have
     any type that has an order. A null id is not a candidate for component_id, which is null
     only where a whole component has no id. Rows that repeat an id or a text are one node
-    with their fingerprint. Other columns are ignored. An empty table gives an empty result.
+    with their fingerprint. first is true for exactly one row of a component, of those with
+    the smallest id. Other columns are ignored. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    docs = scratch.save(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    nodes = scratch.save(nodes.select(F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"), "n"), "nodes")
+    kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
+    names = df.select(*(keep or [])).columns
+    docs = fingerprints(df, id_col, text_col, kept, shingle, seed).withColumn("place", F.monotonically_increasing_id())
+    docs = scratch.save(docs, "fingerprints")  # places are fixed by being stored
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "place")
+    nodes = docs.groupBy("fp").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = scratch.save(nodes.select(F.struct("least", "fp").alias("node"), "n"), "nodes")
     n_nodes, n_docs = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     linked = components(near_links(nodes.select("node"), n_nodes, scratch, radius), scratch)
     linked = linked.select(F.col("node.fp").alias("fp"), F.col("root"))
-    classes = nodes.select("node.fp", "node", "n").join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "node")["least"].alias("component_id"))
-    classes = scratch.save(classes, "classes")
-    placed = join_to_unique(docs, classes, "fp", n_docs)
-    return placed.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint of one row and no link is its own class; only the others are looked up
+    shared = nodes.select("node.fp", "node", "n").join(linked, "fp", "left").where("n > 1 or root is not null")
+    shared = scratch.save(shared.select("fp", "n", F.coalesce("root", "node")["least"].alias("least")), "classes")
+    placed = docs.join(F.broadcast(shared), "fp", "left") if shared.count() <= limit else join_to_unique(docs, shared, "fp", n_docs, "left")
+    component = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    return placed.select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        component.alias("component_id"),
+        F.coalesce(F.col("least.place") == F.col("place"), F.lit(True)).alias("first"),
+        *(F.col(f"k{i}").alias(n) for i, n in enumerate(names)),
+    )

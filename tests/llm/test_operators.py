@@ -19,7 +19,7 @@ from lodestar.llm.common import Scratch
 from lodestar.llm.components import components
 from lodestar.llm.decontaminate import contamination
 from lodestar.llm.dedup_exact import exact_dedup
-from lodestar.llm.token_counts import TokenLedger
+from lodestar.llm.token_counts import TokenLedger, counted, signed
 from lodestar.llm.token_files import TokenFile, read_token_files, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,23 +65,37 @@ def test_exact_dedup_is_brute_force(docs):
     groups = defaultdict(list)
     for i, t in norm.items():
         groups[t].append(i)
-    for salts in (1, 3, 64):
-        got = {r.doc_id: r for r in exact_dedup(docs, salts=salts, prefix=4).collect()}
+    for run_rows, prefix in ((256, 64), (1, 4), (2, 0)):
+        got = {r.doc_id: r for r in exact_dedup(docs, run_rows=run_rows, prefix=prefix).collect()}
         assert len(got) == len(TEXTS)
         for i, t in norm.items():
             assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(groups[t]), len(groups[t]), i == min(groups[t]))
             assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_exact_dedup_odd_rows(odd, empty):
-    rows = exact_dedup(odd).collect()
-    same = [r for r in rows if r.group_size == 3]
-    assert len(same) == 3 and sum(r.kept for r in same) == 1 and {r.keep_id for r in same} == {1}
-    assert [r.doc_id for r in same if r.kept] == [1]
-    assert [r.keep_id for r in rows if r.text_sha256 == hashlib.sha256(b"").hexdigest()] == [None]
+@pytest.mark.parametrize("run_rows", [256, 1])
+def test_exact_dedup_odd_rows(odd, empty, run_rows):
+    rows = exact_dedup(odd, keep=[F.col("kept").alias("own"), F.col("shard")], run_rows=run_rows).toArrow().to_pylist()
+    assert sorted(repr((r["own"], r["shard"])) for r in rows) == sorted(repr((r.kept, r.shard)) for r in odd.collect())
+    same = [r for r in rows if r["group_size"] == 3]
+    assert len(rows) == 6 and len(same) == 3 and {r["keep_id"] for r in same} == {1}
+    assert [r["keep_id"] for r in rows if r["text_sha256"] == hashlib.sha256(b"").hexdigest()] == [None]
+    rows = exact_dedup(odd, run_rows=run_rows).collect()
+    assert [r.doc_id for r in rows if r.group_size == 3 and r.kept] == [1] and sum(r.kept for r in rows) == 4
     assert exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_splits_hot_texts_and_shared_beginnings(spark):
+    """Copies of one text, also with null ids, and texts that begin alike are dealt over the sort's places."""
+    rows = [(i if i % 2 else None, "the same text") for i in range(900)] + [(i, "shared beginning " * 20 + str(i % 450)) for i in range(900, 1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    scratch = Scratch(spark)
+    got = exact_dedup(df, run_rows=50, scratch=scratch).groupBy("keep_id", "group_size").agg(F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {(r.keep_id, r.group_size, r.kept) for r in got} == {(1, 900, 1)} | {(i, 2, 1) for i in range(900, 1350)}
+    runs = spark.read.parquet(f"{scratch.path}/002-runs")
+    assert runs.where("salted and at = 1").count() > 10 and runs.agg(F.max("run_n")).first()[0] < 300
+
+
 def test_exact_dedup_has_one_text_exchange(docs):
     plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan  # the sorted runs are read from the shared folder
@@ -185,11 +199,23 @@ def test_token_files_round_trip(spark, docs, odd, empty):
         assert np.array_equal(np.concatenate(whole)[mask], f.tokens(0, n))
         assert not f.sequence(0).flags.writeable  # a view of the mapped file
     files, folder = token_files(spark, odd, Scratch(spark).path)
-    assert read_token_files(files, folder).count() == 6
+    first = read_token_files(files, folder).collect()
+    assert len(first) == 6 and sorted(map(repr, (r[1:] for r in first))) == sorted(map(repr, (r[1:] for r in read_token_files(*token_files(spark, odd.repartition(2), Scratch(spark).path)).collect())))
     files, folder = token_files(spark, empty, Scratch(spark).path)
     assert read_token_files(files, folder).count() == 0
 
 
+def test_what_failed_tasks_left_is_deleted(spark, docs):
+    import pathlib
+
+    path = Scratch(spark).path
+    folder = pathlib.Path(path.removeprefix("file://"), "tokens")
+    folder.mkdir(parents=True)
+    (folder / ".part-000000-0000.arrow.1f").write_bytes(b"x")
+    files, _ = token_files(spark, docs, path)
+    assert {p.name for p in folder.iterdir() if p.name.startswith(".part")} == set() and files.count() > 0
+
+
 def test_packing_places_every_id_once(spark, docs, odd, empty):
     rows = packing.pack(docs).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -211,6 +237,17 @@ def test_packing_places_every_id_once(spark, docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_open_pieces_don_t_keep_their_documents():
+    packer, out, rng = packing.Packer(0), [], np.random.default_rng(1)
+    for i in range(300):
+        packer.add(i, np.zeros(int(rng.integers(90_000, 110_000)), "<u4"), out)
+        out.clear()
+    held = [piece[2] for pieces in packer.open.values() for piece in pieces]
+    assert len(held) > 50
+    kept = {id(base): base.nbytes for p in held for base in [p if p.base is None else p.base]}
+    assert sum(kept.values()) <= 4 * packing.CAPACITY * packing.CLASSES
+
+
 def test_packer_wastes_little():
     rng, out = np.random.default_rng(1), []
     packer = packing.Packer(0)
@@ -256,7 +293,7 @@ def classes_by_hand(fps, radius=4):
     return {f: find(f) for f in known}
 
 
-def signed(f):
+def as_long(f):
     return f - (1 << 64) if f >> 63 else f
 
 
@@ -277,16 +314,16 @@ def test_trees_join_what_all_pairs_join(spark, piece, group, members):
     """Also in shards of over a thousand nodes, by the trees of small shards, at the roots of large ones and in broadcast trees."""
     fps = clusters(random.Random(piece), 60, members, 7)
     scratch = Scratch(spark)
-    nodes = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, least long").select(F.struct(F.lit(False).alias("none"), "least", "fp").alias("node"))
+    nodes = spark.createDataFrame([(as_long(f), i) for i, f in enumerate(fps)], "fp long, least long").select(F.struct(F.lit(False).alias("none"), "least", "fp").alias("node"))
     links = simhash.near_links(nodes, len(fps), scratch, piece=piece, group=group)
     for r in links.collect():
         assert ((r.a.fp ^ r.b.fp) & ((1 << 64) - 1)).bit_count() <= 4
     found = {r.found for r in links.select("found").distinct().collect()}
     assert found == ({"tree"} if piece == 2048 else {"tree", "root", "broadcast tree"})
     got = {r.node.fp: r.root for r in components(links, scratch).collect()}
-    want, have, least = defaultdict(set), defaultdict(set), {signed(f): i for i, f in enumerate(fps)}
+    want, have, least = defaultdict(set), defaultdict(set), {as_long(f): i for i, f in enumerate(fps)}
     for f, t in classes_by_hand(fps).items():
-        want[t].add(signed(f))
+        want[t].add(as_long(f))
     for f in least:
         have[got[f].fp if f in got else f].add(f)
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
@@ -353,10 +390,22 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 120), 100), 200: 200, 201: 200}
 
 
-def test_communication_matrix_margins():
-    for sizes in ([5, 0, 17, 300], [1], [10**10, 3 * 10**9]):
-        m = sharding.communication_matrix(sizes, 7)
-        assert m.sum(axis=1).tolist() == sizes and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and m.min() >= 0
+def test_communication_matrix_margins(monkeypatch):
+    for sizes, room in (([5, 0, 17, 300], [50, 50, 200, 22]), ([1], [0, 1]), ([10**10, 3 * 10**9], [12 * 10**9, 10**9]), ([], [0, 0])):
+        m = sharding.communication_matrix(sizes, room)
+        assert m.sum(axis=1).tolist() == sizes and m.sum(axis=0).tolist() == room and m.min(initial=0) >= 0
+    for exact in (sharding.EXACT, 0):  # numpy's draws and those by inversion have one mean and variance
+        monkeypatch.setattr(sharding, "EXACT", exact)
+        draws = np.array([sharding.communication_matrix([20, 80], [30, 30, 40], [exact, i])[0] for i in range(1500)])
+        assert np.allclose(draws.mean(axis=0), [6, 6, 8], atol=0.25) and np.allclose(draws.var(axis=0), [20 * 0.3 * 0.7 * 80 / 99] * 2 + [20 * 0.4 * 0.6 * 80 / 99], atol=0.5)
+
+
+def test_groups_of_partitions_divide_their_counts(spark):
+    sizes = spark.createDataFrame([(p, 10 + p % 7) for p in range(50)], "part int, n long")
+    ends = {r.part: np.diff([0, *r.ends]) for r in sharding._ends(sizes, 6, 5, 8).collect()}
+    assert sorted(ends) == list(range(50)) and all(ends[p].min() >= 0 and ends[p].sum() == 10 + p % 7 for p in ends)
+    totals = sum(ends.values())
+    assert totals.max() - totals.min() <= 1
 
 
 def test_hypergeometric_draws_have_their_mean_and_variance():
@@ -366,8 +415,8 @@ def test_hypergeometric_draws_have_their_mean_and_variance():
 
 
 def test_shards_are_exact_and_slots_gapless(docs, odd, empty):
-    for n, bucket in ((4, 20_000), (3, 1)):
-        rows = sharding.shuffle_to_shards(docs, n, bucket_rows=bucket).collect()
+    for n, bucket, group in ((4, 20_000, 1024), (3, 1, 2)):
+        rows = sharding.shuffle_to_shards(docs, n, bucket_rows=bucket, group=group).collect()
         slots = defaultdict(list)
         for r in rows:
             slots[r.shard].append(r.slot)
@@ -427,14 +476,44 @@ def test_trigrams_don_t_depend_on_the_slices(monkeypatch):
         assert langid.trigrams(text).tolist() == whole
 
 
+def bound(bind, tri):
+    a, b, c = bind.letters([0 if x == " " else ord(x) for x in tri])
+    return np.roll(a, 2).astype(int) * np.roll(b, 1) * c
+
+
+def trigrams_by_hand(text):
+    """Trigrams as strings; a blank is the boundary."""
+    flat = " ".join(["", *"".join(c if c.isalpha() else " " for c in (text or "").lower()).split(), ""])
+    return [flat[i : i + 3] for i in range(len(flat) - 2) if flat[i + 1] != " "]
+
+
 def test_bundle_is_the_bound_sum(monkeypatch):
-    bind = langid.Binder(64, 3)
-    codes = np.unique(langid.trigrams("the quick brown fox")).astype(np.int64)
-    counts = np.arange(1, len(codes) + 1, dtype=np.float32)[None, :]
-    want = sum(c * np.roll(bind.third[k >> 14], 2) * np.roll(bind.third[(k >> 7) & 127], 1) * bind.third[k & 127] for k, c in zip(codes, counts[0], strict=True))
-    assert np.allclose(bind.bundle(codes, counts)[0], want)
-    monkeypatch.setattr(langid, "BIND", 3)
-    assert np.allclose(bind.bundle(codes, counts)[0], want)
+    text = "The quick Größe мир 日本 fox " * 3
+    codes, counts = np.unique(langid.trigrams(text), return_counts=True)
+    want = sum(bound(langid.Binder(64, 3), t) for t in trigrams_by_hand(text))
+    for memory, bind_at in ((langid.MEMORY, langid.BIND), (7, 3)):
+        monkeypatch.setattr(langid, "MEMORY", memory)
+        monkeypatch.setattr(langid, "BIND", bind_at)
+        bind = langid.Binder(64, 3)
+        for _ in range(2):
+            assert np.allclose(bind.bundle(codes, counts[None, :].astype(np.float32))[0], want)
+
+
+def test_every_letter_has_its_own_vector():
+    bind = langid.Binder(1024, 11)
+    points = [0, *map(ord, "abzéßжя日本한"), ord("a") + 101, ord("é") + 101]
+    vectors = bind.letters(points).astype(int)
+    nearness = abs(vectors @ vectors.T) / 1024
+    assert np.allclose(np.diag(nearness), 1) and (nearness - np.eye(len(points))).max() < 0.2
+
+
+def test_ties_and_repeats_of_languages(spark):
+    rows = [("xx", "some words of one text"), ("aa", "some words of one text")]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    twice = langid.train(spark.createDataFrame(rows * 2, "lang string, text string"))
+    assert np.allclose(2 * model[1], twice[1])
+    got = langid.identify(spark.createDataFrame([("some words",), ("some words",)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["aa", "aa"] and got[0] == got[1]  # of equal cosines the first language
 
 
 def test_factorisation_machine_sums_pairs():
@@ -461,6 +540,22 @@ def test_quality_learns_and_scores_odd_texts(spark, empty, docs):
     assert quality.classify(empty, quality.train(empty, labels, F.lit(True))).count() == 0
 
 
+def test_training_settles_clashes_and_repeats(spark):
+    """Labels and rows in another order, clashing labels, repeated and null ids: one model."""
+    texts = [(i, f"This is line {i} of a calm text" if i % 2 else f"BUY!! {i} ###$$$ &&&", i) for i in range(60)] + [(5, "another text of five", 7), (None, "no id", None), (5, "This is line 5", None)]
+    marks = [(i, i % 2) for i in range(60)] + [(7, 0), (7, 1), (8, 1), (None, 1), (9, None), (11, 1), (11, 1)]
+    models = []
+    for order in (1, -1):
+        df = spark.createDataFrame(texts[::order], "doc_id long, text string, n_chars long").repartition(2)
+        models.append(quality.train(df, spark.createDataFrame(marks[::order], "doc_id long, quality int"), F.lit(True), metadata=["n_chars"]))
+    assert models[0].bias == models[1].bias and np.array_equal(models[0].factors, models[1].factors) and len(models[0].edges) == len(quality.STATISTICS) + 1
+    df = spark.createDataFrame(texts, "doc_id long, text string, n_chars long").withColumn("score", F.lit("clash")).withColumn("m0", F.lit(1)).withColumn("predicted", F.lit(1))
+    rows = quality.classify(df, models[0], keep=[F.col("doc_id"), F.col("n_chars")]).collect()
+    assert len(rows) == len(texts) and rows[0].score < 0.5 < rows[1].score
+    one_sided = quality.train(df, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int"), F.lit(True), limit=1)
+    assert not one_sided.factors.any()
+
+
 def test_descriptions_don_t_depend_on_the_blocks(monkeypatch):
     text = "Some Words, here.\nAND more!! " * 50
     a = quality.describe(text)
@@ -577,3 +672,25 @@ def test_token_ledger_is_idempotent_and_signed(spark):
     assert not ledger.committed("4")
     with pytest.raises(ValueError, match="batch id"):
         ledger.commit("../x", one)
+    with pytest.raises(ValueError, match="other content"):
+        ledger.commit("2", one)
+
+
+def test_token_totals_are_folded_into_snapshots(spark):
+    ledger = TokenLedger(spark, Scratch(spark).folder("ledger"))
+    change = lambda n, op="insert": spark.createDataFrame([(op, "a", "en", "t", n if op == "insert" else None, None if op == "insert" else n)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    for i in range(4):
+        ledger.commit(str(i), change(10 + i))
+    assert ledger._parts() == (4, {"0", "1", "2", "3"}, []) and ledger._names("snapshot") == ["3", "4"]
+    # a driver lost between a batch and its fold, or in the middle of one
+    ledger._rollup(signed(change(11, "delete"))).write.parquet(ledger._folder("4"))
+    spark.createDataFrame([("x",)], "batch string").write.parquet(f"{ledger.path}/snapshot=5/batches")
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "t", 3, 35)]
+    assert not ledger.commit("4", change(11, "delete")) and ledger._parts()[:1] == (5,)
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "t", 3, 35)] and ledger.batches() == ["0", "1", "2", "3", "4"]
+
+
+def test_counted_is_the_library(spark, docs, odd, empty):
+    rows = counted(docs.withColumn("n_tokens", F.lit("clash")), keep=[F.col("doc_id")]).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(library_ids(t)) - 1 for i, t in enumerate(TEXTS)}
+    assert sorted(r.n_tokens for r in counted(odd).collect())[0] == 0 and counted(odd).count() == 6 and counted(empty).count() == 0
