@@ -1,82 +1,5 @@
-"""From raw documents to packed training sequences, in five stages.
+"""The training-data pipeline: its stages, its SQL and run(); see lodestar/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's docs. All but the last return the columns of documents.
-A document is a row, known by its place in the files that docs is read from, so that each
-row's own decision takes effect whether its doc_id is unique, repeated or null.
-"""
+from lodestar.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestar.llm import quality
-from lodestar.llm.common import Scratch
-from lodestar.llm.decontaminate import contamination
-from lodestar.llm.dedup_exact import exact_dedup
-from lodestar.llm.packing import pack
-from lodestar.llm.simhash import simhash_classes
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __key: a row's id (nulls last) and its place in the files that docs is read from."""
-    file, at = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
-    return docs.select("*", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", file, at).alias("__key"))
-
-
-def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """keys: one column, keys of docs."""
-    of = lambda key: [F.col(key)[part].alias(f"__{part}") for part in ("file", "at")]
-    return docs.select(*docs.drop("__key").columns, *of("__key")).join(keys.select(*of(keys.columns[0])), ["__file", "__at"], how).drop("__file", "__at")
-
-
-def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine, fitted on labelled ones, doesn't reject."""
-    usable = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return quality.classify(rows, model, keep=[F.col("row")]).where("predicted = 1").select("row.*")
-
-
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays, the one with the smallest id."""
-    rows = _keyed(docs)
-    return _only(rows, exact_dedup(rows, id_col="__key").where("kept").select("__key"), "left_semi")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component stays, the one with the smallest id."""
-    rows = _keyed(docs)
-    return _only(rows, simhash_classes(rows, id_col="__key").where("__key <=> component_id").select("__key"), "left_semi")
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _keyed(docs)
-    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
-    return _only(rows, found.where("contaminated").select("__key"), "left_anti")
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and places in sequences."""
-    return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
-
-
-STAGES = [
-    ("quality", filter_quality),
-    ("exact-dedup", drop_exact_copies),
-    ("near-dedup", drop_near_copies),
-    ("decontaminate", drop_benchmark_leaks),
-    ("pack", pack_sequences),
-]
-
-#: SQL can't express the classifier, the fingerprints' components and the packing
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
