@@ -14,6 +14,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -22,7 +28,10 @@ def shared_root(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        # with its scheme, so that Spark's readers and Arrow's mean the same folder
+        fs, place = _hadoop(spark, named)
+        whole = fs.makeQualified(place).toString().rstrip("/")
+        return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
     own = spark.conf.get("spark.lodestar.scratch", "")
     if not own:
         if not spark.sparkContext.master.startswith("local"):
@@ -32,12 +41,6 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path, and the path as it knows it."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 #: applications that have this package already
 _SHIPPED: set[str] = set()
 

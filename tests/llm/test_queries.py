@@ -262,11 +262,7 @@ def test_pipeline_drops_what_it_no_longer_needs(spark, odd_docs, odd_folder, mon
     for name in ("benchmark", "labels"):
         os.symlink(f"{odd_folder}/{name}.parquet", f"{docs}/{name}.parquet")
     odd_docs.write.parquet(f"{docs}/documents.parquet")
-    before = spark.conf.get("spark.lodestar.scratch", "")
-    spark.conf.set("spark.lodestar.scratch", f"file://{tmp_path}/shared")
-    try:
-        assert pipeline.run(spark, docs).count() > 0
-        (one,) = (p for p in Path(f"{tmp_path}/shared/lodestar").iterdir() if p.is_dir())
-        assert [p.name for p in one.iterdir()] == ["005-pack"]
-    finally:
-        spark.conf.set("spark.lodestar.scratch", before) if before else spark.conf.unset("spark.lodestar.scratch")
+    monkeypatch.setattr("lodestar.llm.common.shared_root", lambda spark: f"file://{tmp_path}/shared")
+    assert pipeline.run(spark, docs).count() > 0
+    (one,) = (p for p in Path(f"{tmp_path}/shared/lodestar").iterdir() if p.is_dir())
+    assert [p.name for p in one.iterdir() if not p.name.startswith(".")] == ["005-pack"]
