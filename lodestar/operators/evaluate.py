@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,71 @@ def duplicates(rows: DataFrame, key: str = "qid") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def quantiles(rows: DataFrame, value: str, wanted: dict[str, tuple[float, bool]], by: list[str], buckets: int = 1024) -> DataFrame:
+    """by, a column for each wanted quantile: name -> (p, nearest rank instead of linear interpolation).
+
+    Exact for any distribution, without a group's values in one task: values are counted in
+    `buckets` equal ranges between the group's least and greatest one, which tells the
+    buckets that hold the wanted ranks, and only those are put in order. Nulls don't count.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = rows.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("c").alias("n"))
+    key = F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in by))
+    rows, ends = rows.withColumn("g", F.xxhash64(key, *(F.col(k).isNull() for k in by))), ends.withColumn("g", F.xxhash64(key, *(F.col(k).isNull() for k in by)))
+    width = F.greatest(F.col("most") - F.col("least"), F.lit(1e-300))
+    placed = rows.join(ends.select("g", "least", "most"), "g").withColumn("b", F.least(F.floor((F.col("v") - F.col("least")) / width * buckets), F.lit(buckets - 1)).cast("int"))
+    sizes = placed.groupBy("g", "b").agg(F.sum("c").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("g").orderBy("b")) - F.col("size")  # at most `buckets` rows a group
+    ranks = []
+    for name, (p, nearest) in wanted.items():
+        if nearest:
+            ranks.append(F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("long").alias("at"), F.lit(1.0).alias("share")))
+        else:
+            x = F.lit(p) * (F.col("n") - 1)
+            ranks.append(F.struct(F.lit(name).alias("name"), (F.floor(x) + 1).cast("long").alias("at"), (1 - (x - F.floor(x))).alias("share")))
+            ranks.append(F.struct(F.lit(name).alias("name"), F.least(F.floor(x) + 2, F.col("n")).cast("long").alias("at"), (x - F.floor(x)).alias("share")))
+    asked = ends.select("g", "n", F.explode(F.array(*ranks)).alias("r")).select("g", "r.*")
+    hit = sizes.withColumn("base", before).join(asked, "g").where((F.col("at") > F.col("base")) & (F.col("at") <= F.col("base") + F.col("size")))
+    needed = hit.select("g", "b", "base").distinct()
+    within = F.sum("c").over(Window.partitionBy("g", "b").orderBy("v"))
+    ordered = placed.join(needed, ["g", "b"]).withColumn("to", F.col("base") + within).select("g", "v", (F.col("to") - F.col("c")).alias("from"), "to")
+    found = ordered.join(asked, "g").where((F.col("at") > F.col("from")) & (F.col("at") <= F.col("to")))
+    per = found.groupBy("g").agg(*(F.sum(F.when(F.col("name") == name, F.col("v") * F.col("share"))).alias(name) for name in wanted))
+    return ends.join(per, "g").select(*by, *wanted)
+
+
 def latency(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """mean, median, min, max and nearest-rank p95."""
     v = F.col(value)
-    return rows.groupBy(*(by or [])).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    by = by or []
+    plain = rows.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    places = quantiles(rows, value, {"median": (0.5, False), "p95": (0.95, True)}, by)
+    joined = plain.crossJoin(F.broadcast(places)) if not by else plain.alias("a").join(places.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by))).select("a.*", "b.median", "b.p95")
+    return joined.select(*by, "mean", F.round("median", 6).alias("median"), "min", "max", "p95")
+
+
+def passage_gold(items: DataFrame, texts: DataFrame, id_col: str, run: int = 8, rows: int = 1_000_000) -> DataFrame:
+    """qid, id: texts that hold any `run` consecutive words of a question, or all words of a shorter one.
+
+    items: qid, question; texts: id, text. Words are hashed once; runs meet by the hash of
+    their words' hashes and are then compared word by word. The questions' runs are broadcast
+    if there are at most `rows`.
+    """
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    q = items.select("qid", tokens("question").alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(run)))
+    q = q.select("qid", "w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at"))
+    q = q.select("qid", F.slice("w", F.col("at"), F.col("k")).alias("r")).distinct().withColumn("k", F.size("r"))
+    sizes = sorted(k for (k,) in q.select("k").distinct().collect()) or [run]
+    q = q.withColumn("h", F.xxhash64("k", hashed(F.col("r"))))
+    d = texts.select(id_col, tokens("text").alias("w")).withColumn("hw", hashed(F.col("w"))).select(id_col, "w", "hw", F.posexplode("hw").alias("p", "x"))
+    key = lambda k: F.when(F.col("p") + k <= F.size("w"), F.xxhash64(F.lit(k), F.slice("hw", F.col("p") + 1, F.lit(k))))
+    d = d.withColumn("h", F.explode(F.array(*map(key, sizes)))) if len(sizes) > 1 else d.withColumn("h", key(sizes[0]))
+    if q.count() <= rows:
+        met = d.join(F.broadcast(q), "h")
+    else:
+        met = d.select(id_col, "h", F.slice("w", F.col("p") + 1, F.lit(run)).alias("w"), F.lit(0).alias("p")).join(q, "h")
+    return met.where(F.slice("w", F.col("p") + 1, F.col("k")) == F.col("r")).select("qid", id_col).distinct()
 
 
 def answer_quality(answers: DataFrame, evidence_text: DataFrame) -> DataFrame:

@@ -13,21 +13,34 @@ THRESHOLD = 0.30
 
 
 def nearby_assets(chunks: DataFrame, assets: DataFrame, window: int = 1, limit: int = 5) -> DataFrame:
-    """Assets of a chunk's document within `window` pages, nearest to its first page first."""
-    a = assets.select("doc_id", "asset_id", "asset_type", F.col("page").alias("asset_page"), "caption", "text_preview")
-    pairs = chunks.select("chunk_id", "doc_id", "page_start", "page_end").join(a, "doc_id").where(F.col("asset_page").between(F.col("page_start") - window, F.col("page_end") + window))
+    """Assets of a chunk's document within `window` pages, nearest to its first page first.
+
+    The page is part of the join's key: a chunk meets the assets of its own pages, of which
+    only the first `limit` a page can be among its nearest.
+    """
+    a = assets.where("asset_id IS NOT NULL").select("doc_id", "asset_id", "asset_type", F.col("page").alias("asset_page"), "caption", "text_preview")
+    a = top_k(a, limit, ["doc_id", "asset_page"], [F.col("asset_id")], "of_page").drop("of_page")
+    pairs = with_pages(chunks.select("chunk_id", "doc_id", "page_start", "page_end"), window, "asset_page").join(a, ["doc_id", "asset_page"])
     return top_k(pairs, limit, ["chunk_id"], [F.abs(F.col("asset_page") - F.col("page_start")), F.col("asset_id")])
 
 
+def with_pages(chunks: DataFrame, window: int, name: str) -> DataFrame:
+    """A row for each page of a chunk, widened by `window` pages on both sides; none for a chunk without pages."""
+    known = chunks.where(F.col("page_start") - window <= F.col("page_end") + window)
+    return known.withColumn(name, F.explode(F.sequence(F.col("page_start") - window, F.col("page_end") + window)))
+
+
 def page_neighbourhood(targets: DataFrame, chunks: DataFrame, window: int = 1, limit: int = 3) -> DataFrame:
     """Chunks of a target's document whose pages overlap page - window to page + window.
 
-    targets: qid, doc_id, page.
+    targets: qid, doc_id, page. The nearest chunks are found once a (document, page), not
+    once a question.
     """
-    c = chunks.select("doc_id", "chunk_id", "page_start", "page_end")
-    pairs = targets.join(c, "doc_id").where((F.col("page_start") <= F.col("page") + window) & (F.col("page_end") >= F.col("page") - window))
+    wanted = targets.select("doc_id", "page").distinct()
+    near = with_pages(chunks.select("doc_id", "chunk_id", "page_start", "page_end"), window, "page").join(wanted, ["doc_id", "page"], "left_semi")
     gap = F.least(F.abs(F.col("page_start") - F.col("page")), F.abs(F.col("page_end") - F.col("page")))
-    return top_k(pairs, limit, ["qid"], [gap, F.col("page_start"), F.col("chunk_id")])
+    near = top_k(near, limit, ["doc_id", "page"], [gap, F.col("page_start"), F.col("chunk_id")])
+    return targets.join(near, ["doc_id", "page"])
 
 
 def infer_document(questions: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:

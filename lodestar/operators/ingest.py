@@ -79,9 +79,10 @@ def text_density(page_texts: DataFrame, documents: DataFrame, low: int = LOW_TEX
 
 
 def inventory(chunks: DataFrame, kinds: list[str]) -> DataFrame:
-    """Chunks per document and kind. `kinds` are given, so no extra pass looks for them."""
-    wide = chunks.groupBy("doc_id").pivot("chunk_kind", kinds).count().na.fill(0)
-    return wide.withColumn("n_chunks", sum((F.col(k) for k in kinds), F.lit(0)))
+    """Chunks per document and kind, other kinds and none as `other`. `kinds` are given, so no extra pass looks for them."""
+    kind = F.col("chunk_kind")
+    counts = [F.count_if(kind == k).alias(k) for k in kinds]
+    return chunks.groupBy("doc_id").agg(*counts, F.count_if(kind.isNull() | ~kind.isin(*kinds)).alias("other"), F.count(F.lit(1)).alias("n_chunks"))
 
 
 def provenance(catalog: DataFrame, manifest_rows: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.rules import FALLBACK_TOPIC, TAXONOMY, TOPIC_TERM_STOPWORDS
-from lodestar.functions.text import citation, join_known, page_range, share_of, token_set, tokens
+from lodestar.functions.text import citation, join_known, page_range, token_set, tokens
 from lodestar.operators.retrieve import top_k
 
 FIELDS = ("doc_id", "title", "section", "subsection", "chunk_kind")
@@ -84,8 +84,18 @@ def rank_topics(questions: DataFrame, navigator: DataFrame, words: int = 80) ->
 
 
 def rank_documents(questions: DataFrame, navigator: DataFrame, chosen: DataFrame, k: int = 5) -> DataFrame:
-    """qid, doc_id, score, rank: summed overlap of navigator rows in the chosen topics (qid, topic)."""
+    """qid, doc_id, score, rank: summed overlap of navigator rows in the chosen topics (qid, topic).
+
+    A row's overlap is the share of the question's tokens that it has, so the sum over rows
+    is a sum over tokens of how many rows have them: questions meet counts a (topic,
+    document, token), not rows. Documents without a shared token score 0; of those, the
+    first 2k of a topic are all that can be ranked.
+    """
     asked = questions.select("qid", token_set("question").alias("set")).join(chosen.select("qid", "topic"), "qid")
-    pairs = asked.join(navigator.select("topic", "doc_id", token_set(row_text()).alias("have")), "topic")
-    scored = pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(share_of(F.col("set"), F.col("have"))), 6).alias("score"))
+    words = asked.select("qid", "topic", F.size("set").alias("size"), F.explode("set").alias("token"))
+    counts = navigator.select("topic", "doc_id", F.explode(token_set(row_text())).alias("token")).groupBy("topic", "doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    found = words.join(counts, ["topic", "token"]).groupBy("qid", "doc_id").agg((F.sum("n") / F.first("size")).alias("score"))
+    firsts = top_k(navigator.select("topic", "doc_id").distinct(), 2 * k, ["topic"], [F.col("doc_id")]).select("topic", "doc_id")
+    none = asked.select("qid", "topic").join(firsts, "topic").select("qid", "doc_id", F.lit(0.0).alias("score"))
+    scored = found.unionByName(none).groupBy("qid", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     return top_k(scored, k, ["qid"], [F.col("score").desc(), F.col("doc_id")])

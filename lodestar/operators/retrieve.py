@@ -9,18 +9,24 @@ Scores are rounded to six places before ranking, with corpus position as the tie
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.text import dot, tokens
+from lodestar.functions.text import tokens
 
 K1, B = 1.5, 0.75
 TOP_K, FUSED_K, RRF_K = 24, 20, 60
 DIGITS = 6
 #: rows of a question side that may be broadcast; larger ones are joined by shuffle
 BROADCAST_ROWS = 100_000
+#: query vectors that are sent to the tasks at a time
+QUERY_BLOCK = 4_096
 
 
 def sized(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -149,20 +155,54 @@ def fill_zero(hits: DataFrame, questions: DataFrame, length: DataFrame, k: int =
 # --- dense --------------------------------------------------------------------
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", tie: str | None = None) -> DataFrame:
-    """Exact inner product of a stated query set with all vectors; the queries are sent in blocks.
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", tie: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact inner product of a stated query set with all vectors: qid, id, columns of vectors, score, rank.
 
-    queries: qid, query; vectors: id_col, embedding. The query side is broadcast in blocks
-    of bounded size, and each block keeps its top k before blocks are put together.
+    queries: qid, query; vectors: id_col, embedding and what else is kept. Queries are sent
+    to the tasks in blocks of at most `block`; a task multiplies a batch of vectors with
+    them and keeps k rows a query (and ties), so no product becomes a row before that.
+    Vectors and queries without numbers, or of another length, have no product.
     """
-    n = queries.count()
-    blocks, out = max(1, -(-n // 2_000)), None
-    for block in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
-        scored = vectors.crossJoin(F.broadcast(some)).withColumn("score", F.round(dot(F.col("embedding"), F.col("query")), DIGITS)).drop("embedding", "query")
-        part = top_k(scored, k, ["qid"], [F.col("score").desc(), F.col(tie or id_col)])
+    columns = [c for c in vectors.columns if c != "embedding"]
+    n, out = queries.count(), None
+    blocks = max(1, -(-n // block))
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
+        part = _dense_block(some, vectors, columns, k)
+        part = part.withColumn("score", F.round("score", DIGITS))
         out = part if out is None else out.unionByName(part)
-    return out
+    return top_k(out, k, ["qid"], [F.col("score").desc(), F.col(tie or id_col)])
+
+
+def _dense_block(queries: DataFrame, vectors: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """Rows of each task that may be among a query's first k."""
+    held = queries.where("query IS NOT NULL").toArrow()
+    asked = [np.array(q, float) for q in held["query"].to_pylist()]
+    width = len(asked[0]) if asked else 0
+    fit = [i for i, q in enumerate(asked) if len(q) == width and not np.isnan(q).any()]
+    shipped = queries.sparkSession.sparkContext.broadcast((np.array([asked[i] for i in fit]).reshape(len(fit), width), held["qid"].take(pa.array(fit, pa.int64())).combine_chunks()))
+    rows = vectors.where(F.size("embedding") == width).select(*columns, F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *rows.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, qids = shipped.value
+        if not len(matrix):
+            return
+        best, kept = np.full((k, len(matrix)), -np.inf), []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                flat = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
+                scores = flat.reshape(part.num_rows, width) @ matrix.T
+                both = np.concatenate([best, np.where(np.isnan(scores), -np.inf, scores)])
+                best = np.partition(both, len(both) - k, axis=0)[-k:]
+                i, q = np.nonzero(scores >= best.min(axis=0) - 10.0**-DIGITS)
+                kept.append((q, pa.record_batch([qids.take(pa.array(q)), *(c.take(pa.array(i)) for c in part.columns[:-1]), pa.array(scores[i, q])], names=schema.fieldNames())))
+        floor = best.min(axis=0) - 10.0**-DIGITS
+        for q, part in kept:
+            yield part.filter(pa.array(part.column(part.num_columns - 1).to_numpy() >= floor[q]))
+
+    return rows.mapInArrow(run, schema)
 
 
 def hash_embedding(chunks: DataFrame, text: Column, dimension: int = 768, id_col: str = "chunk_id") -> DataFrame:

@@ -20,14 +20,21 @@ def memory_matches(scenes: DataFrame, memory: DataFrame, limit: int = 3) -> Data
 
     2 for the same task type and 1 for each shared domain tag; records count only if their
     evidence was sufficient. A record scores above 0 exactly if it shares the task type or
-    a tag, so both are joined by equality instead of crossing questions with the log.
+    a tag, so both are joined by equality instead of crossing questions with the log. Only
+    task and tags matter, so distinct combinations of them meet (some hundreds), each with
+    its first `limit` records.
     """
-    q = scenes.select("qid", F.col("scene.task_type").alias("task"), F.col("scene.domain_tags").alias("tags"))
-    m = memory.where("evidence_status = 'sufficient'")
-    by_task = q.select("qid", "task").join(m.select("pos", F.col("task_type").alias("task")), "task").select("qid", "pos", F.lit(2).alias("points"))
-    by_tag = q.select("qid", F.explode("tags").alias("tag")).join(m.select("pos", F.explode(F.array_distinct("domain_tags")).alias("tag")), "tag").select("qid", "pos", F.lit(1).alias("points"))
-    scored = by_task.unionAll(by_tag).groupBy("qid", "pos").agg(F.sum("points").alias("score"))
-    best = top_k(scored, limit, ["qid"], [F.col("score").desc(), F.col("pos")])
+    q = scenes.select("qid", F.col("scene.task_type").alias("task"), F.array_sort("scene.domain_tags").alias("tags"))
+    kinds = q.select("task", "tags").distinct()
+    m = memory.where("evidence_status = 'sufficient'").select("pos", F.col("task_type").alias("m_task"), F.array_sort(F.array_distinct("domain_tags")).alias("m_tags"))
+    m = top_k(m, limit, ["m_task", "m_tags"], [F.col("pos")], "of_kind")
+    have = m.select("m_task", "m_tags").distinct()
+    by_task = kinds.join(have, F.col("task") == F.col("m_task")).select("task", "tags", "m_task", "m_tags", F.lit(2).alias("points"))
+    tagged = have.select("m_task", "m_tags", F.explode("m_tags").alias("tag"))
+    by_tag = kinds.select("task", "tags", F.explode("tags").alias("tag")).join(tagged, "tag").select("task", "tags", "m_task", "m_tags", F.lit(1).alias("points"))
+    scored = by_task.unionAll(by_tag).groupBy("task", "tags", "m_task", "m_tags").agg(F.sum("points").alias("score"))
+    of_kind = top_k(scored.join(m, ["m_task", "m_tags"]), limit, ["task", "tags"], [F.col("score").desc(), F.col("pos")]).select("task", "tags", "pos", "score", "rank")
+    best = q.join(of_kind, ["task", "tags"]).select("qid", "pos", "score", "rank")
     return best.join(memory.select("pos", "strategy_used", "retrieval_backend", "evidence_top_k"), "pos")
 
 

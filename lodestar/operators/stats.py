@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,24 +47,38 @@ def binary_summary(rows: DataFrame, value: str, by: list[str] | None = None) ->
     return per.withColumn("low", F.round("i.low", 6)).withColumn("high", F.round("i.high", 6)).drop("i")
 
 
-def bootstrap_mean(rows: DataFrame, value: str, order: str, repetitions: int = 1000, seed: int = 1) -> DataFrame:
-    """mean, low, high: percentile bootstrap of a mean with a keyed hash as the source of draws.
+def bootstrap_mean(rows: DataFrame, value: str, repetitions: int = 1000, seed: int = 1, bucket_values: int = 4096, most_buckets: int = 1024) -> DataFrame:
+    """mean, low, high: percentile bootstrap of a mean.
 
-    Values are numbered and counted per distinct value, so a repetition is a multinomial
-    draw over value intervals: repetitions x n draws are generated and summed where they
-    are made, and only one sum a repetition and task is exchanged.
+    A repetition draws how often each distinct value is taken, a multinomial draw over the
+    values' counts, in two steps: over buckets of values (drawn alike by every task), then
+    over the values of a bucket (drawn by the bucket's task). No draw becomes a row; a
+    bucket gives one sum a repetition. Null values are left out.
     """
-    from pyspark.sql import Window
-
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ends = counts.withColumn("hi", F.sum("c").over(Window.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c"))
-    n = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    reps = rows.sparkSession.range(repetitions).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))
-    draws = reps.select("rep", "n", "mean", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.col("n")))
-    picked = draws.join(F.broadcast(ends), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    means = picked.groupBy("rep", "mean", "n").agg((F.sum("v") / F.col("n")).alias("m"))
-    return means.agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    distinct = counts.count()
+    buckets = max(1, min(most_buckets, -(-distinct // bucket_values)))
+    counts = counts.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    totals = {r.bucket: (r.n, r.total) for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total")).collect()}
+    sizes, n = [totals.get(b, (0, 0.0))[0] for b in range(buckets)], sum(c for c, _ in totals.values())
+    mean = sum(t for _, t in totals.values()) / n if n else None
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf, shares = pdf.sort_values("v"), np.array(sizes) / n
+        v, p = pdf["v"].to_numpy(), pdf["c"].to_numpy() / pdf["c"].sum()
+        taken = [np.random.default_rng([seed, rep]).multinomial(n, shares)[key[0]] for rep in range(repetitions)]
+        sums = [float(v @ np.random.default_rng([seed, rep, 1 + key[0]]).multinomial(k, p)) for rep, k in enumerate(taken)]
+        return pd.DataFrame({"rep": range(repetitions), "s": sums})
+
+    sums = counts.groupBy("bucket").applyInPandas(draw, "rep int, s double").groupBy("rep").agg((F.sum("s") / F.lit(max(n, 1))).alias("m"))
+    return sums.agg(F.lit(mean).cast("double").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def bootstrap_paired(pairs: DataFrame, left: str, right: str, **how) -> DataFrame:
+    """mean, low, high of the difference left - right over paired rows."""
+    return bootstrap_mean(pairs.select((F.col(left).cast("double") - F.col(right).cast("double")).alias("difference")), "difference", **how)
 
 
 def bootstrap_reference(values: list[float], repetitions: int, seed: int) -> tuple[float, float]:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
 from lodestar.operators import contracts as ct
+from lodestar.operators import evidence as ev
 from lodestar.operators import navigator as nv
 from lodestar.plans.corpus import RANKED, lang_questions, navigator_of
 from lodestar.plans.registry import Registry, table
-from lodestar.plans.retrieval import ASSETS, CHUNKS, assets_of, chunks_of, questions_of
-from lodestar.plans.sql import tok
+from lodestar.plans.retrieval import ASSETS, RERANK, assets_of, questions_of, reranked_of
+from lodestar.plans.sql import tok, tokset
 
 R = Registry()
+NAVROW_OF = "n.topic || chr(32) || n.title || chr(32) || n.section"
 
 
 def asked_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,29 +30,33 @@ def outcomes_of(spark: SparkSession, sf: str) -> DataFrame:
     """Answers are the last half of a question; some calls fail."""
     t = tx.tokens("question")
     ok = F.col("qid") % 7 != 6
-    return questions_of(spark, sf).select("qid", ok.alias("ok"), F.when(~ok, "out_of_scope").alias("code"), F.array_join(F.slice(t, F.floor(F.size(t) / 2).cast("int") + 1, 99), " ").alias("answer"), F.lit("").alias("prompt"), (F.col("qid") % 5).alias("n_citations"))
+    half = F.floor(F.size(t) / 2).cast("int")
+    return questions_of(spark, sf).select("qid", ok.alias("ok"), F.when(~ok, "out_of_scope").alias("code"), F.array_join(F.slice(t, half + 1, F.size(t)), " ").alias("answer"), F.lit("").alias("prompt"), (F.col("qid") % 5).alias("n_citations"))
 
 
 def evidence_of(spark: SparkSession, sf: str) -> DataFrame:
-    """The document with a question's number is its first evidence, the next its second."""
-    c = chunks_of(spark, sf).select("doc_id", "title", "section", "page_start", "page_end", "text", "corpus_pos", F.col("chunk_id").alias("citation"))
-    q = questions_of(spark, sf).select("qid", F.posexplode(F.array("qid", F.col("qid") + 1)).alias("at", "corpus_pos"))
-    return c.join(q, "corpus_pos").select("qid", (F.col("at") + 1).alias("rank"), "doc_id", "title", "section", "page_start", "page_end", "text", "citation")
+    """What hybrid retrieval and reranking give."""
+    return reranked_of(spark, sf).select("qid", "rank", "chunk_id", "doc_id", "title", "section", "page_start", "page_end", "text", F.col("chunk_id").alias("citation"))
 
 
 def near_of(spark: SparkSession, sf: str) -> DataFrame:
-    e = evidence_of(spark, sf).select("qid", "rank", "doc_id")
-    return e.join(assets_of(spark, sf), "doc_id").select("qid", "rank", "asset_id", "caption", "text_preview")
+    """The evidence chunks' nearest tables and figures."""
+    e = evidence_of(spark, sf)
+    near = ev.nearby_assets(e.select("chunk_id", "doc_id", "page_start", "page_end").distinct(), assets_of(spark, sf)).select("chunk_id", "asset_id", "caption", "text_preview")
+    return e.select("qid", "rank", "chunk_id").join(near, "chunk_id").drop("chunk_id")
 
 
 NORMAL = r"trim(regexp_replace(translate(lower({x}), '–—' || chr(160), '-- '), '\s+', ' ', 'g'))"
-BASE = f"""{CHUNKS}, {ASSETS}, q AS (SELECT item_id AS qid, {tok('text')} AS t, 'src' || item_id % 20 AS doc_id, CAST(item_id % 10 + 1 AS INTEGER) AS page, CASE WHEN item_id % 3 > 0 THEN 'a' || item_id END AS asset_id FROM benchmark),
-o AS (SELECT qid, qid % 7 <> 6 AS ok, array_to_string(t[len(t) // 2 + 1:len(t) // 2 + 99], ' ') AS answer, qid % 5 AS n_citations FROM q),
-e AS (SELECT q.qid, c.corpus_pos - q.qid + 1 AS rank, c.* FROM q JOIN chunks c ON c.corpus_pos IN (q.qid, q.qid + 1)), n AS (SELECT e.qid, e.rank, a.asset_id, a.caption, a.text_preview FROM e JOIN assets a USING (doc_id)),
-b AS (SELECT qid, string_agg(line, chr(10)) AS body, string_agg(CASE WHEN headed THEN head END || line, chr(10)) AS headed_body FROM (SELECT qid, text AS line, title || chr(10) || section || chr(10) || chunk_id || chr(10) AS head, TRUE AS headed FROM e UNION ALL SELECT qid, caption || chr(10) || text_preview, '', TRUE FROM n) GROUP BY qid),
+BASE = f"""{RERANK}, {ASSETS}, q AS (SELECT item_id AS qid, {tok('text')} AS t, 'src' || item_id % 20 AS doc_id, CAST(item_id % 10 + 1 AS INTEGER) AS page, CASE WHEN item_id % 3 > 0 THEN 'a' || item_id END AS asset_id FROM benchmark),
+o AS (SELECT qid, qid % 7 <> 6 AS ok, array_to_string(t[len(t) // 2 + 1:], ' ') AS answer, qid % 5 AS n_citations FROM q),
+e AS (SELECT qid, rank, chunk_id, doc_id, title, section, page_start, page_end, text FROM reranked),
+nb AS (SELECT c.chunk_id, a.asset_id, a.caption, a.text_preview, row_number() OVER (PARTITION BY c.chunk_id ORDER BY abs(a.page - c.page_start), a.asset_id) AS r FROM (SELECT DISTINCT chunk_id, doc_id, page_start, page_end FROM e) c JOIN assets a ON a.doc_id = c.doc_id AND a.page BETWEEN c.page_start - 1 AND c.page_end + 1 QUALIFY r <= 5),
+n AS (SELECT e.qid, e.rank, nb.asset_id, nb.caption, nb.text_preview FROM e JOIN nb USING (chunk_id)),
+b AS (SELECT qid, string_agg(line, chr(10)) AS body, string_agg(head || line, chr(10)) AS headed_body FROM (SELECT qid, coalesce(text, '') AS line, concat_ws(chr(10), title, section, chunk_id) || chr(10) AS head FROM e UNION ALL SELECT qid, concat_ws(chr(10), caption, text_preview), '' FROM n) GROUP BY qid),
 h AS (SELECT q.*, o.ok, o.n_citations, {NORMAL.format(x='o.answer')} AS ans, {NORMAL.format(x="o.answer || chr(10) || coalesce(b.body, '')")} AS hay, {NORMAL.format(x="coalesce(b.headed_body, '')")} AS evi FROM q JOIN o USING (qid) LEFT JOIN b USING (qid)),
 v AS (SELECT *, (contains(ans, t[1]) OR contains(ans, t[2])) AND contains(ans, t[3]) AS answer_hit, (contains(hay, t[1]) OR contains(hay, t[2])) AND contains(hay, t[3]) AS evidence_hit, (contains(evi, t[1]) OR contains(evi, t[2])) AND contains(evi, t[3]) AS headed_hit,
- EXISTS (SELECT 1 FROM e WHERE e.qid = h.qid AND e.doc_id = h.doc_id) AS doc_hit, EXISTS (SELECT 1 FROM e WHERE e.qid = h.qid AND e.doc_id = h.doc_id AND e.page_start <= h.page + 1 AND e.page_end >= h.page - 1) AS page_hit, asset_id IS NULL OR EXISTS (SELECT 1 FROM n WHERE n.qid = h.qid AND n.asset_id = h.asset_id) AS asset_hit FROM h)"""
+ (contains(evi, t[1]) OR contains(evi, t[2]) OR contains(ans, t[1]) OR contains(ans, t[2])) AND (contains(evi, t[3]) OR contains(ans, t[3])) AS any_hit,
+ EXISTS (SELECT 1 FROM e WHERE e.qid = h.qid AND e.rank <= 5 AND e.doc_id = h.doc_id) AS doc_hit, EXISTS (SELECT 1 FROM e WHERE e.qid = h.qid AND e.rank <= 5 AND e.doc_id = h.doc_id AND e.page_start <= h.page + 1 AND e.page_end >= h.page - 1) AS page_hit, asset_id IS NULL OR EXISTS (SELECT 1 FROM n WHERE n.qid = h.qid AND n.rank <= 5 AND n.asset_id = h.asset_id) AS asset_hit FROM h)"""
 
 
 @R.query("ev_gold", f"WITH {BASE} SELECT qid, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS profile, answer_hit, evidence_hit, n_citations > 0 AS citation_present, evidence_hit AND n_citations > 0 AS success FROM v")
@@ -63,10 +69,9 @@ def ev_gold_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ct.skill_summary(ev_gold(spark, sf), "profile", "evidence_hit", "success")
 
 
-@R.query("ev_generation", f"WITH {BASE} SELECT qid, answer_hit, headed_hit AS evidence_hit FROM v")
+@R.query("ev_generation", f"WITH {BASE} SELECT qid, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS profile, answer_hit, any_hit AS all_hit, headed_hit AS evidence_hit, headed_hit AS bundle_hit, (any_hit OR headed_hit) AND NOT answer_hit AS synthesis_gap, NOT (any_hit OR headed_hit) AS retrieval_gap FROM v")
 def ev_generation(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaps follow from these two here; the operator's tests hold the rest."""
-    return ct.generation_gaps(asked_of(spark, sf), outcomes_of(spark, sf), evidence_of(spark, sf), near_of(spark, sf)).select("qid", "answer_hit", "evidence_hit")
+    return ct.generation_gaps(asked_of(spark, sf), outcomes_of(spark, sf), evidence_of(spark, sf), near_of(spark, sf))
 
 
 @R.query("ev_table_cell", f"WITH {BASE} SELECT qid, evidence_hit, n_citations > 0 AS citation_present, doc_hit, page_hit, asset_hit, doc_hit AND page_hit AND asset_hit AND evidence_hit AND n_citations > 0 AS success FROM v")
@@ -79,11 +84,15 @@ def ev_agent_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return ct.task_contracts(asked_of(spark, sf), outcomes_of(spark, sf), evidence_of(spark, sf), near_of(spark, sf))
 
 
-@R.query("ev_navigator", f"WITH {RANKED}, g AS (SELECT item_id AS qid, 'src' || item_id % 20 AS gold FROM benchmark), h AS (SELECT g.qid, min(r.rank) AS t FROM g JOIN ranked r ON r.qid = g.qid JOIN (SELECT DISTINCT topic, doc_id FROM nav) n ON n.topic = r.topic AND n.doc_id = g.gold GROUP BY g.qid) SELECT g.qid, coalesce(t <= 1, FALSE) AS topic_hit_at_1, coalesce(t <= 2, FALSE) AS topic_hit_at_2, coalesce(t <= 3, FALSE) AS topic_hit_at_3 FROM g LEFT JOIN h USING (qid)")
+NAV_DOCS = f"""{RANKED}, g AS (SELECT item_id AS qid, 'src' || item_id % 20 AS gold FROM benchmark), h AS (SELECT g.qid, min(r.rank) AS t FROM g JOIN ranked r ON r.qid = g.qid JOIN (SELECT DISTINCT topic, doc_id FROM nav) n ON n.topic = r.topic AND n.doc_id = g.gold GROUP BY g.qid),
+sd AS (SELECT a.qid, n.doc_id, round(sum(len(list_intersect({tokset('a.question')}, {tokset(NAVROW_OF)})) / greatest(len({tokset('a.question')}), 1)), 6) AS score FROM asked a JOIN ranked r ON r.qid = a.qid AND r.rank <= 2 JOIN nav n ON n.topic = r.topic GROUP BY ALL),
+rd AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sd QUALIFY rank <= 5), d AS (SELECT g.qid, min(rd.rank) AS d FROM g JOIN rd ON rd.qid = g.qid AND rd.doc_id = g.gold GROUP BY g.qid)"""
+
+
+@R.query("ev_navigator", f"WITH {NAV_DOCS} SELECT g.qid, " + ", ".join([*(f"coalesce(t <= {k}, FALSE) AS topic_hit_at_{k}" for k in (1, 2, 3)), *(f"coalesce(d <= {k}, FALSE) AS doc_hit_at_{k}" for k in (1, 3, 5))]) + " FROM g LEFT JOIN h USING (qid) LEFT JOIN d USING (qid)")
 def ev_navigator(spark: SparkSession, sf: str) -> DataFrame:
     nav, asked = navigator_of(spark, sf), lang_questions(spark, sf)
     topics = nv.rank_topics(asked, nav)
     docs = nv.rank_documents(asked, nav, topics.where("rank <= 2"))
     gold = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"))
-    out = ct.navigator_metrics(topics, docs, nav.select("topic", "doc_id").distinct(), gold)
-    return out.select("qid", "topic_hit_at_1", "topic_hit_at_2", "topic_hit_at_3")
+    return ct.navigator_metrics(topics, docs, nav.select("topic", "doc_id").distinct(), gold)

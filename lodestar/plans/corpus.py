@@ -14,14 +14,14 @@ from lodestar.operators import ingest as ig
 from lodestar.operators import navigator as nv
 from lodestar.operators.retrieve import top_k
 from lodestar.plans.registry import Registry, table
-from lodestar.plans.retrieval import chunks_of, questions_of, reranked_of
+from lodestar.plans.retrieval import RERANK, TERMS, chunks_of, questions_of, reranked_of
 from lodestar.plans.sql import CHUNKS, NORM, tok, tokset
 from lodestar.sources import adapters, files
 
 R = Registry()
 
-ELEMENTS = r"""raw AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?s)<(?:h1|p|li)[^>]*>.*?</(?:h1|p|li)>')) AS raw, generate_subscripts(regexp_extract_all(html, '(?s)<(?:h1|p|li)[^>]*>.*?</(?:h1|p|li)>'), 1) - 1 AS ord FROM pages),
-elements AS (SELECT doc_id, ord, regexp_extract(raw, '^<(\w+)', 1) AS tag, CASE regexp_extract(raw, '^<(\w+)', 1) WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'table' ELSE 'paragraph' END AS type, CAST(ord // 10 + 1 AS INTEGER) AS page,
+ELEMENTS = rf"""raw AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{adapters.ELEMENT}')) AS raw, generate_subscripts(regexp_extract_all(html, '{adapters.ELEMENT}'), 1) - 1 AS ord FROM pages),
+elements AS (SELECT doc_id, ord, regexp_extract(raw, '^<(\w+)', 1) AS tag, CASE regexp_extract(raw, '^<(\w+)', 1) WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'table' WHEN 'div' THEN 'image' WHEN 'footer' THEN 'caption' ELSE 'paragraph' END AS type, CAST(ord // 10 + 1 AS INTEGER) AS page,
  trim(regexp_replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM raw)"""
 
 
@@ -33,20 +33,20 @@ def blocks_of(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.line_blocks(table(spark, sf, "documents"))
 
 
-@R.query("block_section_fill", f"WITH {ELEMENTS}, e AS (SELECT *, {NORM.format(x='content')} AS text FROM elements WHERE {NORM.format(x='content')} <> '') SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS block_ord, type AS block_type, page, coalesce(last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER w, 'UNKNOWN') AS section, md5(text) AS digest FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)")
+@R.query("block_section_fill", f"WITH {ELEMENTS}, e AS (SELECT *, {NORM.format(x='content')} AS text FROM elements WHERE {NORM.format(x='content')} <> ''), f AS (SELECT *, coalesce(last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), 'UNKNOWN') AS section FROM e) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS block_ord, type AS block_type, page, section, md5(text) AS digest FROM f WHERE type <> 'image'")
 def block_section_fill(spark: SparkSession, sf: str) -> DataFrame:
     return ig.section_fill(elements_of(spark, sf)).select("doc_id", "block_ord", "block_type", "page", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@R.query("asset_extract", f"WITH {ELEMENTS} SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS index, doc_id || '_' || type || lpad(CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS VARCHAR), 4, '0') AS asset_id FROM elements WHERE type = 'table'")
+@R.query("asset_extract", f"WITH {ELEMENTS} SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS index, doc_id || '_' || type || lpad(CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS VARCHAR), 4, '0') AS asset_id FROM elements WHERE type IN ('table', 'image')")
 def asset_extract(spark: SparkSession, sf: str) -> DataFrame:
     return ig.extract_assets(elements_of(spark, sf)).select("doc_id", "ord", "index", "asset_id")
 
 
-@R.query("caption_nearest", f"WITH {ELEMENTS}, a AS (SELECT doc_id, doc_id || '_table' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS VARCHAR), 4, '0') AS asset_id, page, ord * 10 AS top, ord * 10 + 8 AS bottom FROM elements WHERE type = 'table'), c AS (SELECT doc_id, page, ord, ord * 10 AS top, ord * 10 + 8 AS bottom, content FROM elements WHERE type = 'paragraph') SELECT a.doc_id, a.asset_id, md5(arg_min(c.content, struct_pack(d := least(abs(a.top - c.bottom), abs(c.top - a.bottom)), o := c.ord))) AS digest FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.page = a.page GROUP BY ALL")
+@R.query("caption_nearest", f"WITH {ELEMENTS}, a AS (SELECT doc_id, doc_id || '_' || type || lpad(CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS VARCHAR), 4, '0') AS asset_id, page, ord * 10 AS top, ord * 10 + 8 AS bottom FROM elements WHERE type IN ('table', 'image')), c AS (SELECT doc_id, page, ord, ord * 10 AS top, ord * 10 + 8 AS bottom, content FROM elements WHERE type IN ('paragraph', 'caption')) SELECT a.doc_id, a.asset_id, md5(arg_min(c.content, struct_pack(d := least(abs(a.top - c.bottom), abs(c.top - a.bottom)), o := c.ord))) AS digest FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.page = a.page GROUP BY ALL")
 def caption_nearest(spark: SparkSession, sf: str) -> DataFrame:
     placed = elements_of(spark, sf).withColumn("top", F.col("ord") * 10).withColumn("bottom", F.col("ord") * 10 + 8)
-    captions = placed.where("type = 'paragraph'").withColumnRenamed("content", "text")
+    captions = placed.where("type IN ('paragraph', 'caption')").withColumnRenamed("content", "text")
     return ig.nearest_caption(ig.extract_assets(placed), captions).select("doc_id", "asset_id", F.md5(F.col("caption").cast("binary")).alias("digest"))
 
 
@@ -65,7 +65,7 @@ def inspect_text_density(spark: SparkSession, sf: str) -> DataFrame:
     return ig.text_density(blocks.select("doc_id", "page", "text"), blocks.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages")))
 
 
-@R.query("corpus_inventory", "SELECT source AS doc_id, count_if(lang = 'de') AS de, count_if(lang = 'en') AS en, count_if(lang = 'es') AS es, count_if(lang = 'fr') AS fr, count_if(lang IN ('de', 'en', 'es', 'fr')) AS n_chunks FROM documents GROUP BY source")
+@R.query("corpus_inventory", "SELECT source AS doc_id, count_if(lang = 'de') AS de, count_if(lang = 'en') AS en, count_if(lang = 'es') AS es, count_if(lang = 'fr') AS fr, count_if(lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) AS other, count(*) AS n_chunks FROM documents GROUP BY source")
 def corpus_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return ig.inventory(chunks_of(spark, sf).drop("chunk_kind").withColumnRenamed("section", "chunk_kind"), ["de", "en", "es", "fr"])
 
@@ -161,21 +161,23 @@ def rk_navigator_docs(spark: SparkSession, sf: str) -> DataFrame:
 # --- answers, exports, generators ---------------------------------------------
 
 
-@R.query("an_lexical_candidates")
+SPLIT = r"string_split(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(c.text, ''), '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), '(;)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+@R.query("an_lexical_candidates", f"WITH {RERANK}, p AS (SELECT qid, rank, {TERMS} AS terms, unnest({SPLIT}) AS sentence, generate_subscripts({SPLIT}, 1) - 1 AS sentence_idx FROM reranked c), s AS (SELECT *, trim(sentence) AS t FROM p) SELECT qid, rank, sentence_idx, round(len(list_intersect(terms, {tokset('t')})) / greatest(len(terms), 1) + 0.20 / rank, 6) AS score, md5(t) AS digest FROM s WHERE length(t) BETWEEN 40 AND 700")
 def an_lexical_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: the splitter looks around; tests compare with a loop."""
     return an.sentence_candidates(reranked_of(spark, sf)).select("qid", "rank", "sentence_idx", "score", F.md5(F.col("sentence").cast("binary")).alias("digest"))
 
 
 @R.query("an_extractive")
 def an_extractive(spark: SparkSession, sf: str) -> DataFrame:
-    out = an.extractive_answers(reranked_of(spark, sf).persist())  # three uses of k rows a question
+    out = an.extractive_answers(reranked_of(spark, sf))
     return out.select("qid", F.md5(F.col("answer").cast("binary")).alias("digest"), F.array_join("used_evidence_ids", ",").alias("used"))
 
 
-@R.query("sink_markdown_export", f"WITH {CHUNKS} SELECT doc_id, md5('# ' || min(title) || chr(10) || chr(10) || string_agg('- [' || chunk_id || '; ' || CASE WHEN page_start = page_end THEN 'p. ' || page_start ELSE 'pp. ' || page_start || '-' || page_end END || '] ' || trim(regexp_replace(text, '\\s+', ' ', 'g')), chr(10) ORDER BY page_start, chunk_id)) AS digest FROM chunks GROUP BY doc_id")
+@R.query("sink_markdown_export", f"WITH {CHUNKS} SELECT doc_id, 0 AS page_start, '' AS chunk_id, md5('# ' || min(title)) AS digest FROM chunks GROUP BY doc_id UNION ALL SELECT doc_id, page_start, chunk_id, md5('- [' || chunk_id || '; ' || CASE WHEN page_start = page_end THEN 'p. ' || page_start ELSE 'pp. ' || page_start || '-' || page_end END || '] ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM chunks")
 def sink_markdown_export(spark: SparkSession, sf: str) -> DataFrame:
-    return files.markdown_export(chunks_of(spark, sf)).select("doc_id", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+    return files.markdown_lines(chunks_of(spark, sf)).select("doc_id", "page_start", "chunk_id", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
 @R.query("wn_round_robin", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS round FROM part")

@@ -10,24 +10,24 @@ from lodestar.operators import audit as au
 from lodestar.operators import evaluate as el
 from lodestar.operators import stats as st
 from lodestar.plans.registry import Registry, table
-from lodestar.plans.retrieval import candidates_of, questions_of, reranked_of, sparse_of
+from lodestar.plans.retrieval import RERANK, candidates_of, questions_of, reranked_of, sparse_of
 from lodestar.plans.sql import BM25, RERANK_HEAD, tok
-from lodestar.plans.textual import NUMBERS
+from lodestar.plans.textual import NUMBERS, each_with_item
 
 R = Registry()
 RUN = 8
 
 
 def gold_of(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, chunk_id: documents that hold the first eight words of a question, found by hashing."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), tx.tokens("text").alias("t")).where(F.size("t") >= RUN)
-    q = q.select("qid", F.array_join(F.slice("t", 1, RUN), " ").alias("s"))
-    d = table(spark, sf, "documents").select("doc_id", tx.tokens("text").alias("t")).where(F.size("t") >= RUN)
-    d = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - RUN + 1), lambda i: F.array_join(F.slice("t", i, RUN), " "))).alias("s"))
-    return d.join(F.broadcast(q), "s").select("qid", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id")).distinct()
+    """qid, chunk_id: documents that hold any eight consecutive words of a question."""
+    found = el.passage_gold(questions_of(spark, sf), table(spark, sf, "documents"), "doc_id", RUN)
+    return found.select("qid", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"))
 
 
-GOLD = f"gold AS (SELECT DISTINCT q.qid, 'c' || d.doc_id AS chunk_id FROM (SELECT item_id AS qid, ' ' || array_to_string({tok('text')}[1:8], ' ') || ' ' AS s FROM benchmark WHERE len({tok('text')}) >= 8) q JOIN (SELECT doc_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS t FROM documents) d ON contains(d.t, q.s))"
+GOLD = f"""gold AS (WITH bw AS (SELECT item_id AS qid, {tok('text')} AS w FROM benchmark), bn AS (SELECT qid, w, least(len(w), 8) AS n FROM bw WHERE len(w) > 0), dw AS (SELECT doc_id, {tok('text')} AS w FROM documents), ns AS (SELECT DISTINCT n FROM bn),
+ br AS (SELECT DISTINCT qid, n, array_to_string(w[s:s + n - 1], ' ') AS r FROM (SELECT qid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM bn)),
+ dr AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS r FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, ns WHERE len(w) >= n))
+ SELECT DISTINCT br.qid, 'c' || dr.doc_id AS chunk_id FROM br JOIN dr USING (n, r))"""
 HITS = f"{BM25}, {GOLD}, firsts AS (SELECT s.qid, min(s.rank) AS first FROM sparse s JOIN gold USING (qid, chunk_id) GROUP BY s.qid), details AS (SELECT item_id AS qid, CAST(coalesce(first <= 1, FALSE) AS INTEGER) AS hit_at_1, CAST(coalesce(first <= 3, FALSE) AS INTEGER) AS hit_at_3, CAST(coalesce(first <= 5, FALSE) AS INTEGER) AS hit_at_5, coalesce(round(1 / first, 6), 0.0) AS rr FROM benchmark LEFT JOIN firsts ON qid = item_id)"
 
 
@@ -68,16 +68,19 @@ def hp_page_hit(spark: SparkSession, sf: str) -> DataFrame:
     return el.page_hits(candidates_of(spark, sf).withColumnRenamed("retrieval_rank", "rank"), targets_of(spark, sf).withColumn("window", F.lit(1)))
 
 
-ANSWER = "'Based on ' || b.text || ' [E1] 3.5% and 17-19 in ' || b.item_id"
-TERMS = f"list_distinct(list_filter({tok(chr(39) * 0 + 'regexp_replace(a.answer, ' + chr(39) + '\\[E\\d+\\]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, lambda t: length(t) >= 3 AND t NOT IN ('based', 'only', 'retrieved', 'evidence')))"
+ANSWER = "'Based on ' || b.text || ' [E1] 3.5% and 17-19 in ' || b.item_id || CASE WHEN b.item_id % 5 = 0 THEN '. We recommend it.' ELSE '' END"
+BARE = r"regexp_replace(a.answer, '\[E\d+\]', ' ', 'g')"
+TERMS = f"list_distinct(list_filter({tok(BARE)}, lambda t: length(t) >= 3 AND t NOT IN ('based', 'only', 'retrieved', 'evidence')))"
+EACH = "SELECT d.doc_id, d.text AS hay, b.item_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
 
 
-@R.query("ev_quality", f"WITH a AS (SELECT b.item_id AS qid, {ANSWER} AS answer, d.text AS hay FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id) SELECT qid, round(len(list_intersect({TERMS}, list_distinct({tok('a.hay')}))) / greatest(len({TERMS}), 1), 6) AS grounded, array_to_string(list_sort(list_filter({NUMBERS.format(x='a.answer')}, lambda n: NOT list_contains({NUMBERS.format(x='coalesce(a.hay, chr(32))')}, n))), ' ') AS unsupported, FALSE AS overclaim FROM a")
+@R.query("ev_quality", f"WITH a AS (SELECT doc_id, hay, {ANSWER} AS answer, b.item_id FROM ({EACH}) b) SELECT doc_id AS qid, round(len(list_intersect({TERMS}, list_distinct({tok('a.hay')}))) / greatest(len({TERMS}), 1), 6) AS grounded, array_to_string(list_sort(list_filter({NUMBERS.format(x='a.answer')}, lambda n: NOT list_contains({NUMBERS.format(x='coalesce(a.hay, chr(32))')}, n))), ' ') AS unsupported, item_id % 5 = 0 AS overclaim FROM a")
 def ev_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that quote a question, judged against the document with its number."""
-    answers = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("Based on "), F.col("text"), F.lit(" [E1] 3.5% and 17-19 in "), F.col("item_id").cast("string")).alias("answer"))
-    hay = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("hay"))
-    return el.answer_quality(answers, hay).select("qid", "grounded", F.array_join("unsupported_numbers", " ").alias("unsupported"), "overclaim")
+    """For every document an answer that quotes a benchmark item, some of them too sure, judged against the document."""
+    rows = each_with_item(spark, sf).withColumnRenamed("d", "hay")
+    sure = F.when(F.col("item_id") % 5 == 0, ". We recommend it.").otherwise("")
+    answers = rows.select(F.col("doc_id").alias("qid"), F.concat(F.lit("Based on "), F.col("text"), F.lit(" [E1] 3.5% and 17-19 in "), F.col("item_id").cast("string"), sure).alias("answer"), "hay")
+    return el.answer_quality(answers.drop("hay"), answers.select("qid", "hay")).select("qid", "grounded", F.array_join("unsupported_numbers", " ").alias("unsupported"), "overclaim")
 
 
 LABELLED = "SELECT d.source, l.doc_id, l.quality, l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id)"
@@ -100,7 +103,8 @@ def ag_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("ag_percentiles", "SELECT event_type, round(quantile_cont(value, 0.025), 6) AS linear_low, round(quantile_cont(value, 0.95), 6) AS linear_high, quantile_disc(value, 0.95) AS nearest FROM events GROUP BY event_type")
 def ag_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.025)), 6).alias("linear_low"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("linear_high"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("nearest"))
+    out = el.quantiles(table(spark, sf, "events"), "value", {"linear_low": (0.025, False), "linear_high": (0.95, False), "nearest": (0.95, True)}, ["event_type"])
+    return out.select("event_type", F.round("linear_low", 6).alias("linear_low"), F.round("linear_high", 6).alias("linear_high"), "nearest")
 
 
 @R.query("ag_latency_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -140,14 +144,13 @@ def st_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("st_bootstrap_mean")
 def st_bootstrap_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Rows only: draws come from a keyed hash; tests compare the interval with theory."""
-    out = st.bootstrap_mean(labelled(spark, sf), "quality", "doc_id", 1000)
+    out = st.bootstrap_mean(labelled(spark, sf), "quality", 1000)
     return out.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @R.query("st_bootstrap_paired")
 def st_bootstrap_paired(spark: SparkSession, sf: str) -> DataFrame:
-    rows = labelled(spark, sf).withColumn("difference", F.col("quality") - F.col("toxic"))
-    out = st.bootstrap_mean(rows, "difference", "doc_id", 1000)
+    out = st.bootstrap_paired(labelled(spark, sf), "quality", "toxic", repetitions=1000)
     return out.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -185,11 +188,12 @@ def ev_host_score(spark: SparkSession, sf: str) -> DataFrame:
     return au.host_scores(answers, asked)
 
 
-@R.query("au_eval", f"WITH l AS ({LABELLED}), a AS (SELECT source, unnest(['quality', 'toxic']) AS metric, unnest([sum(quality) / count(*), sum(toxic) / count(*)]) AS recomputed FROM l GROUP BY source) SELECT source, metric, metric = 'quality' OR recomputed = 0 AS ok FROM a")
+@R.query("au_eval", f"WITH l AS ({LABELLED}), a AS (SELECT source, unnest(['quality', 'toxic']) AS metric, unnest([sum(quality) / count(*), sum(toxic) / count(*)]) AS recomputed FROM l GROUP BY source) SELECT source, metric, abs(CASE WHEN metric = 'quality' THEN recomputed + CASE WHEN source LIKE '%7' THEN 0.01 ELSE 0 END ELSE round(recomputed, 3) END - recomputed) <= 1e-12 AS ok FROM a")
 def au_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries that state the right quality rate and a toxic rate of nought."""
+    """Summaries that state wrong quality rates of some sources, and toxic rates cut to three digits."""
     rows = labelled(spark, sf)
-    stated = rows.groupBy("source").agg((F.sum("quality") / F.count(F.lit(1))).alias("quality")).withColumn("toxic", F.lit(0.0))
+    off = F.when(F.col("source").like("%7"), 0.01).otherwise(0.0)
+    stated = rows.groupBy("source").agg((F.sum("quality") / F.count(F.lit(1))).alias("quality"), F.round(F.sum("toxic") / F.count(F.lit(1)), 3).alias("toxic")).withColumn("quality", F.col("quality") + off)
     return el.recomputed(rows, stated, ("quality", "toxic"), "source").select("source", "metric", "ok")
 
 
@@ -198,8 +202,9 @@ def ev_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return el.experiment_matrix({"labels": el.summarize(labelled(spark, sf), "quality", "toxic"), "sizes": table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))})
 
 
-@R.query("st_subset", f"WITH {RERANK_HEAD} SELECT qid, max(retrieval_rank) >= 2 AS valid FROM hybrid GROUP BY qid")
+@R.query("st_subset", f"WITH {RERANK}, n AS (SELECT qid, max(rank) AS n FROM reranked GROUP BY qid) SELECT qid, qid % 4 <> 0 AND qid % 9 BETWEEN 1 AND n AS valid FROM n")
 def st_subset(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids marked in a text ([E1], [E2]) are among the ranked evidence."""
+    """Ids marked in a text, none in some, are among the ranked evidence."""
     known = reranked_of(spark, sf).groupBy("qid").agg(F.collect_set(F.concat(F.lit("E"), F.col("rank").cast("string"))).alias("known"))
-    return known.select("qid", el.ids_valid(el.marked_ids(F.lit("as [E1] and [E2] say, [E1]")), F.col("known")).alias("valid"))
+    text = F.when(F.col("qid") % 4 == 0, "").otherwise(F.concat(F.lit("as [E1] and [E"), (F.col("qid") % 9).cast("string"), F.lit("] say, [E1]")))
+    return known.select("qid", el.ids_valid(el.marked_ids(text), F.col("known")).alias("valid"))

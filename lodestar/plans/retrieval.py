@@ -181,7 +181,9 @@ def prj_citations(spark: SparkSession, sf: str) -> DataFrame:
     return ev.flatten(reranked_of(spark, sf)).select("qid", "evidence_id", "chunk_id", "citation")
 
 
-ASSETS = "assets AS (SELECT 'src' || page_id % 20 AS doc_id, 'a' || page_id AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'image' ELSE 'table' END AS asset_type, CAST(page_id % 12 AS INTEGER) AS page, url AS caption, substr(html, 1, 200) AS text_preview FROM pages)"
+#: characters of an asset's preview
+PREVIEW = 1800
+ASSETS = "assets AS (SELECT 'src' || page_id % 20 AS doc_id, 'a' || page_id AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'image' ELSE 'table' END AS asset_type, CAST(page_id % 12 AS INTEGER) AS page, url AS caption, CASE WHEN length(html) > 1800 THEN rtrim(substr(html, 1, 1800)) || '...' ELSE html END AS text_preview FROM pages)"
 
 
 def assets_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +193,7 @@ def assets_of(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("page_id") % 3 == 0, "image").otherwise("table").alias("asset_type"),
         (F.col("page_id") % 12).cast("int").alias("page"),
         F.col("url").alias("caption"),
-        F.substring("html", 1, 200).alias("text_preview"),
+        F.when(F.char_length("html") > PREVIEW, F.concat(F.rtrim(F.substring("html", 1, PREVIEW)), F.lit("..."))).otherwise(F.col("html")).alias("text_preview"),
     )
 
 

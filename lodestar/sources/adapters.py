@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE_LINES = 10
+ELEMENT = r"(?s)<(?:title|h1|p|li|div|footer)(?: [^>]*)?>.*?</(?:title|h1|p|li|div|footer)>"
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:
@@ -53,12 +54,12 @@ def line_blocks(documents: DataFrame) -> DataFrame:
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """h1, p and li elements of raw HTML, in order: heading (level 1), paragraph, table stand-in."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p|li)[^>]*>.*?</(?:h1|p|li)>"), F.lit(0))
+    """Elements of raw HTML, in order: h1 as heading (level 1), li as table, div as image, footer as caption, title and p as paragraph."""
+    found = F.regexp_extract_all("html", F.lit(ELEMENT), F.lit(0))
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("ord", "raw"))
     name = F.regexp_extract("raw", r"^<(\w+)", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]+>", " "), r"\s+", " "))
-    kind = F.when(name == "h1", "heading").when(name == "li", "table").otherwise("paragraph")
+    kind = F.when(name == "h1", "heading").when(name == "li", "table").when(name == "div", "image").when(name == "footer", "caption").otherwise("paragraph")
     return rows.select("doc_id", "ord", kind.alias("type"), (F.floor(F.col("ord") / PAGE_LINES) + 1).cast("int").alias("page"), F.when(name == "h1", 1).alias("heading_level"), text.alias("content"))
 
 

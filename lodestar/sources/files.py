@@ -90,10 +90,20 @@ def append_log(df: DataFrame, path: str) -> None:
     stamped.write.mode("append").json(path)
 
 
-def markdown_export(chunks: DataFrame) -> DataFrame:
-    """doc_id, markdown: a document's chunks by first page and id, white space collapsed."""
+def markdown_lines(chunks: DataFrame) -> DataFrame:
+    """doc_id, page_start, chunk_id, line: a heading (page 0, no chunk) a document and a line a chunk, white space collapsed.
+
+    A document is its lines by first page and chunk id; no document is gathered in a row.
+    """
     from lodestar.functions.text import collapse_ws, page_range
 
     line = F.concat(F.lit("- ["), F.col("chunk_id"), F.lit("; "), page_range("page_start", "page_end"), F.lit("] "), collapse_ws("text"))
-    lines = F.sort_array(F.collect_list(F.struct("page_start", "chunk_id", line.alias("line"))))
-    return chunks.groupBy("doc_id").agg(F.concat(F.lit("# "), F.min("title"), F.lit("\n\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("markdown"))
+    heads = chunks.groupBy("doc_id").agg(F.concat(F.lit("# "), F.min("title")).alias("line"))
+    heads = heads.select("doc_id", F.lit(0).alias("page_start"), F.lit("").alias("chunk_id"), "line")
+    return heads.unionByName(chunks.select("doc_id", F.col("page_start").cast("int").alias("page_start"), "chunk_id", line.alias("line")))
+
+
+def write_markdown(chunks: DataFrame, path: str) -> None:
+    """A folder a document; its files, in name order, have its lines in order. Splitters are sampled, so a long document spans files."""
+    rows = markdown_lines(chunks).repartitionByRange("doc_id", "page_start", "chunk_id").sortWithinPartitions("doc_id", "page_start", "chunk_id")
+    rows.select("doc_id", "line").write.partitionBy("doc_id").mode("overwrite").text(path)

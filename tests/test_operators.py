@@ -153,14 +153,20 @@ def test_hash_embedding_is_unit_and_by_crc32(spark):
     assert best.chunk_id == "d_c0001" and best.score == pytest.approx(1)
 
 
-def test_dense_blocks_agree(spark, monkeypatch):
+@pytest.mark.parametrize("block", [4_096, 2])
+def test_dense_blocks_agree(spark, block):
     rng = random.Random(1)
     vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(40)], "chunk_id long, embedding array<double>")
     queries = vectors.where("chunk_id < 5").selectExpr("chunk_id AS qid", "embedding AS query")
-    got = sorted(tuple(r) for r in rt.dense_search(queries, vectors, 3).select("qid", "rank", "chunk_id").collect())
+    got = sorted(tuple(r) for r in rt.dense_search(queries, vectors.repartition(3), 3, block=block).select("qid", "rank", "chunk_id").collect())
     rows = {r.chunk_id: r.embedding for r in vectors.collect()}
     want = [(q, n + 1, c) for q in range(5) for n, c in enumerate(sorted(rows, key=lambda c: (-round(sum(x * y for x, y in zip(rows[q], rows[c], strict=True)), 6), c))[:3])]
     assert got == want
+    odd = vectors.unionAll(spark.createDataFrame([(90, None), (91, [1.0]), (92, [9.0, 9.0, 9.0, float("nan")])], "chunk_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in rt.dense_search(queries, odd, 3, block=block).select("qid", "rank", "chunk_id").collect()) == want
+    same = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(3000)], "chunk_id long, embedding array<double>")  # all tie
+    assert [r.chunk_id for r in rt.dense_search(same.where("chunk_id = 7").selectExpr("chunk_id AS qid", "embedding AS query"), same, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
+    assert rt.dense_search(queries.limit(0), vectors).count() == 0 and rt.dense_search(queries, vectors.limit(0)).count() == 0
 
 
 def test_minmax_and_blend(spark):
@@ -396,11 +402,36 @@ def test_statistics_golden_values(spark):
     assert el.latency(values, "v").first().p95 == 8.0
 
 
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(300)], "b": [5.0], None: [1e9, 1e9, -1e9, 3.0, 3.0, 3.0, 3.5], "c": [rng.choice([1.0, 2.0, 1e6]) for _ in range(50)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double").repartition(3)
+    for buckets in (1, 7, 1024):
+        got = {r.k: r for r in el.quantiles(rows, "v", {"low": (0.025, False), "mid": (0.5, False), "near": (0.95, True)}, ["k"], buckets).collect()}
+        for k, vs in groups.items():
+            vs = sorted(vs)
+            at = lambda p: vs[int(p * (len(vs) - 1))] + (vs[min(int(p * (len(vs) - 1)) + 1, len(vs) - 1)] - vs[int(p * (len(vs) - 1))]) * (p * (len(vs) - 1) % 1)  # noqa: E731, B023
+            assert got[k].low == pytest.approx(at(0.025)) and got[k].mid == pytest.approx(at(0.5)) and got[k].near == vs[math.ceil(0.95 * len(vs)) - 1]
+    assert el.quantiles(rows.limit(0), "v", {"mid": (0.5, False)}, ["k"]).count() == 0
+
+
+def test_passage_gold_is_any_run(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "short item"), (3, ""), (4, None)], "qid long, question string")
+    texts = spark.createDataFrame([(1, "x Three, four five six seven EIGHT nine ten y"), (2, "a short item here"), (3, "one two three four five six seven"), (4, None)], "doc_id long, text string")
+    for rows in (1_000_000, 0):
+        assert sorted(tuple(r) for r in el.passage_gold(items, texts, "doc_id", rows=rows).collect()) == [(1, 1), (2, 2)]
+
+
 def test_bootstrap_is_near_theory(spark):
     rows = spark.createDataFrame([(i, float(i % 4 == 0)) for i in range(200)], "id long, v double")
-    r = st.bootstrap_mean(rows, "v", "id", 2000).first()
+    r = st.bootstrap_mean(rows, "v", 2000).first()
     half = 1.96 * math.sqrt(0.25 * 0.75 / 200)
     assert r.mean == 0.25 and abs(r.low - (0.25 - half)) < 0.015 and abs(r.high - (0.25 + half)) < 0.015
+    many = spark.createDataFrame([(float(i),) for i in range(500)], "v double")  # several buckets of values
+    r = st.bootstrap_mean(many, "v", 2000, bucket_values=50).first()
+    half = 1.96 * math.sqrt((500**2 - 1) / 12 / 500)
+    assert r.mean == 249.5 and abs(r.low - (249.5 - half)) < 1 and abs(r.high - (249.5 + half)) < 1
+    assert st.bootstrap_mean(many.limit(0), "v", 10).first().mean is None
     low, high = st.bootstrap_reference([1.0, 0.0, 1.0, 1.0], 200, 7)
     assert 0 <= low <= 0.75 <= high <= 1
 
