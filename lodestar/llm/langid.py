@@ -16,7 +16,6 @@ goes through the shuffle. The model that reaches the driver has languages x DIME
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.memory import remembered, serve
 from lodestar.llm.wordhash import mix
 
 DIMENSIONS = 1024
@@ -38,7 +38,7 @@ GROUP, SLICE, BIND = 128, 1 << 19, 4096
 MEMORY, LETTERS = 16_384, 8_192
 
 
-@lru_cache(maxsize=1)
+@remembered(1)
 def letter_table() -> np.ndarray:
     """Each code point's letter: itself, or 0 (the boundary) if it is none."""
     points = np.arange(0x110000, dtype=np.uint32)
@@ -117,7 +117,7 @@ class Binder:
         return out
 
 
-@lru_cache(maxsize=1)
+@remembered(1)
 def binder(dimensions: int, seed: int) -> Binder:
     return Binder(dimensions, seed)
 
@@ -145,6 +145,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensi
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("language ID")
         totals: dict[str, np.ndarray] = {}
         bind = binder(dimensions, seed)
         for batch in batches:
@@ -188,6 +189,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("language ID")
         bind = binder(dimensions, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):

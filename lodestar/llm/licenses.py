@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import importable
 from lodestar.llm.license_texts import TEMPLATES
+from lodestar.llm.memory import remembered, serve
 from lodestar.llm.wordhash import KEPT, mix, span_hashes, spans
 
 SHINGLE = 5
@@ -254,7 +254,7 @@ def _merged(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     return out
 
 
-@lru_cache(maxsize=4)
+@remembered(4)
 def _scanner(templates: tuple[tuple[str, str], ...], containment: float) -> Scanner:
     return Scanner(dict(templates), containment)
 
@@ -276,6 +276,7 @@ def license_scan(df: DataFrame, text_col: str = "text", keep: list[Column] | Non
     fields = ("license", "first_word", "n_words", "containment")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("license scan")
         scanner = _scanner(fixed, containment)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

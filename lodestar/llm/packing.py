@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.memory import serve
 
 from lodestar.llm.tokens import END_ID, encoder
 
@@ -126,6 +127,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        serve("tokens")
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, classes, slack)
         out: list[tuple] = []

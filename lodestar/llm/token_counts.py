@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.memory import serve
 
 from lodestar.llm.tokens import encoder
 
@@ -150,6 +151,7 @@ def counted(df: DataFrame, text_col: str = "text", keep: list[Column] | None = N
     schema = rows.drop("text").schema.add("n_tokens", "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("tokens")
         encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.memory import serve
 
 from lodestar.llm.tokens import END_ID, encoder
 
@@ -153,6 +154,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        serve("tokens")
         encode = encoder(tokenizer)
         dtype = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         part, done, out = TaskContext.get().partitionId(), [], None

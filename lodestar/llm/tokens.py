@@ -12,48 +12,80 @@ hold special tokens go to the library whole, as do those of other vocabularies
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
+from lodestar.llm.memory import remembered
+
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: words with and without closing marks that a worker remembers; beyond it a memory is filled anew
-MEMORY, STEMS = 500_000, 900_000
+#: words with and without closing marks that a worker remembers, in each of two generations
+MEMORY, STEMS = 100_000, 150_000
 #: bytes of a text that are split at a time
 BLOCK = 1 << 22
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _Stems(dict):
-    def __init__(self, tokenizer, limit: int) -> None:
+class _Recent(dict):
+    """What was looked up of late: two generations of at most `limit` entries each.
+
+    When the younger is full it becomes the older one, and what is still asked for moves
+    back into the younger, so frequent words stay.
+    """
+
+    def __init__(self, limit: int) -> None:
         super().__init__()
-        self.encode, self.limit = tokenizer.encode, limit
+        self.limit, self.older = limit, {}
+
+    def make(self, word: bytes) -> bytes:
+        raise NotImplementedError
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.encode(word.decode(), None, False, False).ids, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
 
-class _Words(dict):
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Stems(_Recent):
+    """Ids of words; those of lower-case Latin letters alone are one piece, which goes to the library's model at once."""
+
+    def __init__(self, tokenizer, limit: int) -> None:
+        super().__init__(limit)
+        self.encode, self.tokenize, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+
+    def make(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters, lowered before
+            return array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+            return array("I", [t.id for t in self.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", self.encode(text, None, False, False).ids).tobytes()
+
+
+class _Words(_Recent):
     def __init__(self, stems: _Stems, limit: int) -> None:
-        super().__init__()
-        self.stems, self.limit = stems, limit
+        super().__init__(limit)
+        self.stems = stems
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def make(self, word: bytes) -> bytes:
         stem = word.rstrip(_MARKS)
         if stem and len(stem) < len(word) and (stem[-1:].isalnum() or stem.decode()[-1].lower()[-1].isalpha()):
-            ids = self.stems[stem] + self.stems[word[len(stem) :]]
-        else:
-            ids = self.stems[word]
-        self[word] = ids
-        return ids
+            return self.stems[stem] + self.stems[word[len(stem) :]]
+        return self.stems[word]
 
 
 class Encoder:
@@ -93,7 +125,7 @@ class Encoder:
         return [self.one(text) for text in texts]
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def encoder(path: str | None = None) -> Encoder:
     """One encoder a worker process. Without a path: the public word-BPE vocabulary."""
     if path is None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
+from lodestar.llm.memory import remembered
+
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: bytes whose powers are kept; longer inputs are hashed with powers made for them
@@ -18,7 +18,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=1)
+@remembered(1)
 def _kept() -> tuple[np.ndarray, np.ndarray]:
     return _powers(BASE, KEPT), _powers(pow(BASE, -1, 1 << 64), KEPT)
 
