@@ -41,17 +41,22 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+#: bytes of an Arrow batch, where the session sets none: a worker holds a batch or two, however long its texts
+BATCH_BYTES = 8 << 20
 #: applications that have this package already
 _SHIPPED: set[str] = set()
 
 
 def importable(df: DataFrame) -> DataFrame:
-    """The same table; the session's Python workers can then import this package.
+    """The same table; the session's Python workers can then import this package and get batches of bounded size.
 
     The package's files go to the shared folder as one archive, which Spark hands to every
     worker, also to those of executors that come later.
     """
     spark, package = df.sparkSession, Path(__file__).resolve().parents[1]
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.conf().contains(limit):
+        spark.conf.set(limit, str(BATCH_BYTES))
     if spark.sparkContext.applicationId not in _SHIPPED and package.is_dir():
         made = io.BytesIO()
         with zipfile.ZipFile(made, "w") as archive:

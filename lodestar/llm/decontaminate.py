@@ -76,8 +76,8 @@ def _join(df: DataFrame, small: DataFrame, n: int, limit: int, on: str, how: str
     return df.join(F.broadcast(small) if n <= limit else small, on, how)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[Column] | None = None, window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST, scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items, items_sha256, contaminated, then the `keep` columns.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[Column] | None = None, keep_text: bool = False, window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST, scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items, items_sha256, contaminated, then the `keep` columns and, by `keep_text`, text.
 
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have
     no words and are clean; so are all documents if there are no items. Rows that repeat an
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_known = known.count()
 
     names = docs.select(*(keep or [])).columns
-    own = F.struct(F.col(id_col).alias("id"), *(c.alias(f"k{i}") for i, c in enumerate(keep or []))).alias("own")
+    own = F.struct(F.col(id_col).alias("id"), *(c.alias(f"k{i}") for i, c in enumerate(keep or [])), *([F.col(text_col).alias("text")] if keep_text else [])).alias("own")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), own, words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
     reach = F.greatest(F.col("p") + F.col("k") - window, F.lit(0))
     around = F.struct(reach.alias("from"), F.slice("w", reach + 1, F.col("p") + window - reach).alias("w")).alias("around")
@@ -142,4 +142,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         F.col("hit").isNotNull().alias("contaminated"),
         *(F.col(f"own.k{i}").alias(n) for i, n in enumerate(names)),
+        *(["own.text"] if keep_text else []),
     )

@@ -29,8 +29,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, run_rows: int = RUN_ROWS, runs: int = RUNS, prefix: int = PREFIX, scratch: Scratch | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, then the `keep` columns.
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False, run_rows: int = RUN_ROWS, runs: int = RUNS, prefix: int = PREFIX, scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, then the `keep` columns and, by `keep_text`, text.
 
     Null texts count as empty, so nulls, empty and blank-free texts form groups as their
     normalised text says. Of equal texts the row with the smallest id is kept; a null id is
@@ -40,16 +40,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     scratch = scratch or Scratch(df.sparkSession)
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     names = df.select(*(keep or [])).columns
-    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *kept).withColumn("hash", F.xxhash64("norm"))
+    norm = normalised(F.col("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept).withColumn("hash", F.xxhash64(norm))
     counts = scratch.save(rows.groupBy("hash").count(), "counts")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     per = max(run_rows, -(-total // runs))
     many = counts.where(F.col("count") > per).select("hash", F.ceil(F.col("count") / per).cast("int").alias("salts"))  # fewer than `runs`
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.spark_partition_id()), F.col("salts"))).cast("int")
-    rows = rows.join(F.broadcast(many), "hash", "left").withColumn("prefix", F.substring("norm", 1, prefix)).withColumn("salt", salt)
+    rows = rows.join(F.broadcast(many), "hash", "left").withColumn("prefix", F.substring(norm, 1, prefix)).withColumn("salt", salt)
     run = Window.partitionBy("prefix", "hash", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = rows.repartitionByRange("prefix", "hash", "salt").select(
+    # a text is exchanged once, as it is, and normalised again where it arrives
+    placed = rows.repartitionByRange("prefix", "hash", "salt").withColumn("norm", norm).select(
         "id",
         "salt",
         F.col("salts").isNotNull().alias("salted"),
@@ -58,6 +60,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         F.first("id").over(whole).alias("run_id"),
         F.count(F.lit(1)).over(whole).alias("run_n"),
         *(f"k{i}" for i in range(len(kept))),
+        *(["text"] if keep_text else []),
     )
     placed = scratch.save(placed, "runs")
     text = Window.partitionBy("sha")
@@ -76,4 +79,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         ((F.col("at") == 1) & (~F.col("salted") | F.col("first_run"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         *(F.col(f"k{i}").alias(n) for i, n in enumerate(names)),
+        *(["text"] if keep_text else []),
     )

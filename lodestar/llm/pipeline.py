@@ -10,7 +10,7 @@ their names; an empty table passes through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import quality
@@ -21,9 +21,13 @@ from lodestar.llm.packing import pack
 from lodestar.llm.simhash import simhash_classes
 
 
-def _whole(docs: DataFrame) -> list[Column]:
-    """The whole row as one column."""
-    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")]
+def _carried(docs: DataFrame) -> dict:
+    """How an operator carries whole rows: the text, which it reads anyway, and the other columns under names of their own."""
+    return {"keep": [F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(docs.columns) if c != "text"], "keep_text": True}
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col("text") if c == "text" else F.col(f"carried{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +38,12 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     learnt = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learnt, metadata=[c for c in docs.columns if c == "n_chars"])
-    return quality.classify(docs, model, keep=_whole(docs)).where("predicted = 1").select("row.*")
+    return _restored(quality.classify(docs, model, **_carried(docs)).where("predicted = 1"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text stays: the one with the smallest id, nulls last; of rows that share it, one."""
-    return exact_dedup(docs, keep=_whole(docs)).where("kept").select("row.*")
+    return _restored(exact_dedup(docs, **_carried(docs)).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +51,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are one component.
     """
-    return simhash_classes(docs, keep=_whole(docs)).where("first").select("row.*")
+    return _restored(simhash_classes(docs, **_carried(docs)).where("first"), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no window of a benchmark item; rows with equal ids are judged one by one."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=_whole(docs))
-    return found.where("NOT contaminated").select("row.*")
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), **_carried(docs))
+    return _restored(found.where("NOT contaminated"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

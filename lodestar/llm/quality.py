@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import importable
+from lodestar.llm.memory import serve
 
 from lodestar.llm.wordhash import KEPT, span_hashes, spans
 
@@ -181,6 +182,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     rows = rows.groupBy("id", "label").agg(F.min("row").alias("row")).orderBy("id").select("label", "row.*")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -192,8 +194,8 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return fit(kept, np.array(got["label"].to_pylist(), dtype=float), buckets, metadata)
 
 
-def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The `keep` columns of each row, then score (0 to 1) and predicted (1 if score >= threshold).
+def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
+    """The `keep` columns of each row, text by `keep_text`, then score (0 to 1) and predicted (1 if score >= threshold).
 
     Null and empty texts are scored by their statistics alone. The model's metadata columns
     are read from df; other columns are ignored, repeated rows are scored one by one, an
@@ -202,15 +204,17 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Col
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     names = df.select(*(keep or [])).columns
     rows = df.select(*kept, F.col(text_col).alias("text"), *_metadata(model.metadata))
-    schema, first = df.select(*kept).schema.add("score", "double").add("predicted", "integer"), len(kept)
+    first, passed = len(kept), len(kept) + keep_text
+    schema = rows.select(*rows.columns[:passed]).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 inputs = [model.inputs(d) for d in _described(part, first, model.buckets)]
                 starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in inputs])[:-1]]).astype(np.int64)
                 score = model.score(np.concatenate([i for i, _ in inputs]), np.concatenate([v for _, v in inputs]), starts)
-                yield pa.record_batch([*part.columns[:first], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.fieldNames())
+                yield pa.record_batch([*part.columns[:passed], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.fieldNames())
 
-    return importable(rows).mapInArrow(run, schema).toDF(*names, "score", "predicted")
+    return importable(rows).mapInArrow(run, schema).toDF(*names, *(["text"] if keep_text else []), "score", "predicted")

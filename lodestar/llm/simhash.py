@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import Scratch, importable
 from lodestar.llm.components import components, join_to_unique
+from lodestar.llm.memory import serve
 
 RADIUS = 4
 SHINGLE = 4
@@ -67,18 +68,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id as it is, the `keep` columns, and fp: the 64 bits as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """id as it is, the `keep` columns, text by `keep_text`, and fp: the 64 bits as a signed long."""
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     rows = df.select(F.col(id_col).alias("id"), *kept, F.col(text_col).alias("text"))
-    schema = rows.drop("text").schema.add("fp", "long")
+    passed = len(rows.columns) - (not keep_text)
+    schema = rows.select(*rows.columns[:passed]).schema.add("fp", "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("SimHash")
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(fps)], names=schema.fieldNames())
+            yield pa.record_batch([*batch.columns[:passed], pa.array(fps)], names=schema.fieldNames())
 
-    return importable(rows).mapInArrow(run, schema).toDF("id", *df.select(*(keep or [])).columns, "fp")
+    return importable(rows).mapInArrow(run, schema).toDF("id", *df.select(*(keep or [])).columns, *(["text"] if keep_text else []), "fp")
 
 
 class BKTree:
@@ -187,6 +190,7 @@ def _small_shards(rows: DataFrame, radius: int, schema: str) -> DataFrame:
     """Links in shards that meet in one task each; rows have key and node."""
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("SimHash")
         for table in _whole_shards(batches):
             table = table.combine_chunks()
             key, nodes = table["key"].to_numpy(), table["node"].chunk(0)
@@ -224,6 +228,7 @@ def _broadcast_trees(members: DataFrame, queries: DataFrame, radius: int, schema
     keys = members.sparkSession.createDataFrame([(k,) for k in trees], "key long")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("SimHash")
         trees, nodes, labels = shipped.value
         unions = Unions()
         for batch in batches:
@@ -284,8 +289,8 @@ def near_links(nodes: DataFrame, n: int, scratch: Scratch, radius: int = RADIUS,
     return links
 
 
-def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, limit: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), first, then the `keep` columns.
+def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, limit: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), first, then the `keep` columns and, by `keep_text`, text.
 
     Null, empty and blank texts have fingerprint zero and link like any others. Ids may have
     any type that has an order. A null id is not a candidate for component_id, which is null
@@ -296,7 +301,7 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = scratch or Scratch(df.sparkSession)
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     names = df.select(*(keep or [])).columns
-    docs = fingerprints(df, id_col, text_col, kept, shingle, seed).withColumn("place", F.monotonically_increasing_id())
+    docs = fingerprints(df, id_col, text_col, kept, keep_text, shingle, seed).withColumn("place", F.monotonically_increasing_id())
     docs = scratch.save(docs, "fingerprints")  # places are fixed by being stored
     least = F.struct(F.col("id").isNull().alias("none"), "id", "place")
     nodes = docs.groupBy("fp").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("n"))
@@ -315,4 +320,5 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         component.alias("component_id"),
         F.coalesce(F.col("least.place") == F.col("place"), F.lit(True)).alias("first"),
         *(F.col(f"k{i}").alias(n) for i, n in enumerate(names)),
+        *(["text"] if keep_text else []),
     )
