@@ -40,8 +40,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     scratch = scratch or Scratch(df.sparkSession)
     kept = [c.alias(f"k{i}") for i, c in enumerate(keep or [])]
     names = df.select(*(keep or [])).columns
-    norm = normalised(F.col("text"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept).withColumn("hash", F.xxhash64(norm))
+    # a text is exchanged once: normalised, or as it is if it has to be given back
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text") if keep_text else normalised(F.col(text_col)).alias("text"), *kept)
+    norm = normalised(F.col("text")) if keep_text else F.col("text")
+    rows = rows.withColumn("hash", F.xxhash64(norm))
     counts = scratch.save(rows.groupBy("hash").count(), "counts")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     per = max(run_rows, -(-total // runs))
@@ -50,7 +52,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows = rows.join(F.broadcast(many), "hash", "left").withColumn("prefix", F.substring(norm, 1, prefix)).withColumn("salt", salt)
     run = Window.partitionBy("prefix", "hash", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # a text is exchanged once, as it is, and normalised again where it arrives
     placed = rows.repartitionByRange("prefix", "hash", "salt").withColumn("norm", norm).select(
         "id",
         "salt",

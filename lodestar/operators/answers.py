@@ -96,9 +96,17 @@ def assemble(chosen: DataFrame, evidence: DataFrame) -> DataFrame:
     return per.select("qid", answer.alias("answer"), F.transform("used", eid).alias("used_evidence_ids"))
 
 
+def gathered(evidence: DataFrame) -> DataFrame:
+    """The same rows, through one exchange by question that all that is read from them shares: a question's evidence is a few rows."""
+    columns = [c for c in ("rank", "chunk_id", "title", "section", "subsection", "text") if c in evidence.columns]
+    held = evidence.groupBy("qid", "question").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return held.select("qid", "question", F.inline("rows"))
+
+
 def extractive_answers(evidence: DataFrame, selector: str = "auto", model: Column | None = None) -> DataFrame:
     if selector not in ("auto", "semantic_coverage", "lexical"):
         raise ValueError(f"unknown selector: {selector}")
+    evidence = gathered(evidence)
     candidates = sentence_candidates(evidence)
     chosen = greedy(candidates, 3, None, None) if selector == "lexical" else greedy(semantic_order(candidates, model))
     return assemble(with_fallback(chosen, evidence), evidence)
@@ -147,20 +155,64 @@ def model_answers(raw: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select("qid", F.try_variant_get("v", "$.answer", "string").alias("answer"), F.array_intersect(ids, F.coalesce("evidence_ids", F.array().cast("array<string>"))).alias("used_evidence_ids"), F.col("v").isNotNull().alias("parsed"))
 
 
-# Error codes by what went wrong.
-ERRORS = ("out_of_scope", "missing_index", "missing_dependency", "unsupported_backend", "bad_document", "ocr_required", "runtime_failure")
+# Error codes and the exit codes of the command line.
+ERRORS = {
+    "missing_index": 2,
+    "out_of_scope": 3,
+    "insufficient_evidence": 4,
+    "missing_model_path": 5,
+    "empty_corpus": 6,
+    "ocr_required": 7,
+    "runtime_failure": 1,
+}
+
+
+def failure(tests: list[tuple[Column, str, Column | str]]) -> Column:
+    """Struct code, message of the first test that holds; null if none does."""
+    text = lambda m: m if isinstance(m, Column) else F.lit(m)
+    for _, code, _ in tests:
+        if code not in ERRORS:
+            raise ValueError(f"unknown error code: {code}")
+    return F.coalesce(*(F.when(test, F.struct(F.lit(code).alias("code"), text(message).alias("message"))) for test, code, message in tests))
+
+
+def blank_question(question: Column) -> tuple[Column, str, str]:
+    return F.trim(F.coalesce(question, F.lit(""))) == "", "out_of_scope", "A non-empty question is required."
 
 
 def envelope(questions: DataFrame, answers: DataFrame, sufficient: DataFrame) -> DataFrame:
-    """One row a question: ok, code, message, answer, abstained. A blank question is an error row, not an exception."""
+    """One row a question: ok, code, message, answer, abstained. An error is a row, not an exception.
+
+    A question whose evidence isn't sufficient gets the code insufficient_evidence.
+    """
     rows = questions.join(answers, "qid", "left").join(sufficient.select("qid", "sufficient"), "qid", "left")
-    blank = F.trim(F.coalesce("question", F.lit(""))) == ""
     weak = ~F.coalesce("sufficient", F.lit(False))
-    return rows.select(
-        "qid",
-        (~blank).alias("ok"),
-        F.when(blank, "out_of_scope").alias("code"),
-        F.when(blank, "A non-empty question is required.").alias("message"),
-        F.when(~blank & ~weak, F.col("answer")).alias("answer"),
-        (blank | weak).alias("abstained"),
+    rows = rows.withColumn("error", failure([blank_question(F.col("question")), (weak, "insufficient_evidence", "The evidence is insufficient to answer this question.")]))
+    fine = F.col("error").isNull()
+    return rows.select("qid", fine.alias("ok"), F.col("error.code").alias("code"), F.col("error.message").alias("message"), F.when(fine, F.col("answer")).alias("answer"), (~fine).alias("abstained"))
+
+
+def response_schema(labels: Column) -> Column:
+    """JSON schema of a host's answer: one of the distinct labels, and citations. Null without labels or with an empty one."""
+    names = F.array_distinct(labels)
+    choice = F.struct(F.lit("string").alias("type"), names.alias("enum"))
+    cited = F.struct(F.lit("array").alias("type"), F.struct(F.lit("string").alias("type")).alias("items"))
+    whole = F.struct(F.lit("object").alias("type"), F.lit(False).alias("additionalProperties"), F.struct(choice.alias("selected_label"), cited.alias("citations")).alias("properties"), F.array(F.lit("selected_label"), F.lit("citations")).alias("required"))
+    usable = (F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0) & ~F.array_contains(names, "")
+    return F.when(usable, F.to_json(whole))
+
+
+def parse_response(text: Column, labels: Column) -> Column:
+    """Struct selected_label, citations, problem: the strict check of a host's answer; a problem voids the rest."""
+    v = F.try_parse_json(F.trim(F.coalesce(text, F.lit(""))))
+    whole = F.from_json(F.to_json(v), "map<string,string>")
+    label = F.when(F.startswith(F.schema_of_variant(F.try_variant_get(v, "$.selected_label", "variant")), F.lit("STRING")), F.try_variant_get(v, "$.selected_label", "string"))
+    kinds = F.schema_of_variant(F.try_variant_get(v, "$.citations", "variant"))
+    cited = F.when(kinds.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(v, "$.citations", "array<string>"))
+    problem = (
+        F.when(v.isNull(), "not JSON")
+        .when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) | (F.array_join(F.array_sort(F.map_keys(whole)), ",") != "citations,selected_label"), "violates the schema")
+        .when(~F.coalesce(F.array_contains(labels, label), F.lit(False)), "invalid label")
+        .when(cited.isNull() | F.exists(cited, lambda c: c.isNull()), "invalid citations")
     )
+    return F.struct(F.when(problem.isNull(), label).alias("selected_label"), F.when(problem.isNull(), cited).alias("citations"), problem.alias("problem"))

@@ -44,6 +44,25 @@ def with_required(targets: DataFrame, assets: DataFrame, key: str = "asset_id")
     return targets.join(assets, key)
 
 
+def gold_targets(external: DataFrame, targets: DataFrame, catalog: DataFrame, marks: tuple[str, str] = ("external", "report")) -> DataFrame:
+    """Answer targets as questions: external ones (pos, question, groups), then those of reports (pos, doc_id, question, groups) with their catalog's source.
+
+    Gives qid, question, profile, expected_answer_groups, expected_doc_ids, source_urls, expected_abstain.
+    """
+    none = F.array().cast("array<string>")
+    a = external.select(F.lit(0).alias("side"), "pos", F.lit(0).alias("at"), "question", F.lit(marks[0]).alias("profile"), F.col("groups").alias("expected_answer_groups"), none.alias("expected_doc_ids"), none.alias("source_urls"))
+    b = targets.join(catalog.select("doc_id", "source_url"), "doc_id", "left")
+    b = b.select(F.lit(1).alias("side"), "pos", F.lit(0).alias("at"), "question", F.lit(marks[1]).alias("profile"), F.col("groups").alias("expected_answer_groups"), F.array("doc_id").alias("expected_doc_ids"), F.array(F.coalesce("source_url", F.lit(""))).alias("source_urls"))
+    return numbered(a.unionByName(b).withColumn("expected_abstain", F.lit(False)), ["side", "pos", "at"], "gold_q")
+
+
+def agent_tasks(inside: DataFrame, outside: DataFrame) -> DataFrame:
+    """Task rows: those in scope (pos, task, mode, question, expected_doc_ids, ...), which cite, then controls to be refused."""
+    a = inside.withColumns({"side": F.lit(0), "at": F.lit(0), "expected_citations": F.lit(True), "expected_abstain": F.lit(False), "profile": F.lit("agent_task")})
+    b = outside.withColumns({"side": F.lit(1), "at": F.lit(0), "expected_doc_ids": F.array().cast("array<string>"), "expected_abstain": F.lit(True), "profile": F.lit("agent_task_hard_ood")})
+    return numbered(a.unionByName(b, allowMissingColumns=True), ["side", "pos", "at"], "agent_task_q")
+
+
 def host_view(questions: DataFrame) -> DataFrame:
     """Questions without any gold column."""
     return questions.select(*(c for c in questions.columns if "gold" not in c and not c.startswith("expected_")))

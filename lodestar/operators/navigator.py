@@ -32,6 +32,12 @@ def rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("topic", "chunk_id", "corpus_pos", "doc_id", F.col("title").alias("document"), "section", "subsection", "tags", pages.alias("page_range"), citation(F.lit("NAV"), F.col("title"), F.col("section"), pages, F.col("chunk_id")).alias("citation"))
 
 
+def enriched(navigator: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows with organization and source_url of their document; of manifest rows (doc_id, pos, ...) that share an id the last counts."""
+    last = manifest.groupBy("doc_id").agg(F.max_by(F.struct("organization", "source_url"), "pos").alias("m"))
+    return navigator.join(last, "doc_id", "left").select(*navigator.columns, "m.organization", "m.source_url")
+
+
 def topic_counts(navigator: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Chunks and distinct documents of every topic, also of those that have none."""
     per = navigator.groupBy("topic").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))

@@ -234,6 +234,21 @@ def model_embedding(encode, dimension: int):
     return embed
 
 
+#: tables of a saved index by backend
+SPARSE_TABLES, DENSE_TABLES = ("postings", "lengths", "chunks"), ("vectors", "dense_meta")
+
+
+def required_tables(backend: str = "auto") -> tuple[str, ...]:
+    """Only hybrid retrieval can't do without the dense tables."""
+    return DENSE_TABLES + SPARSE_TABLES if backend == "hybrid" else SPARSE_TABLES
+
+
+def dense_meta(vectors: DataFrame, model: str, backend: str, query_prefix: str = "", document_prefix: str = "") -> DataFrame:
+    """One row that says what the vectors are; their dimension is that of the longest."""
+    row = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))
+    return row.select(F.lit(model).alias("embedding_model_name"), F.lit(backend).alias("embedding_backend"), "dimension", F.lit(query_prefix).alias("query_prefix"), F.lit(document_prefix).alias("document_prefix"))
+
+
 def check_index_meta(meta: DataFrame, **expected) -> None:
     """Raises unless the one-row metadata table has the expected values."""
     row = meta.first()

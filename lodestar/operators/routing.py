@@ -65,20 +65,30 @@ def select_strategy(scenes: DataFrame, dense_available: bool, matches: DataFrame
     )
 
 
-def dense_status(meta: DataFrame | None) -> str:
-    """missing, hash or semantic, from a dense index's metadata."""
-    row = None if meta is None else meta.first()
+BACKENDS = ("sparse", "hybrid", "auto", "routed")
+
+
+def dense_status(meta: DataFrame | None, allow_hash: bool = False) -> str:
+    """missing, unreadable, hash or semantic, from a dense index's one-row metadata."""
+    if meta is None:
+        return "missing"
+    if "embedding_backend" not in meta.columns:
+        return "unreadable"
+    row = meta.first()
     if row is None:
         return "missing"
-    return "hash" if "hash" in (row["embedding_backend"] or "") else "semantic"
+    backend = (row["embedding_backend"] or "").lower()
+    name = (row["embedding_model_name"] or "").lower() if "embedding_model_name" in meta.columns else ""
+    hashed = backend in ("hash", "hash_fallback") or name in ("hash", "hash-fallback", "hash_fallback")
+    return "hash" if hashed and not allow_hash else "semantic"
 
 
-def backends(requested: str, status: str) -> tuple[str, list[str]]:
-    """The backend to use for a request and warnings: auto falls back to sparse without a semantic index."""
-    if requested not in ("sparse", "hybrid", "auto", "routed"):
+def backends(requested: str, status: str) -> tuple[str, list[tuple[str, str]]]:
+    """The backend to use for a request, and warnings (code, message): auto falls back to sparse without a semantic index."""
+    if requested not in BACKENDS:
         raise ValueError(f"unknown retrieval backend: {requested}")
     if requested == "hybrid" and status == "missing":
         raise ValueError("hybrid retrieval needs a dense index")
     if requested == "auto":
-        return ("hybrid", []) if status == "semantic" else ("sparse", [f"dense index is {status}; sparse retrieval is used"])
+        return ("hybrid", []) if status == "semantic" else ("sparse", [("hybrid_retrieval_unavailable", f"The dense index is {status}; sparse retrieval is used.")])
     return requested, []

@@ -56,6 +56,11 @@ def bootstrap_mean(rows: DataFrame, value: str, repetitions: int = 1000, seed: i
     bucket gives one sum a repetition. Null values are left out.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return bootstrap_counted(counts, repetitions, seed, bucket_values, most_buckets)
+
+
+def bootstrap_counted(counts: DataFrame, repetitions: int = 1000, seed: int = 1, bucket_values: int = 4096, most_buckets: int = 1024) -> DataFrame:
+    """The same from distinct values and their counts: v, c."""
     distinct = counts.count()
     buckets = max(1, min(most_buckets, -(-distinct // bucket_values)))
     counts = counts.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))

@@ -42,7 +42,7 @@ def evidence_of(spark: SparkSession, sf: str) -> DataFrame:
 def near_of(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence chunks' nearest tables and figures."""
     e = evidence_of(spark, sf)
-    near = ev.nearby_assets(e.select("chunk_id", "doc_id", "page_start", "page_end").distinct(), assets_of(spark, sf)).select("chunk_id", "asset_id", "caption", "text_preview")
+    near = ev.nearby_assets(e.select("chunk_id", "doc_id", "page_start", "page_end").distinct(), assets_of(spark, sf)).select("chunk_id", "asset_id", "asset_type", "caption", "text_preview")
     return e.select("qid", "rank", "chunk_id").join(near, "chunk_id").drop("chunk_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
@@ -19,7 +19,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def read_jsonl_permissive(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines; bad lines are dropped, a missing path is an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
@@ -68,6 +68,55 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def add_documents(spark: SparkSession, inputs: list[str], target: str, suffix: str = ".pdf") -> DataFrame:
+    """Copies files, or those of a folder, into `target`; a row an input: input, copied, problem. Inputs are named by hand, so few."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    into = path(target)
+    into.getFileSystem(conf).mkdirs(into)
+    rows: list[tuple[str, str | None, str | None]] = []
+    for name in inputs:
+        source = path(name)
+        fs = source.getFileSystem(conf)
+        if fs.exists(source) and fs.getFileStatus(source).isDirectory():
+            found = sorted(s.getPath().toString() for s in fs.listStatus(source) if s.getPath().getName().lower().endswith(suffix))
+        else:
+            found = [name]
+        for one in found:
+            file = path(one)
+            if not file.getName().lower().endswith(suffix):
+                rows.append((one, None, f"only {suffix} files are supported"))
+            elif not fs.exists(file):
+                rows.append((one, None, "file does not exist"))
+            else:
+                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, file, into.getFileSystem(conf), path(into, file.getName()), False, True, conf)
+                rows.append((one, f"{target}/{file.getName()}", None))
+    return spark.createDataFrame(rows, "input string, copied string, problem string")
+
+
+def init_workspace(spark: SparkSession, root: str, folders: tuple[str, ...] = ("reports", "parsed", "chunks", "assets", "index", "navigator", "experience")) -> list[str]:
+    """Creates an empty workspace; existing folders stay as they are."""
+    made = [f"{root}/{f}" for f in folders]
+    for folder in made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    return made
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One indented JSON document of a one-row summary, non-ASCII preserved."""
+    import json
+
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("a summary has one row")
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray((json.dumps(json.loads(rows[0]), ensure_ascii=False, indent=2) + "\n").encode()))
+    out.close()
+
+
 def download_status(listing: DataFrame) -> DataFrame:
     """Status of fetched files from their first bytes: ok, not_a_pdf or missing."""
     head = F.substring("content", 1, 5)

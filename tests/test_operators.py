@@ -279,7 +279,7 @@ def test_envelope_and_model_answers(spark):
     told = spark.createDataFrame([(1, "A"), (3, "B")], "qid long, answer string")
     enough = spark.createDataFrame([(1, True), (3, False)], "qid long, sufficient boolean")
     got = {r.qid: (r.ok, r.code, r.answer, r.abstained) for r in an.envelope(q, told, enough).collect()}
-    assert got == {1: (True, None, "A", False), 2: (False, "out_of_scope", None, True), 3: (True, None, None, True)}
+    assert got == {1: (True, None, "A", False), 2: (False, "out_of_scope", None, True), 3: (False, "insufficient_evidence", None, True)}
     raw = spark.createDataFrame([(1, 'so {"answer": "x", "used_evidence_ids": ["E1", "E9"]}'), (2, "none")], "qid long, raw string")
     ids = spark.createDataFrame([(1, ["E1", "E2"])], "qid long, evidence_ids array<string>")
     got = {r.qid: (r.answer, r.used_evidence_ids, r.parsed) for r in an.model_answers(raw, ids).collect()}
@@ -518,16 +518,111 @@ def test_stream_keeps_the_index(spark, tmp_path):
     assert got[0] == pytest.approx(1.141437, abs=2e-6) and length.count() == 3
 
 
+def engine_of(spark, **how):
+    rows = [
+        chunk(1, "Synthetic quality assurance checks cover output constancy of the beam every month.", doc="qa_doc", title="Synthetic QA Report", page=4, end=5),
+        chunk(2, "A table of tolerance levels for output constancy stands on this page of the report.", doc="qa_doc", title="Synthetic QA Report", page=9, end=9),
+        chunk(1, "Output constancy of brachytherapy sources is checked before every treatment.", doc="br_doc", title="Source Report", page=1, end=1),
+    ]
+    return Engine(spark, chunks(spark, *rows), **how)
+
+
 def test_engine_answers_with_citations(spark, tmp_path):
-    engine = Engine(spark, chunks(spark, chunk(1, "Synthetic quality assurance checks cover output constancy of the beam every month.", doc="qa_doc", title="Synthetic QA Report", page=4, end=5)))
-    row = engine.query("output constancy checks", "evidence").first()
-    assert row.page_range == "pp. 4-5" and row.citation.startswith("[E1] Synthetic QA Report")
+    engine = engine_of(spark)
+    rows = engine.query("output constancy checks", "evidence").orderBy("rank").collect()
+    assert rows[0].page_range == "pp. 4-5" and rows[0].citation.startswith("[E1] Synthetic QA Report") and rows[0].ok
+    assert rows[0].backend == "sparse" and [w.code for w in rows[0].warnings] == ["hybrid_retrieval_unavailable"]
     told = engine.query("output constancy checks of the beam").first()
     assert told.ok and not told.abstained and "[E1]" in told.answer
-    assert engine.query("  ").first().code == "out_of_scope"
-    assert "Evidence:" in engine.query("beam", "bundle").first().prompt
+    assert "Evidence:" in engine.query("output constancy of the beam", "bundle").first().prompt
     engine.save(f"{tmp_path}/index")
-    assert engine.load(f"{tmp_path}/index").query("output constancy", "evidence", "routed").count() == 1
-    assert engine.chunk("qa_doc").first().chunk_id == "qa_doc_c0001" and engine.reports().count() == 1 and engine.topics().count() == 1
-    with pytest.raises(ValueError, match="hybrid"):
-        engine.query("beam", backend="hybrid")
+    assert engine.missing(spark, f"{tmp_path}/index") == [] and engine.missing(spark, f"{tmp_path}/index", "hybrid") == ["vectors", "dense_meta"]
+    assert engine.load(f"{tmp_path}/index").query("output constancy", "evidence", "routed").count() == 3
+    assert engine.chunk("qa_doc").first().chunk_id == "qa_doc_c0001" and engine.chunk("none").first().code == "out_of_scope"
+    assert engine.reports().count() == 2 and engine.topics().count() >= 1
+    with pytest.raises(FileNotFoundError, match="postings"):
+        engine.load(f"{tmp_path}/nothing")
+    manifest = spark.createDataFrame([("qa_doc", 1, "old", None), ("qa_doc", 2, "Org", "http://x")], "doc_id string, pos int, organization string, source_url string")
+    assert {(r.doc_id, r.organization) for r in engine.navigator(manifest).collect()} == {("qa_doc", "Org"), ("br_doc", None)}
+    engine.build_navigator(f"{tmp_path}/navigator", manifest)
+    assert spark.read.parquet(f"{tmp_path}/navigator/topics").count() == 3
+
+
+def test_engine_errors_are_rows(spark):
+    engine = engine_of(spark)
+    asked = spark.createDataFrame([(1, "output constancy checks", "qa_doc"), (2, " ", None), (3, "output constancy", "gone"), (4, "sourdough bread", None), (5, "output constancy", None)], "qid long, question string, report_id string")
+    rows = engine.query(asked, "evidence").collect()
+    codes = {r.qid: r.code for r in rows}
+    assert codes == {1: None, 2: "out_of_scope", 3: "out_of_scope", 4: "insufficient_evidence", 5: None}
+    assert {r.doc_id for r in rows if r.qid == 1} == {"qa_doc"} and {r.doc_id for r in rows if r.qid == 5} == {"qa_doc", "br_doc"}
+    code = lambda **how: engine.query("output constancy", **how).first().code
+    assert code(mode="poem") == code(backend="psychic") == code(selector="x") == code(answerer="y") == "out_of_scope"
+    assert code(backend="hybrid") == "missing_index" and code(answerer="model") == "missing_model_path"
+    assert engine.query("output constancy", report_id="gone").first().code == "out_of_scope"
+    assert Engine(spark, engine.chunks.limit(0)).query("output").first().code == "empty_corpus"
+    assert set(an.ERRORS) == {"missing_index", "out_of_scope", "insufficient_evidence", "missing_model_path", "empty_corpus", "ocr_required", "runtime_failure"}
+
+
+def test_engine_with_vectors_memory_assets_and_a_generator(spark, tmp_path):
+    base = engine_of(spark)
+    vectors = base.chunks.select("chunk_id", "corpus_pos", F.when(F.col("doc_id") == "br_doc", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    embed = lambda q: F.array(F.lit(1.0), F.lit(0.0))
+    engine = engine_of(spark, vectors=vectors, embed=embed, meta=rt.dense_meta(vectors, "toy", "toy"))
+    assert engine.dense == "semantic" and engine.query("output constancy", "evidence").first().backend == "hybrid"
+    engine.save(f"{tmp_path}/index")
+    assert engine_of(spark, embed=embed).load(f"{tmp_path}/index", embedding_model_name="toy", dimension=2).dense == "semantic"
+    with pytest.raises(ValueError, match="mismatch"):
+        base.load(f"{tmp_path}/index", embedding_model_name="other")
+    hashed = engine_of(spark, vectors=vectors, embed=embed, meta=rt.dense_meta(vectors, "x", "hash_fallback"))
+    assert hashed.dense == "hash" and hashed.query("output constancy", "evidence").first().backend == "sparse"
+    log = f"{tmp_path}/log"
+    engine.remember(engine.query("Define output constancy", "evidence", "routed"), log)
+    memory = spark.read.json(log).withColumn("pos", F.lit(1).cast("long"))
+    assert memory.first().evidence_status == "sufficient" and memory.first().strategy_used == "definition_sparse_microchunk"
+    memory = memory.withColumn("strategy_used", F.lit("learned")).withColumn("evidence_top_k", F.lit(1))
+    routed = engine_of(spark, memory=memory).query("Define output constancy", "evidence", "routed").collect()
+    assert len(routed) == 1 and routed[0].strategy == "learned" and "1 remembered" in routed[0].warnings[0].message
+    assets = spark.createDataFrame([("qa_doc", "t1", "table", 9, "Tolerance levels", "2 %")], "doc_id string, asset_id string, asset_type string, page int, caption string, text_preview string")
+    shown = engine_of(spark, assets=assets).query("What does the table on page 9 of the Synthetic QA Report show about output constancy tolerance levels?").first()
+    assert shown.ok and "table t1 (p. 9): Tolerance levels; 2 %" in shown.answer
+    told = engine_of(spark, generate=lambda prompts: ['{"answer": "monthly", "used_evidence_ids": ["E1", "E77"]}'] * len(prompts)).query("output constancy checks").first()
+    assert told.answer == "monthly" and told.used_evidence_ids == ["E1"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lodestar import cli
+
+    index = f"{tmp_path}/index"
+    assert cli.main(["--index", index, "reports"], spark) == 2
+    engine_of(spark).save(index)
+    capsys.readouterr()
+    assert cli.main(["--index", index, "query", "output constancy checks", "--limit", "1"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["rows"][0]["chunk_id"] == "qa_doc_c0001"
+    assert cli.main(["--index", index, "query", " "], spark) == 3 and cli.main(["--index", index, "query", "sourdough bread"], spark) == 4
+    assert cli.main(["--index", index, "query", "x", "--backend", "hybrid"], spark) == 2 and cli.main(["--index", index, "chunk", "zz"], spark) == 3
+    assert cli.main(["--index", index, "topics"], spark) == 0 and cli.main(["--index", index, "chunk", "br_doc"], spark) == 0
+
+
+def test_host_responses_are_checked_strictly(spark):
+    labels = F.array(F.lit("A"), F.lit("B"), F.lit("A"))
+    schema = __import__("json").loads(one(spark, an.response_schema(labels)))
+    assert schema["properties"]["selected_label"] == {"type": "string", "enum": ["A", "B"]} and schema["required"] == ["selected_label", "citations"] and schema["additionalProperties"] is False
+    assert one(spark, an.response_schema(F.array(F.lit("A"), F.lit("")))) is None and one(spark, an.response_schema(F.array().cast("array<string>"))) is None
+    cases = {
+        ' {"selected_label": "A", "citations": ["E1"]} ': None,
+        '{"selected_label": "B", "citations": []}': None,
+        "no": "not JSON",
+        "[1]": "violates the schema",
+        '{"selected_label": "A"}': "violates the schema",
+        '{"selected_label": "A", "citations": [], "more": 1}': "violates the schema",
+        '{"selected_label": "C", "citations": []}': "invalid label",
+        '{"selected_label": 1, "citations": []}': "invalid label",
+        '{"selected_label": "A", "citations": "E1"}': "invalid citations",
+        '{"selected_label": "A", "citations": [1]}': "invalid citations",
+        '{"selected_label": "A", "citations": ["E1", null]}': "invalid citations",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("r", an.parse_response(F.col("t"), labels)).collect()
+    assert {r.t: r.r.problem for r in rows} == cases
+    assert rows[0].r.selected_label == "A" and rows[0].r.citations == ["E1"]
