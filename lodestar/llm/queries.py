@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, quality
+from lodestar.llm.alignment import token_alignment
 from lodestar.llm.common import Scratch
 from lodestar.llm.decontaminate import contamination
 from lodestar.llm.dedup_exact import exact_dedup
+from lodestar.llm.divergence import source_divergence
 from lodestar.llm.licenses import license_scan
 from lodestar.llm.packing import pack
 from lodestar.llm.pipeline import ORACLE_SQL, run
 from lodestar.llm.sharding import shuffle_to_shards
 from lodestar.llm.simhash import simhash_classes
+from lodestar.llm.substrings import substring_dedup
 from lodestar.llm.token_counts import TokenLedger, counted
 from lodestar.llm.token_files import read_token_files, token_files
 from lodestar.plans.registry import Registry, table
@@ -40,6 +43,21 @@ g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY x
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.x) AS text_sha256 FROM n JOIN g USING (x)
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT e.lang, e.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS BIGINT) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + v) AS BIGINT) AS q FROM c JOIN v USING (lang) GROUP BY lang, term, v),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+t AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - l.q) * (p.p - l.q) // l.q AS value FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > l.q),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source UNION ALL SELECT * FROM t)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 def _fold(n: int, key: str = "doc_id") -> Column:
     """The fold of an id; a null id counts as the empty text, so it has fold 0."""
@@ -134,6 +152,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op13_substring_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("pipeline", ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
