@@ -209,11 +209,11 @@ class Engine:
         head = rows.select("qid", "question", "report_id", fine.alias("ok"), F.col("error.code").alias("code"), F.col("error.message").alias("message"), "backend", "strategy", "warnings", (~fine).alias("abstained"))
         return head.join(found.join(rows.where(fine).select("qid"), "qid", "left_semi"), "qid", "left")
 
-    def remember(self, result: DataFrame, path: str, mode: str = "evidence") -> None:
-        """Appends what was used for each question of an evidence result to the experience log."""
+    def remember(self, result: DataFrame, path: str, mode: str = "evidence", batch: str | None = None) -> bool:
+        """Appends what was used for each question of an evidence result to the experience log; once for each batch id."""
         per = result.groupBy("qid", "question", "report_id", "strategy", "backend", "ok").agg(F.count("chunk_id").alias("n"), F.sort_array(F.collect_list("chunk_id")).alias("retrieved_chunk_ids"))
         scene = routing.with_scene(per)
-        files.append_log(scene.select(F.col("question").alias("query"), F.lit(mode).alias("mode"), "report_id", F.col("scene.task_type").alias("task_type"), F.col("scene.domain_tags").alias("domain_tags"), F.col("strategy").alias("strategy_used"), F.col("backend").alias("retrieval_backend"), F.col("n").cast("int").alias("evidence_top_k"), F.when(F.col("ok"), "sufficient").otherwise("insufficient").alias("evidence_status"), "retrieved_chunk_ids"), path)
+        return files.append_log(scene.select(F.col("question").alias("query"), F.lit(mode).alias("mode"), "report_id", F.col("scene.task_type").alias("task_type"), F.col("scene.domain_tags").alias("domain_tags"), F.col("strategy").alias("strategy_used"), F.col("backend").alias("retrieval_backend"), F.col("n").cast("int").alias("evidence_top_k"), F.when(F.col("ok"), "sufficient").otherwise("insufficient").alias("evidence_status"), "retrieved_chunk_ids"), path, batch)
 
     # --- the corpus ---------------------------------------------------------------
 

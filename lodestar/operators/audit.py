@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.nested import key_paths
+
 
 def problems(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """key, problem: one row for each failed check of each row."""
@@ -31,9 +33,8 @@ def validate_benchmark(questions: DataFrame, expected: int | None = None) -> Dat
 
 
 def gold_paths(rows: DataFrame, key: str, json: str, word: str = "gold") -> DataFrame:
-    """key, path of JSON keys that name the gold, at any depth."""
-    found = F.regexp_extract_all(json, F.lit(rf'"([^"]*(?i:{word})[^"]*)"\s*:'), F.lit(1))
-    return rows.select(key, F.explode(found).alias("path"))
+    """key, path (`$.a[3].gold_x`) of JSON keys that name the gold, at any depth; text that isn't JSON has none."""
+    return key_paths(rows.select(key, F.try_parse_json(json).alias("node")), key, "node", word=word)
 
 
 def validate_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:

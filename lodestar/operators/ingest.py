@@ -95,19 +95,6 @@ def export_manifest(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.min("title").alias("title"), F.count(F.lit(1)).alias("n_chunks")).select("doc_id", "title", F.concat("doc_id", F.lit(".md")).alias("file"), "n_chunks")
 
 
-def element_text(element: Column, depth: int = 8) -> Column:
-    """An element's own content, else its children's texts depth first; element: VARIANT with content and kids.
-
-    Elements nest at most `depth` levels.
-    """
-    own = normalize_ws(F.coalesce(F.try_variant_get(element, "$.content", "string"), F.lit("")))
-    if depth == 0:
-        return own
-    kids = F.coalesce(F.try_variant_get(element, "$.kids", "array<variant>"), F.array().cast("array<variant>"))
-    below = F.filter(F.transform(kids, lambda k: element_text(k, depth - 1)), lambda t: t != "")
-    return F.when(own != "", own).otherwise(normalize_ws(F.array_join(below, " ")))
-
-
 def provenance(catalog: DataFrame, manifest_rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """catalog left-joined with manifest and file hashes; licences are not verified unless said."""
     rows = catalog.join(manifest_rows.select("doc_id", F.lit(True).alias("in_manifest")), "doc_id", "left").join(hashes.select("doc_id", "sha256"), "doc_id", "left")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestar.sources.shared import append_once, read_appended
+from lodestar.sources.splits import json_line_errors, read_csv_split
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,13 +30,16 @@ def read_jsonl_permissive(spark: SparkSession, path: str, schema: StructType | s
 
 
 def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
-    """Strict check: a row (line_no, line, error) for each bad line, and one if there are no lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
-    kind = F.schema_of_variant(F.try_parse_json("line"))
-    error = F.when(F.try_parse_json("line").isNull(), "invalid JSON").when(~F.startswith(kind, F.lit("OBJECT")), "not an object")
-    bad = lines.select((F.col("at") + 1).alias("line_no"), "line", error.alias("error")).where("error IS NOT NULL")
-    none = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).alias("line_no"), F.lit("").alias("line"), F.lit("empty file").alias("error"))
-    return bad.unionAll(none)
+    """Strict check: a row (file, line_no, line, error) for each bad line, and one for each file without records; see `splits`."""
+    return json_line_errors(spark, path)
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines; the first bad line or empty file raises with its file and line number."""
+    bad = jsonl_errors(spark, path).orderBy("file", "line_no").first()
+    if bad is not None:
+        raise ValueError(f"{bad.error} at {bad.file}:{bad.line_no}")
+    return read_jsonl(spark, path, schema)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -39,13 +47,8 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """CSV with a header, a byte-order mark allowed; missing columns raise."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
+    """CSV with a header, a byte-order mark and quoted line breaks allowed, split over tasks; missing columns raise."""
+    return read_csv_split(spark, path, required)
 
 
 def read_chunk_files(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -132,11 +135,20 @@ def write_by(df: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> N
     df.hint("rebalance", *keys).write.partitionBy(*keys).mode(mode).parquet(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Appends records to the experience log, with a UTC time where they have none."""
+def append_log(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Appends records to the experience log, with a UTC time where they have none.
+
+    A batch that was appended before changes nothing and gives False, so a driver may send
+    it again; without an id each call is a batch of its own.
+    """
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     stamped = df.withColumn("timestamp_utc", F.coalesce("timestamp_utc", now) if "timestamp_utc" in df.columns else now)
-    stamped.write.mode("append").json(path)
+    return append_once(stamped, path, batch or uuid.uuid4().hex)
+
+
+def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The log's committed records; what an attempt that failed has left isn't read."""
+    return read_appended(spark, path, schema)
 
 
 def markdown_lines(chunks: DataFrame) -> DataFrame:

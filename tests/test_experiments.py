@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import experiments as ex
 from lodestar.operators import generators as gn
-from lodestar.operators import ingest as ig
+from lodestar.operators.nested import element_texts
 from lodestar.sources import files
 
 
@@ -72,7 +72,8 @@ def test_runs_are_compared(spark):
 def test_element_text_is_depth_first(spark):
     nested = {"kids": [{"content": " one "}, {"kids": [{"content": ""}, {"kids": [{"content": "two"}, {"x": 1}]}]}, {"content": "three", "kids": [{"content": "hidden"}]}]}
     rows = spark.createDataFrame([(json.dumps(nested),), (json.dumps({"content": "own", "kids": [{"content": "no"}]}),), ("{}",)], "j string")
-    assert [r[0] for r in rows.select(ig.element_text(F.parse_json("j"))).collect()] == ["one two three", "own", ""]
+    found = element_texts(rows.withColumn("v", F.parse_json("j")), "j", "v").collect()
+    assert sorted((r.text, r.n_parts, r.depth) for r in found) == [("", 0, 0), ("one two three", 3, 3), ("own", 1, 0)]
 
 
 def test_documents_are_added_with_a_row_an_input(spark, tmp_path):

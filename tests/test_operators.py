@@ -451,7 +451,7 @@ def test_host_answers_are_validated_and_scored(spark):
     assert {r.problem for r in au.validate_benchmark(worse, 3).collect()} == {"repeated label", "gold label not among options", "fewer than two options", "duplicate", "unexpected number of questions"}
     assert {c for c in gn.host_view(q).columns} == {"qid", "options"}
     tasks = spark.createDataFrame([("q1", '{"a": {"goldAnswer": 1}, "b": 2}')], "qid string, json string")
-    assert [r.path for r in au.gold_paths(tasks, "qid", "json").collect()] == ["goldAnswer"]
+    assert [r.path for r in au.gold_paths(tasks, "qid", "json").collect()] == ["$.a.goldAnswer"]
     listing = spark.createDataFrame([("src/a.py",), ("data/x.pdf",)], "path string")
     assert {tuple(r) for r in au.release_files(listing, (r"\.pdf$",), ("README.md", "src/a.py")).collect()} == {("data/x.pdf", "forbidden"), ("README.md", "missing")}
 
@@ -504,7 +504,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/by").count() == 2
     files.append_log(df, f"{tmp_path}/log")
     files.append_log(df, f"{tmp_path}/log")
-    assert spark.read.json(f"{tmp_path}/log").where("timestamp_utc IS NOT NULL").count() == 4
+    assert files.read_log(spark, f"{tmp_path}/log").where("timestamp_utc IS NOT NULL").count() == 4
 
 
 def test_stream_keeps_the_index(spark, tmp_path):
@@ -577,7 +577,7 @@ def test_engine_with_vectors_memory_assets_and_a_generator(spark, tmp_path):
     assert hashed.dense == "hash" and hashed.query("output constancy", "evidence").first().backend == "sparse"
     log = f"{tmp_path}/log"
     engine.remember(engine.query("Define output constancy", "evidence", "routed"), log)
-    memory = spark.read.json(log).withColumn("pos", F.lit(1).cast("long"))
+    memory = files.read_log(spark, log).withColumn("pos", F.lit(1).cast("long"))
     assert memory.first().evidence_status == "sufficient" and memory.first().strategy_used == "definition_sparse_microchunk"
     memory = memory.withColumn("strategy_used", F.lit("learned")).withColumn("evidence_top_k", F.lit(1))
     routed = engine_of(spark, memory=memory).query("Define output constancy", "evidence", "routed").collect()
