@@ -124,8 +124,18 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column | str, k:
     """Top k a question: qid, chunk_id, doc_id, corpus_pos, score, rank.
 
     scope="pre" ranks only chunks of the question's report_id, scope="post" drops others
-    after ranking, so it may leave fewer than k.
+    after ranking, so it may leave fewer than k. Scores are summed and ranked where the
+    chunks are (see `scan`); postings are joined only for the okapi variant, other
+    parameters, or a vocabulary of questions that is too large to send.
     """
+    if not how:
+        from lodestar.operators.scan import bm25_scan
+
+        hits = bm25_scan(questions, chunks, text, k, inside=scope == "pre")
+        if hits is not None and scope == "post":
+            hits = hits.join(questions.select("qid", "report_id"), "qid").where(INSIDE).drop("report_id")
+        if hits is not None:
+            return hits
     length = lengths(chunks, text, "doc_id", "corpus_pos")
     asked = question_terms(questions).select("token").distinct()
     only = None if how.get("variant") == "okapi" else small(asked)

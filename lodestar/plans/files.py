@@ -1,4 +1,4 @@
-"""Queries over files that Spark derives from the tables: nested elements, strict lines, CSV, logs."""
+"""Queries over files that Spark derives from the tables: nested elements, strict lines, CSV, logs, the saved index."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.audit import gold_paths
 from lodestar.operators.nested import element_texts
+from lodestar.operators.segments import SegmentIndex
 from lodestar.plans.corpus import ELEMENTS, elements_of
 from lodestar.plans.registry import Registry, table
-from lodestar.plans.sql import NORM
+from lodestar.plans.retrieval import chunks_of, questions_of
+from lodestar.plans.sql import BM25, NORM
 from lodestar.sources import shared, splits
 
 R = Registry()
@@ -100,3 +102,41 @@ def sink_append_log(spark: SparkSession, sf: str) -> DataFrame:
     events.where(part == 1).write.parquet(f"{path}/data/left-by-a-failed-attempt")
     rows = shared.read_appended(spark, path, events.schema)
     return rows.groupBy("event_user", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- the saved index ------------------------------------------------------------
+
+
+def built_index(spark: SparkSession, sf: str) -> SegmentIndex:
+    """All chunks in one batch."""
+    index = SegmentIndex(spark, shared.fresh_folder(spark, "index"))
+    index.apply("all", chunks_of(spark, sf).withColumn("key", F.col("chunk_id")))
+    return index
+
+
+@R.query("sink_index_sparse", f"WITH {BM25} SELECT qid, chunk_id, doc_id, score, rank FROM sparse")
+def sink_index_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of rk_bm25_search by MaxScore over a saved index of posting blocks."""
+    return built_index(spark, sf).search(questions_of(spark, sf)).select("qid", "chunk_id", "doc_id", "score", "rank")
+
+
+GONE = "doc_id % 17 = 5"
+LIVE_BM25 = BM25.replace("FROM documents)", f"FROM documents WHERE NOT ({GONE}))")
+
+
+@R.query("src_add_docs", f"WITH {LIVE_BM25} SELECT qid, chunk_id, doc_id, score, rank FROM sparse")
+def src_add_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents added, replaced and deleted in batches, one of them sent twice, and searched: the same as an index of what is left.
+
+    A third of the documents first come with another text; some are deleted and added again.
+    """
+    chunks = chunks_of(spark, sf).withColumn("key", F.col("chunk_id")).withColumn("number", F.col("corpus_pos"))
+    gone = F.expr(GONE.replace("doc_id", "number"))
+    index = SegmentIndex(spark, shared.fresh_folder(spark, "index"))
+    first = chunks.where("number % 2 = 0 OR number % 3 = 0")
+    index.apply("first", first.withColumn("text", F.when(F.col("number") % 3 == 0, F.concat(F.lit("draft "), F.substring("text", 1, 200))).otherwise(F.col("text"))))
+    for _ in range(2):
+        index.apply("second", chunks.where("number % 3 = 0 OR number % 2 = 1"), chunks.where(gone | (F.col("number") % 10 == 7)).select("key"))
+    index.apply("third", chunks.where("number % 10 = 7"), chunks.where(gone).select("key"))
+    index.apply("fourth", deletes=chunks.where(gone).select("key"))
+    return index.search(questions_of(spark, sf)).select("qid", "chunk_id", "doc_id", "score", "rank")
