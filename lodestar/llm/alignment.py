@@ -408,11 +408,12 @@ def token_alignment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = [len(s.bytes) for s in tokenizers(a, b)]
     code = "<u8" if sizes[0] * sizes[1] > 1 << 32 else "<u4"
     pairs = scratch.save(swept.select("part", "links").mapInArrow(_distinct_pairs(code), "part int, pair long, n long"), "pairs")
-    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
+    # the parts that ask ride along with a pair's sum, so pairs aren't joined with their counts
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
     best = F.max("n").over(Window.partitionBy(F.col("pair") % sizes[1])) == F.col("n")
-    counts = counts.withColumn("best", best.cast("long"))
     record = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
-    answers = pairs.select("part", "pair").distinct().join(counts, "pair").select("part", F.concat(record("pair"), record("n"), record("best")).alias("answer"))
+    counts = counts.withColumn("best", best.cast("long"))
+    answers = counts.select(F.explode("parts").alias("part"), F.concat(record("pair"), record("n"), record("best")).alias("answer"))
     answers = save_replies(answers, scratch, "counts")
     final = swept.select("part", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["links"] if keep_links else []), F.col("links").alias("own"))
     out = final.select(*final.columns[1:-1], F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
