@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.evaluate import quantiles
 from lodestar.operators.nested import key_paths
 
 
@@ -62,11 +63,12 @@ def host_scores(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """One row: n, accuracy, citation rate, latency statistics. answers: qid, selected_label, n_citations, latency_seconds."""
     rows = questions.select("qid", "gold_label").join(answers, "qid")
     hit = F.coalesce(F.col("selected_label") == F.col("gold_label"), F.lit(False))
-    return rows.agg(
+    plain = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.count_if(hit) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("accuracy"),
         F.round(F.count_if(F.col("n_citations") > 0) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("citation_rate"),
         F.round(F.avg("latency_seconds"), 6).alias("mean_latency"),
-        F.round(F.median("latency_seconds"), 6).alias("median_latency"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_seconds)").alias("p95_latency"),
     )
+    places = quantiles(rows, "latency_seconds", {"median_latency": (0.5, False), "p95_latency": (0.95, True)}, [])
+    one = F.lit(True)  # without latencies there is no row of quantiles
+    return plain.join(places.select(F.round("median_latency", 6).alias("median_latency"), "p95_latency"), one, "left")

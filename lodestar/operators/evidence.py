@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.predicates import asset_query, out_of_scope
 from lodestar.functions.text import citation, page_range, query_terms, report_cues, requested_page, share_of, title_terms, token_set, tokens
 from lodestar.operators.retrieve import top_k
+from lodestar.sources.shared import fresh_folder, saved
 
 THRESHOLD = 0.30
 
@@ -43,21 +44,46 @@ def page_neighbourhood(targets: DataFrame, chunks: DataFrame, window: int = 1, l
     return targets.join(near, ["doc_id", "page"])
 
 
+def most_shared(asked: DataFrame, have: DataFrame, inside: list[str]) -> DataFrame:
+    """qid, id, n: the ids that share most tokens with a question, all of them on a tie, and how many.
+
+    asked: qid, inside, token; have: inside, id, token; both distinct. Only ids with the same
+    `inside` columns meet. The ids with a question's rarest token show how many tokens, m, can be shared;
+    an id that shares as many of the question's t known tokens has one of its t - m + 1 rarest, so
+    only those are joined, and a word that is everywhere pairs nothing unless a question has no other.
+    """
+    folder = fresh_folder(asked.sparkSession, "shared")
+    have = saved(have, folder, "have")
+    rarity = have.join(asked.select(*inside, "token").distinct(), [*inside, "token"], "left_semi").groupBy(*inside, "token").agg(F.count(F.lit(1)).alias("df"))
+    by = Window.partitionBy("qid", *inside)
+    terms = asked.join(rarity, [*inside, "token"]).withColumn("at", F.row_number().over(by.orderBy("df", "token"))).withColumn("t", F.count(F.lit(1)).over(by))
+    terms = saved(terms, folder, "terms")
+
+    def counted(some: DataFrame) -> DataFrame:
+        """Pairs that meet on some tokens, with the number of all tokens they share."""
+        pairs = some.select("qid", *inside, "token").join(have, [*inside, "token"]).select("qid", *inside, "id").distinct()
+        return pairs.join(terms.select("qid", *inside, "token"), ["qid", *inside]).join(have, [*inside, "id", "token"]).groupBy("qid", *inside, "id").agg(F.count(F.lit(1)).alias("n"))
+
+    reach = counted(terms.where("at = 1")).groupBy("qid", *inside).agg(F.max("n").alias("m"))
+    needed = terms.join(reach, ["qid", *inside]).where("at <= t - m + 1")
+    found = counted(needed)
+    return found.withColumn("most", F.max("n").over(Window.partitionBy("qid"))).where("n = most").select("qid", "id", "n")
+
+
 def infer_document(questions: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
     """qid, doc_id: by identifiers, else by two or more title words, else the first evidence.
 
     documents: doc_id, title, pos; evidence: qid, doc_id, rank. Questions meet documents on
-    shared identifiers and words, not as a product.
+    the rarest of the identifiers and words they share (see most_shared).
     """
     name = F.concat_ws(" ", "doc_id", "title")
-    q_cues = questions.select("qid", F.explode(report_cues("question")).alias("cue"))
-    d_cues = documents.select("doc_id", F.explode(report_cues(name)).alias("cue"))
-    by_cue = q_cues.join(d_cues, "cue").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    by_cue = by_cue.groupBy("qid").agg(F.min_by("doc_id", F.struct(-F.col("n"), "doc_id")).alias("cue_doc"))
-    q_terms = questions.select("qid", F.explode(title_terms("question")).alias("term"))
-    d_terms = documents.select("doc_id", "pos", F.explode(title_terms(name)).alias("term"))
-    by_term = q_terms.join(d_terms, "term").groupBy("qid", "doc_id", "pos").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    by_term = by_term.groupBy("qid").agg(F.min_by("doc_id", F.struct(-F.col("n"), "pos")).alias("term_doc"))
+    all_of = F.lit(1).alias("all")
+    exploded = lambda rows, key, c: rows.select(F.col(key).alias("qid" if key == "qid" else "id"), all_of, F.explode(c).alias("token")).distinct()
+    by_cue = most_shared(exploded(questions, "qid", report_cues("question")), exploded(documents, "doc_id", report_cues(name)), ["all"])
+    by_cue = by_cue.groupBy("qid").agg(F.min("id").alias("cue_doc"))
+    by_term = most_shared(exploded(questions, "qid", title_terms("question")), exploded(documents, "doc_id", title_terms(name)), ["all"])
+    by_term = by_term.where("n >= 2").join(documents.select(F.col("doc_id").alias("id"), "pos"), "id")
+    by_term = by_term.groupBy("qid").agg(F.min_by("id", "pos").alias("term_doc"))
     first = evidence.groupBy("qid").agg(F.min_by("doc_id", "rank").alias("first_doc"))
     found = questions.select("qid").join(by_cue, "qid", "left").join(by_term, "qid", "left").join(first, "qid", "left")
     return found.select("qid", F.coalesce("cue_doc", "term_doc", "first_doc").alias("doc_id"))
@@ -76,11 +102,14 @@ def named_asset_targets(questions: DataFrame, inferred: DataFrame, assets: DataF
     kind = F.when(F.contains(low, F.lit("table")), "table").when(F.contains(low, F.lit("figure")) | F.contains(low, F.lit("image")), "image")
     from lodestar.functions.rules import QUERY_STOPWORDS
 
-    rows = rows.withColumn("wanted", kind).withColumn("terms", F.array_distinct(F.filter(tokens("question"), lambda t: ~t.isin(*QUERY_STOPWORDS))))
+    terms = F.array_distinct(F.filter(tokens("question"), lambda t: ~t.isin(*QUERY_STOPWORDS)))
+    asked = rows.select("qid", "doc_id", F.coalesce(kind, F.lit("")).alias("kind"), F.explode(terms).alias("token"))
     hay = token_set(F.concat_ws(" ", "asset_id", "caption", "text_preview"))
-    a = assets.select("doc_id", "asset_id", "asset_type", F.col("page").alias("page"), hay.alias("hay"))
-    pairs = rows.join(a, "doc_id").where("wanted IS NULL OR wanted = asset_type").withColumn("n", F.size(F.array_intersect("terms", "hay"))).where("n > 0")
-    best = pairs.groupBy("qid").agg(F.max_by(F.struct("doc_id", "page", "asset_id"), F.struct("n", -F.col("page"), "asset_id")).alias("t"))
+    # a question that names no kind meets every asset under the kind ''
+    kinds = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("asset_type", F.lit("")))))
+    have = assets.select("doc_id", F.struct("asset_id", "page").alias("id"), kinds.alias("kind"), hay.alias("hay")).select("doc_id", "id", "kind", F.explode("hay").alias("token")).distinct()
+    found = most_shared(asked, have, ["doc_id", "kind"]).join(rows.select("qid", "doc_id"), "qid")
+    best = found.groupBy("qid").agg(F.max_by(F.struct("doc_id", "id.page", "id.asset_id"), F.struct(-F.col("id.page"), F.col("id.asset_id"))).alias("t"))
     return best.select("qid", "t.*").where("page >= 1")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import phrase, slug_words
+from lodestar.sources.shared import fresh_folder, saved
 
 # Question templates by kind.
 TEMPLATES = (("scope", "What does {title} cover?"), ("guidance", "Which guidance does {title} give?"), ("definition", "What is {topic} according to {title}?"), ("locator", "Which section of {title} discusses {topic}?"), ("comparison", "Compare {title} with similar reports on {topic}."))
@@ -21,8 +22,20 @@ def topic_questions(catalog: DataFrame, controls: DataFrame, templates: tuple[tu
 
 
 def numbered(rows: DataFrame, order: list[str], mark: str) -> DataFrame:
-    """Sequential qids. Question sets are written by hand or per catalog row, so one ordered pass is fine."""
-    return rows.withColumn("qid", F.format_string(f"{mark}%04d", F.row_number().over(Window.orderBy(*order)))).drop("side", "at")
+    """Sequential qids in the order of `order`, which has to be unique.
+
+    Rows are sorted by ranges and stored; a row's number is its place in its range and the
+    rows of the ranges before, of which there are as many as partitions.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = saved(placed, fresh_folder(rows.sparkSession, "numbered"), "rows")
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    number = F.col("_base") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    out = placed.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return out.withColumn("qid", F.format_string(f"{mark}%04d", number)).drop("side", "at", "_part", "_base", "_place")
 
 
 def asset_questions(assets: DataFrame, n: int = 60) -> DataFrame:

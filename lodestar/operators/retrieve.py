@@ -223,12 +223,18 @@ def hash_embedding(chunks: DataFrame, text: Column, dimension: int = 768, id_col
     return counts.select(id_col, "d", (F.col("c") / norm).alias("x"))
 
 
+def hash_vectors(chunks: DataFrame, text: Column | str, dimension: int = 768, id_col: str = "chunk_id") -> DataFrame:
+    """id, embedding: hashed embeddings as arrays; texts without tokens have none."""
+    entries = F.map_from_entries(F.collect_list(F.struct("d", "x")))
+    values = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)))
+    return hash_embedding(chunks, text, dimension, id_col).groupBy(id_col).agg(entries.alias("m")).select(id_col, values.alias("embedding"))
+
+
 def hash_dense_search(questions: DataFrame, chunks: DataFrame, text: Column, k: int = TOP_K, dimension: int = 768) -> DataFrame:
-    """Inner products of hashed embeddings as a join on the bucket."""
-    q = small(hash_embedding(questions, F.col("question"), dimension, "qid").withColumnRenamed("x", "qx"))
-    c = hash_embedding(chunks, text, dimension)
-    scored = c.join(q, "d").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("x") * F.col("qx")), DIGITS).alias("score"))
-    return best(k, "score")(scored.join(chunks.select("chunk_id", "doc_id", "corpus_pos"), "chunk_id"))
+    """Inner products of hashed embeddings; chunks that share no bucket with a question have no row. Top k are kept in the task (dense_search)."""
+    asked = hash_vectors(questions, F.col("question"), dimension, "qid").withColumnRenamed("embedding", "query")
+    vectors = hash_vectors(chunks, text, dimension).join(chunks.select("chunk_id", "doc_id", "corpus_pos"), "chunk_id")
+    return dense_search(asked, vectors, k, tie="corpus_pos").where("score > 0")
 
 
 def model_embedding(encode, dimension: int):

@@ -13,7 +13,7 @@ from lodestar.operators import generators as gn
 from lodestar.operators import ingest as ig
 from lodestar.operators import navigator as nv
 from lodestar.operators.retrieve import top_k
-from lodestar.plans.registry import Registry, table
+from lodestar.plans.registry import Registry, firms, people, table
 from lodestar.plans.retrieval import RERANK, TERMS, chunks_of, questions_of, reranked_of
 from lodestar.plans.sql import CHUNKS, NORM, tok, tokset
 from lodestar.sources import adapters, files
@@ -185,10 +185,10 @@ def wn_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return el.round_robin(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", ["p_size", "p_partkey"]).select("p_partkey", "p_brand", "round")
 
 
-@R.query("gn_topic", "WITH q AS (SELECT n_nationkey AS pos, n_name AS title, unnest(['scope', 'guidance', 'definition', 'locator', 'comparison']) AS type, unnest(range(5)) AS i FROM nation), t AS (SELECT 0 AS side, pos, i, type, n.title AS report_id, CASE i WHEN 0 THEN 'What does ' || title || ' cover?' WHEN 1 THEN 'Which guidance does ' || title || ' give?' WHEN 2 THEN 'What is ' || w || ' according to ' || title || '?' WHEN 3 THEN 'Which section of ' || title || ' discusses ' || w || '?' ELSE 'Compare ' || title || ' with similar reports on ' || w || '.' END AS question FROM (SELECT *, lower(array_to_string(regexp_extract_all(title, '[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*')[1:3], ' ')) AS w FROM q) n UNION ALL SELECT 1, r_regionkey, 0, 'control', NULL, 'Tell me about ' || r_name FROM region) SELECT 'q' || lpad(CAST(row_number() OVER (ORDER BY side, pos, i) AS VARCHAR), 4, '0') AS qid, question, type, report_id, side = 1 AS expected_abstain FROM t")
+@R.query("gn_topic", "WITH q AS (SELECT n_nationkey AS pos, n_name AS title, unnest(['scope', 'guidance', 'definition', 'locator', 'comparison']) AS type, unnest(range(5)) AS i FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)), t AS (SELECT 0 AS side, pos, i, type, n.title AS report_id, CASE i WHEN 0 THEN 'What does ' || title || ' cover?' WHEN 1 THEN 'Which guidance does ' || title || ' give?' WHEN 2 THEN 'What is ' || w || ' according to ' || title || '?' WHEN 3 THEN 'Which section of ' || title || ' discusses ' || w || '?' ELSE 'Compare ' || title || ' with similar reports on ' || w || '.' END AS question FROM (SELECT *, lower(array_to_string(regexp_extract_all(title, '[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*')[1:3], ' ')) AS w FROM q) n UNION ALL SELECT 1, r_regionkey, 0, 'control', NULL, 'Tell me about ' || r_name FROM (SELECT s_suppkey AS r_regionkey, s_name AS r_name FROM supplier)) SELECT 'q' || printf('%04d', row_number() OVER (ORDER BY side, pos, i)) AS qid, question, type, report_id, side = 1 AS expected_abstain FROM t")
 def gn_topic(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = table(spark, sf, "nation").select(F.col("n_name").alias("doc_id"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("pos"))
-    controls = table(spark, sf, "region").select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("Tell me about "), F.col("r_name")).alias("question"))
+    catalog = people(spark, sf).select(F.col("n_name").alias("doc_id"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("pos"))
+    controls = firms(spark, sf).select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("Tell me about "), F.col("r_name")).alias("question"))
     return gn.topic_questions(catalog, controls).drop("pos")
 
 

@@ -18,7 +18,7 @@ from lodestar.operators import routing
 from lodestar.plans.contracts import BASE, evidence_of, near_of
 from lodestar.plans.corpus import NAV, navigator_of
 from lodestar.plans.evaluation import GOLD, WILSON, gold_of
-from lodestar.plans.registry import Registry, table
+from lodestar.plans.registry import Registry, firms, people, table
 from lodestar.plans.retrieval import HAY, LEXICAL, RERANK, TERMS, chunks_of, hybrid_of, questions_of, reranked_of, sparse_of
 from lodestar.plans.sql import CHUNKS, HYBRID, tok, tokset
 from lodestar.plans.textual import ASKED, KEYS, SCENE, TABLE
@@ -205,20 +205,20 @@ def hp_inspect_all(spark: SparkSession, sf: str) -> DataFrame:
     return ig.inspection_summary(density)
 
 
-@R.query("gn_gold", "SELECT 'gold_q' || lpad(CAST(row_number() OVER (ORDER BY side, pos) AS VARCHAR), 4, '0') AS qid, question, profile, doc FROM (SELECT 0 AS side, r_regionkey AS pos, 'What about ' || r_name || '?' AS question, 'external' AS profile, NULL AS doc FROM region UNION ALL SELECT 1, n_nationkey, 'What does ' || n_name || ' say?', 'report', n_name FROM nation)")
+@R.query("gn_gold", "SELECT 'gold_q' || printf('%04d', row_number() OVER (ORDER BY side, pos)) AS qid, question, profile, doc FROM (SELECT 0 AS side, r_regionkey AS pos, 'What about ' || r_name || '?' AS question, 'external' AS profile, NULL AS doc FROM (SELECT s_suppkey AS r_regionkey, s_name AS r_name FROM supplier) UNION ALL SELECT 1, n_nationkey, 'What does ' || n_name || ' say?', 'report', n_name FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer))")
 def gn_gold(spark: SparkSession, sf: str) -> DataFrame:
     groups = F.array(F.array(F.lit("x")))
-    external = table(spark, sf, "region").select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("What about "), "r_name", F.lit("?")).alias("question"), groups.alias("groups"))
-    nation = table(spark, sf, "nation")
+    external = firms(spark, sf).select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("What about "), "r_name", F.lit("?")).alias("question"), groups.alias("groups"))
+    nation = people(spark, sf)
     targets = nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("doc_id"), F.concat(F.lit("What does "), "n_name", F.lit(" say?")).alias("question"), groups.alias("groups"))
     catalog = nation.select(F.col("n_name").alias("doc_id"), F.concat(F.lit("http://"), "n_name").alias("source_url"))
     out = gn.gold_targets(external, targets, catalog)
     return out.select("qid", "question", "profile", F.get("expected_doc_ids", F.lit(0)).alias("doc"))
 
 
-@R.query("gn_tasks", "SELECT 'agent_task_q' || lpad(CAST(row_number() OVER (ORDER BY side, pos) AS VARCHAR), 4, '0') AS qid, question, mode, n_docs, side = 1 AS expected_abstain FROM (SELECT 0 AS side, n_nationkey AS pos, 'Report on ' || n_name AS question, ['evidence', 'bundle', 'answer'][1 + n_nationkey % 3] AS mode, 1 AS n_docs FROM nation UNION ALL SELECT 1, r_regionkey, 'Tell me about ' || r_name, 'answer', 0 FROM region)")
+@R.query("gn_tasks", "SELECT 'agent_task_q' || printf('%04d', row_number() OVER (ORDER BY side, pos)) AS qid, question, mode, n_docs, side = 1 AS expected_abstain FROM (SELECT 0 AS side, n_nationkey AS pos, 'Report on ' || n_name AS question, ['evidence', 'bundle', 'answer'][1 + n_nationkey % 3] AS mode, 1 AS n_docs FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) UNION ALL SELECT 1, r_regionkey, 'Tell me about ' || r_name, 'answer', 0 FROM (SELECT s_suppkey AS r_regionkey, s_name AS r_name FROM supplier))")
 def gn_tasks(spark: SparkSession, sf: str) -> DataFrame:
     mode = F.element_at(F.array(F.lit("evidence"), F.lit("bundle"), F.lit("answer")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    inside = table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.lit("lookup").alias("task"), mode.alias("mode"), F.concat(F.lit("Report on "), "n_name").alias("question"), F.array("n_name").alias("expected_doc_ids"))
-    outside = table(spark, sf, "region").select(F.col("r_regionkey").alias("pos"), F.lit("control").alias("task"), F.lit("answer").alias("mode"), F.concat(F.lit("Tell me about "), "r_name").alias("question"))
+    inside = people(spark, sf).select(F.col("n_nationkey").alias("pos"), F.lit("lookup").alias("task"), mode.alias("mode"), F.concat(F.lit("Report on "), "n_name").alias("question"), F.array("n_name").alias("expected_doc_ids"))
+    outside = firms(spark, sf).select(F.col("r_regionkey").alias("pos"), F.lit("control").alias("task"), F.lit("answer").alias("mode"), F.concat(F.lit("Tell me about "), "r_name").alias("question"))
     return gn.agent_tasks(inside, outside).select("qid", "question", "mode", F.size("expected_doc_ids").alias("n_docs"), "expected_abstain")

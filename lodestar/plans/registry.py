@@ -30,3 +30,13 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a catalog of named things: n_nationkey, n_name."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS n_nationkey", "c_name AS n_name")
+
+
+def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as another: r_regionkey, r_name."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS r_regionkey", "s_name AS r_name")

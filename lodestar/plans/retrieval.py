@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.rules import ASSET_QUERY, QUERY_STOPWORDS, REPORT_CUES, TITLE_STOPWORDS
 from lodestar.operators import evidence as ev
 from lodestar.operators import rerank as rr
 from lodestar.operators import retrieve as rt
 from lodestar.plans.registry import Registry, table
-from lodestar.plans.sql import BM25, CHUNKS, HYBRID, tok, tokset
+from lodestar.plans.sql import BM25, CHUNKS, HYBRID, NORM, any_match, lit, tok, tokset
 from lodestar.sources import adapters
 
 R = Registry()
@@ -113,15 +114,22 @@ def rk_dense(spark: SparkSession, sf: str) -> DataFrame:
     return rt.dense_search(adapters.vector_queries(vectors), vectors.select("vec_id", "embedding"), id_col="vec_id")
 
 
-@R.query("ix_hash_embed")
+#: crc32 of a token's UTF-8 bytes modulo 768, by the table of the reflected polynomial
+HASHED = f"""{CHUNKS}, crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+said AS (SELECT 'c' AS side, corpus_pos AS id, unnest({tok('text')}) AS token FROM chunks UNION ALL SELECT 'q', item_id, unnest({tok('text')}) FROM benchmark),
+bucket AS (SELECT token, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(encode(token))), 2), lambda i: CAST('0x' || substr(hex(encode(token)), i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 768 AS INTEGER) AS d FROM (SELECT DISTINCT token FROM said), crc),
+counts AS (SELECT side, id, d, count(*) AS c FROM said JOIN bucket USING (token) GROUP BY ALL),
+embedded AS (SELECT side, id, d, c / sqrt(sum(c * c) OVER (PARTITION BY side, id)) AS x FROM counts)"""
+
+
+@R.query("ix_hash_embed", f"WITH {HASHED} SELECT 'c' || id AS chunk_id, d, round(x, 6) AS x FROM embedded WHERE side = 'c'")
 def ix_hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: the bucket hash is not at hand in the oracle; tests compare with zlib."""
     return rt.hash_embedding(chunks_of(spark, sf), TEXT).withColumn("x", F.round("x", 6))
 
 
-@R.query("rk_hash_dense")
+@R.query("rk_hash_dense", f"WITH {HASHED}, s AS (SELECT q.id AS qid, c.id AS corpus_pos, round(sum(q.x * c.x), 6) AS score FROM embedded q JOIN embedded c ON q.d = c.d AND q.side = 'q' AND c.side = 'c' GROUP BY ALL) SELECT qid, 'c' || corpus_pos AS chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, corpus_pos) AS rank FROM s QUALIFY rank <= 24")
 def rk_hash_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.hash_dense_search(questions_of(spark, sf), chunks_of(spark, sf), TEXT)
+    return rt.hash_dense_search(questions_of(spark, sf), chunks_of(spark, sf), TEXT).select("qid", "chunk_id", "score", "rank")
 
 
 COLUMNS = ("qid", "chunk_id", "dense_score", "bm25_score", "dense_hit", "bm25_hit", "fusion_score", "retrieval_rank")
@@ -217,3 +225,48 @@ def st_union_prepend(spark: SparkSession, sf: str) -> DataFrame:
     return ev.inject(reranked_of(spark, sf), near, 6)
 
 
+
+
+# --- questions that name a document or an asset ----------------------------------
+
+#: items that ask for a table, a figure or any asset in words of a page, or for a page
+NAMED = """CASE item_id % 4 WHEN 0 THEN 'Show the table about ' || text WHEN 1 THEN 'Which figure of src' || item_id % 20 || ' has ' || text || '?' WHEN 2 THEN 'Describe the asset a' || item_id * 3 || ' of http ' || text ELSE 'What does the table on page ' || item_id % 12 || ' say?' END"""
+STOP = "[" + ", ".join(f"'{w}'" for w in QUERY_STOPWORDS) + "]"
+ASSET = any_match("question", [ASSET_QUERY.removeprefix("(?i)")])
+
+
+def named_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.expr(NAMED).alias("question"))
+
+
+@R.query("jn_asset_named", f"""WITH {ASSETS}, q AS (SELECT item_id AS qid, {NAMED} AS question, 'src' || item_id % 20 AS doc_id FROM benchmark),
+n AS (SELECT qid, doc_id, list_filter({tokset('question')}, lambda t: NOT list_contains({STOP}, t)) AS terms, CASE WHEN contains(lower(question), 'table') THEN 'table' WHEN contains(lower(question), 'figure') OR contains(lower(question), 'image') THEN 'image' END AS wanted FROM q WHERE {ASSET} AND NOT regexp_matches(question, '(?i)\\bpage\\s+\\d{{1,4}}\\b')),
+p AS (SELECT qid, n.doc_id, page, asset_id, len(list_intersect(terms, {tokset("asset_id || ' ' || caption || ' ' || text_preview")})) AS n FROM n JOIN assets a ON a.doc_id = n.doc_id AND (wanted IS NULL OR wanted = asset_type))
+SELECT qid, doc_id, page, asset_id FROM p WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, page, asset_id DESC) = 1 AND page >= 1""")
+def jn_asset_named(spark: SparkSession, sf: str) -> DataFrame:
+    asked = named_questions(spark, sf)
+    inferred = asked.select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("doc_id"))
+    return ev.named_asset_targets(asked, inferred, assets_of(spark, sf)).select("qid", "doc_id", "page", "asset_id")
+
+
+#: documents under titles that a host or two words tell apart; a word of them is in every title
+TITLES = "titled AS (SELECT 'page ' || page_id AS doc_id, 'Report TG-' || page_id || ' from ' || regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g') AS title, page_id AS pos FROM pages)"
+ASKING = "CASE item_id % 3 WHEN 0 THEN 'What does TG ' || item_id || ' say?' WHEN 1 THEN 'Is there a report from https www example ' || item_id % 7 || '?' ELSE 'And ' || text END"
+TITLE_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-zA-Z][a-zA-Z0-9]{{2,}}')), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in TITLE_STOPWORDS) + "], t))"
+
+
+def cue_sql(x: str) -> str:
+    plain = NORM.format(x=f"translate({x}, '_-', '  ')")
+    return "list_distinct(flatten([" + ", ".join(f"list_transform(regexp_extract_all(lower({plain}), {lit(p)}, 1), lambda n: '{k}:' || CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END)" for k, p in REPORT_CUES.items()) + "]))"
+
+
+@R.query("jn_infer_doc", f"""WITH {TITLES}, q AS (SELECT item_id AS qid, {ASKING} AS question FROM benchmark), name AS (SELECT doc_id, pos, doc_id || ' ' || title AS name FROM titled),
+c AS (SELECT qid, doc_id, count(*) AS n FROM (SELECT qid, unnest({cue_sql('question')}) AS cue FROM q) JOIN (SELECT doc_id, unnest({cue_sql('name')}) AS cue FROM name) USING (cue) GROUP BY ALL),
+t AS (SELECT qid, doc_id, pos, count(*) AS n FROM (SELECT qid, unnest({TITLE_WORDS.format(x='question')}) AS term FROM q) JOIN (SELECT doc_id, pos, unnest({TITLE_WORDS.format(x='name')}) AS term FROM name) USING (term) GROUP BY ALL HAVING count(*) >= 2)
+SELECT qid, coalesce((SELECT arg_min(doc_id, struct_pack(a := -n, b := doc_id)) FROM c WHERE c.qid = q.qid), (SELECT arg_min(doc_id, struct_pack(a := -n, b := pos)) FROM t WHERE t.qid = q.qid), 'page ' || qid % 5) AS doc_id FROM q""")
+def jn_infer_doc(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.expr(ASKING).alias("question"))
+    number = F.col("page_id").cast("string")
+    documents = table(spark, sf, "pages").select(F.concat(F.lit("page "), number).alias("doc_id"), F.concat(F.lit("Report TG-"), number, F.lit(" from "), F.regexp_replace("url", "[^A-Za-z0-9]+", " ")).alias("title"), F.col("page_id").alias("pos"))
+    first = asked.select("qid", F.concat(F.lit("page "), (F.col("qid") % 5).cast("string")).alias("doc_id"), F.lit(1).alias("rank"))
+    return ev.infer_document(asked, documents, first)
