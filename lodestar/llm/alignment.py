@@ -35,6 +35,8 @@ VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 BLOCK = 1 << 16
 #: characters of a text that are encoded at a time; distinct pairs a task holds before it sends them
 PIECE, PAIRS = 1 << 20, 500_000
+#: rows that a task looks at, and bytes of ids that it sends, at a time: workers stay small
+SLICE, SENT = 256, 1 << 20
 #: texts of these characters (Latin, Greek, Cyrillic, kana, common Han, Hangul), whose classes are the same in all versions of Unicode, are encoded by ranks
 _PLAIN = re.compile("[\t\n\r -~\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -101,8 +103,14 @@ def tokenizers(a: str | None, b: str | None) -> tuple[Bytes, Pieces]:
     return Bytes(a), Pieces(b)
 
 
-def narrow(side: Bytes | Pieces) -> np.dtype:
-    return np.dtype("<u2" if len(side.bytes) <= 1 << 16 else "<u4")
+def narrow(width: int) -> np.dtype:
+    """The type of a token's number in a vocabulary of that size."""
+    return np.dtype("<u2" if width <= 1 << 16 else "<u4")
+
+
+def pair_code(widths: list[int]) -> str:
+    """The type of a pair's code a * width of B + b."""
+    return "<u8" if widths[0] * widths[1] > 1 << 32 else "<u4"
 
 
 class Spelling:
@@ -166,21 +174,23 @@ def _events(a: str | None, b: str | None, block: int):
 
         serve("alignment")
         sides = tokenizers(a, b)
-        spellings, kinds = [Spelling(s.bytes) for s in sides], [narrow(s) for s in sides]
+        spellings, kinds = [Spelling(s.bytes) for s in sides], [narrow(len(s.bytes)) for s in sides]
         key = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts, rows, size, begun = batch.column(0).to_pylist(), [], 0, 0
-            for i, raw in enumerate(texts):
-                ok, events = of(raw, sides, spellings, kinds) if raw else (False, [])
-                rows.append((key + i, -1, 0, 0, b"", i))
-                rows += [(key + i, *event, None) for event in events] if ok else []
-                size += sum(len(e[3]) for e in events)
-                if size > 1 << 22 or i == len(texts) - 1:
-                    *columns, which = zip(*rows, strict=True)
-                    carried = [c.take(pa.array(which, pa.int32())) for c in batch.columns[1:]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _EVENT, strict=True)), *carried], names=[*_EVENT.names, *batch.schema.names[1:]])
-                    rows, size = [], 0
-            key += len(texts)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                rows, size = [], 0
+                for i, raw in enumerate(batch.column(0)):
+                    ok, events = of(text, sides, spellings, kinds) if (text := raw.as_py()) else (False, [])
+                    rows.append((key + i, -1, 0, 0, b"", i))
+                    rows += [(key + i, *event, None) for event in events] if ok else []
+                    size += sum(len(e[3]) for e in events)
+                    if size > SENT or i == batch.num_rows - 1:
+                        *columns, which = zip(*rows, strict=True)
+                        carried = [c.take(pa.array(which, pa.int32())) for c in batch.columns[1:]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _EVENT, strict=True)), *carried], names=[*_EVENT.names, *batch.schema.names[1:]])
+                        rows, size = [], 0
+                key += batch.num_rows
 
     return run
 
@@ -188,9 +198,10 @@ def _events(a: str | None, b: str | None, block: int):
 class Machine:
     """The state of one document's sweep: the tokens since the last offset where both sides ended."""
 
-    def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
-        self.lengths = [np.array([len(x) for x in s], np.int64) for s in (a_bytes, b_bytes)]
-        self.width = [len(s) for s in (a_bytes, b_bytes)]
+    def __init__(self, lengths: list[np.ndarray]) -> None:
+        """lengths: bytes of each token of A and of B, which is all that a sweep needs to know of a tokenizer."""
+        self.lengths = [x.astype(np.int64) for x in lengths]
+        self.width = [len(x) for x in lengths]
         # a token's number with the mark behind it (more of its side, the other side, the next group), filled up with zero bytes
         marked = [f"{i}{mark}".encode() for n, marks in zip(self.width, (",|", ",;"), strict=True) for mark in marks for i in range(n)]
         wide = max(map(len, marked), default=1)
@@ -263,17 +274,16 @@ class Machine:
         return np.stack([np.repeat(ids[0], times), ids[1][np.repeat(first[slot], times) + inner]], axis=1)
 
 
-def _sweep(a: str | None, b: str | None):
+def _sweep(lengths):
     """Sorted events to one row a document: counts, checksum, and its links as codes a * width + b."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serve("alignment")
-        sides = tokenizers(a, b)
-        machine = Machine(*(s.bytes for s in sides))
-        kinds = [narrow(s) for s in sides]
-        part, width = TaskContext.get().partitionId(), np.int64(len(sides[1].bytes))
+        serve("alignment-sweep")  # frees the tokenizers
+        machine = Machine(lengths.value)
+        kinds, code_kind = [narrow(n) for n in machine.width], pair_code(machine.width)
+        part, width = TaskContext.get().partitionId(), np.int64(machine.width[1])
         now, head, names = None, None, []
         links: list[np.ndarray] = []
         done: list[tuple] = []
@@ -285,7 +295,7 @@ def _sweep(a: str | None, b: str | None):
             has = bool(machine.n[0])
             links.append(machine.advance())
             code = np.concatenate([x[:, 0] * width + x[:, 1] for x in links])
-            done.append((part, *machine.n, machine.groups, len(code), machine.sha.hexdigest() if has else "", code.astype("<u8" if width * len(sides[0].bytes) > 1 << 32 else "<u4").tobytes()))
+            done.append((part, *machine.n, machine.groups, len(code), machine.sha.hexdigest() if has else "", code.astype(code_kind).tobytes()))
             heads.append(head)
             size += 4 * len(code) + 200
             links.clear()
@@ -297,7 +307,7 @@ def _sweep(a: str | None, b: str | None):
 
         for batch in batches:
             keys, ranges, side, _, ids = (batch.column(i) for i in range(5))
-            keys, ranges, side, ids = keys.to_numpy(), ranges.to_numpy(), side.to_numpy(), ids.to_pylist()
+            keys, ranges, side = keys.to_numpy(), ranges.to_numpy(), side.to_numpy()
             names = batch.schema.names[5:]
             for i in range(batch.num_rows):
                 if keys[i] != now:
@@ -307,7 +317,7 @@ def _sweep(a: str | None, b: str | None):
                     head = pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[5:]], names=names)
                     machine.begin()
                     range_at = -1
-                    if size > 1 << 22:
+                    if size > SENT:
                         yield rows()
                         done.clear()
                         heads.clear()
@@ -316,7 +326,7 @@ def _sweep(a: str | None, b: str | None):
                     if range_at >= 0 and ranges[i] != range_at:
                         links.append(machine.advance())
                     range_at = ranges[i]
-                    machine.event(int(side[i]), np.frombuffer(ids[i], kinds[side[i]]))
+                    machine.event(int(side[i]), np.frombuffer(ids[i].as_py(), kinds[side[i]]))
         if now is not None:
             finish()
             yield rows()
@@ -329,6 +339,7 @@ _SWEPT = ("part", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
 
 def _distinct_pairs(code: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("alignment-sweep")
         part, keys, counts, held, waiting = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, []
 
         def send(p: int) -> pa.RecordBatch:
@@ -350,7 +361,7 @@ def _distinct_pairs(code: str):
                 part = p
                 waiting.append(np.frombuffer(raw, code))
                 held += len(waiting[-1])
-                if held > 1 << 20:
+                if held > 1 << 18:
                     fold()
                     if len(keys) > PAIRS:
                         yield send(part)
@@ -368,6 +379,7 @@ def _counted(path: str, code: str):
         return values[np.argsort(values[:, 0], kind="stable")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("alignment-sweep")
         known = Replies(path, table)
         for batch in batches:
             best, total = [], []
@@ -403,10 +415,12 @@ def token_alignment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema["id"].dataType.simpleString()
     events = docs.mapInArrow(_events(a, b, block), f"key long, at long, side tinyint, piece int, ids binary, id {kind}")
     events = events.repartition("key").sortWithinPartitions("key", "at", "side", "piece")
-    swept = events.mapInArrow(_sweep(a, b), f"part int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, id {kind}")
+    lengths = [np.array([len(x) for x in s.bytes], np.uint32) for s in tokenizers(a, b)]
+    tokenizers.cache_clear()  # the driver needs no more of them
+    swept = events.mapInArrow(_sweep(df.sparkSession.sparkContext.broadcast(lengths)), f"part int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, id {kind}")
     swept = scratch.save(swept, "swept")
-    sizes = [len(s.bytes) for s in tokenizers(a, b)]
-    code = "<u8" if sizes[0] * sizes[1] > 1 << 32 else "<u4"
+    sizes = [len(x) for x in lengths]
+    code = pair_code(sizes)
     pairs = scratch.save(swept.select("part", "links").mapInArrow(_distinct_pairs(code), "part int, pair long, n long"), "pairs")
     # the parts that ask ride along with a pair's sum, so pairs aren't joined with their counts
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
