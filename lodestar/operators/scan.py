@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens
 from lodestar.operators.retrieve import DIGITS, K1, TOP_K, B, idf, question_terms, top_k
-from lodestar.sources.shared import fresh_folder, saved
+from lodestar.sources.shared import fresh_folder, saved, ship
 
 #: distinct tokens of all questions that may go to the tasks at once; (question, token) rows in a block
 VOCABULARY, BLOCK_TERMS = 2_000_000, 1_000_000
@@ -94,6 +94,8 @@ def _score(block, k: int, average: float, columns: list[str]):
             for at in range(0, whole.num_rows, step):
                 rows = whole.slice(at, step)
                 dl, ids, tfs = (rows.column(rows.num_columns - i) for i in (3, 2, 1))
+                if not n:
+                    continue
                 width = ids.value_lengths().to_numpy()
                 token, tf = ids.flatten().to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(float)
                 norm = K1 * (1 - B + B * dl.to_numpy() / average)
@@ -102,7 +104,7 @@ def _score(block, k: int, average: float, columns: list[str]):
                 times = first[token + 1] - first[token]
                 inner = np.repeat(first[token] - np.cumsum(times) + times, times) + np.arange(times.sum())
                 cell = np.repeat(row, times) * n + question[inner]
-                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], rows.num_rows * n)
+                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=rows.num_rows * n)
                 scores[scores == 0] = -np.inf  # weights are positive, so no token is shared
                 scores = scores.reshape(rows.num_rows, n)
                 if asked_of is not None:
@@ -125,6 +127,7 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: in
     corpus position.
     """
     spark, columns = chunks.sparkSession, ["chunk_id", "doc_id", "corpus_pos"]
+    ship(spark)
     folder = fresh_folder(spark, "scan")
     terms = saved(question_terms(questions), folder, "terms")
     vocabulary = terms.select("token").distinct().orderBy("token").limit(VOCABULARY + 1).toArrow().column("token").to_pylist()

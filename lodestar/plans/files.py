@@ -1,7 +1,9 @@
-"""Queries over files that Spark derives from the tables: nested elements, strict lines, CSV, logs, the saved index."""
+"""Queries over files that Spark derives from the tables: nested elements, strict lines, CSV, logs, the saved index, streams."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lodestar.plans.registry import Registry, table
 from lodestar.plans.retrieval import chunks_of, questions_of
 from lodestar.plans.sql import BM25, NORM
 from lodestar.sources import shared, splits
+from lodestar.streaming import events as ev
 
 R = Registry()
 
@@ -140,3 +143,31 @@ def src_add_docs(spark: SparkSession, sf: str) -> DataFrame:
     index.apply("third", chunks.where("number % 10 = 7"), chunks.where(gone).select("key"))
     index.apply("fourth", deletes=chunks.where(gone).select("key"))
     return index.search(questions_of(spark, sf)).select("qid", "chunk_id", "doc_id", "score", "rank")
+
+
+# --- streams over events --------------------------------------------------------
+
+
+@R.query("st_first_seen", "SELECT user_id AS key, ts FROM (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE since IS NULL OR since > INTERVAL 6 HOURS")
+def st_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of users not seen for six hours, by a state machine with timers over a stream in order of time."""
+    folder = shared.fresh_folder(spark, "stream")
+    found = ev.drained(ev.first_seen(ev.replayed(table(spark, sf, "events"), folder, "events"), "user_id", timedelta(hours=6)), folder, "found", rocks=True)
+    return found.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@R.query("st_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id AS key, min(ts) AS started, max(ts) + INTERVAL 6 HOURS AS ended, count(*) AS n FROM y GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
+def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a user's events, those that the last watermark has closed."""
+    folder = shared.fresh_folder(spark, "stream")
+    found = ev.drained(ev.sessions(ev.replayed(table(spark, sf, "events"), folder, "events"), "user_id", "6 hours"), folder, "found")
+    return found.select("key", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@R.query("st_answered", "SELECT q.user_id AS key, q.event_id AS question_id, a.event_id AS answer_id FROM events q JOIN events a ON q.user_id = a.user_id AND q.event_type = 'view' AND a.event_type = 'purchase' AND a.ts > q.ts AND a.ts <= q.ts + INTERVAL 12 HOURS")
+def st_answered(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases within twelve hours of a view of the same user: two streams joined under watermarks."""
+    folder, events = shared.fresh_folder(spark, "stream"), table(spark, sf, "events")
+    asked = ev.replayed(events.where("event_type = 'view'").withColumnRenamed("event_id", "question_id"), folder, "asked")
+    told = ev.replayed(events.where("event_type = 'purchase'").withColumnRenamed("event_id", "answer_id"), folder, "told")
+    return ev.drained(ev.answered(asked, told, "user_id", "12 hours", late="31 days"), folder, "found")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +50,28 @@ def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: applications that have this package already
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, as one archive in the shared folder, also those of executors that come later."""
+    package = Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId in _SHIPPED or not package.is_dir():
+        return
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(package.parent))), file.read_bytes())
+    path = f"{shared_folder(spark)}/lodestar/lodestar-{hashlib.sha256(made.getvalue()).hexdigest()[:16]}-shared.zip"
+    fs, jpath = place(spark, path)
+    out = fs.create(jpath, True)
+    out.write(bytearray(made.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 class CommitLog:
     """Which batches of a folder count, in order.
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.sources.shared import fresh_folder, saved
+from lodestar.sources.shared import fresh_folder, saved, ship
 
 #: splits whose table may be broadcast; at 128 MB each, some 250 TB
 SPLITS = 2_000_000
@@ -174,6 +174,7 @@ def csv_records(spark: SparkSession, path: str, comma: str = ",", **options) ->
 
     A record that is never closed runs to the end of its file, as in a reader of whole files.
     """
+    ship(spark)
     lines = split_lines(spark, path, **options)
     exits = lines.mapInArrow(_exits(comma), "file string, block long, outer boolean, inner boolean")
     splits = exits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "outer", "inner"))).alias("s"))
