@@ -37,6 +37,8 @@ BLOCK = 1 << 16
 PIECE, PAIRS = 1 << 20, 500_000
 #: rows that a task looks at, and bytes of ids that it sends, at a time: workers stay small
 SLICE, SENT = 256, 1 << 20
+#: pairs that the parts ask for in one bucket
+PER_BUCKET = 50_000
 #: texts of these characters (Latin, Greek, Cyrillic, kana, common Han, Hangul), whose classes are the same in all versions of Unicode, are encoded by ranks
 _PLAIN = re.compile("[\t\n\r -~\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -373,9 +375,28 @@ def _distinct_pairs(code: str):
     return run
 
 
+def _asks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each part as one array a bucket."""
+    serve("alignment-sweep")
+    for batch in batches:
+        bucket, part, pair = (batch.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((bucket, part))
+        bucket, part, pair = bucket[order], part[order], pair[order].astype("<u8")
+        first, n = runs(part.astype(np.int64) << 32 | bucket)
+        yield pa.record_batch({"bucket": pa.array(bucket[first], pa.int32()), "part": pa.array(part[first], pa.int32()), "asked": pa.array([pair[a : a + k].tobytes() for a, k in zip(first, n, strict=True)], pa.binary())})
+
+
+def _answers(asks: pa.Table, counts: pa.Table) -> pa.Table:
+    """Of a bucket: each part's pairs with their counts and whether they are their B id's best."""
+    known = np.stack([counts[c].to_numpy().astype("<u8") for c in ("pair", "n", "best")], axis=1)
+    known = known[np.argsort(known[:, 0], kind="stable")]
+    answers = [known[np.searchsorted(known[:, 0], np.frombuffer(x, "<u8"))].tobytes() for x in asks["asked"].to_pylist()]
+    return pa.table({"part": asks["part"].cast(pa.int32()), "answer": pa.array(answers, pa.binary())})
+
+
 def _counted(path: str, code: str):
     def table(found: dict[str, bytes]) -> np.ndarray:
-        values = np.frombuffer(found.get("answer", b""), ">u8").astype("<u8").reshape(-1, 3)
+        values = np.frombuffer(found.get("answer", b""), "<u8").reshape(-1, 3)
         return values[np.argsort(values[:, 0], kind="stable")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,12 +443,13 @@ def token_alignment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = [len(x) for x in lengths]
     code = pair_code(sizes)
     pairs = scratch.save(swept.select("part", "links").mapInArrow(_distinct_pairs(code), "part int, pair long, n long"), "pairs")
-    # the parts that ask ride along with a pair's sum, so pairs aren't joined with their counts
-    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    buckets = max(1, pairs.count() // PER_BUCKET)
+    bucket = F.pmod(F.xxhash64("pair"), F.lit(buckets)).cast("int").alias("bucket")
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     best = F.max("n").over(Window.partitionBy(F.col("pair") % sizes[1])) == F.col("n")
-    record = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
-    counts = counts.withColumn("best", best.cast("long"))
-    answers = counts.select(F.explode("parts").alias("part"), F.concat(record("pair"), record("n"), record("best")).alias("answer"))
+    counts = counts.select(bucket, "pair", "n", best.cast("long").alias("best"))
+    asks = importable(pairs.select(bucket, "part", "pair")).mapInArrow(_asks, "bucket int, part int, asked binary")
+    answers = asks.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_answers, "part int, answer binary")
     answers = save_replies(answers, scratch, "counts")
     final = swept.select("part", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["links"] if keep_links else []), F.col("links").alias("own"))
     out = final.select(*final.columns[1:-1], F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
