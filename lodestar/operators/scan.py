@@ -104,7 +104,7 @@ def _score(block, k: int, average: float, columns: list[str]):
                 times = first[token + 1] - first[token]
                 inner = np.repeat(first[token] - np.cumsum(times) + times, times) + np.arange(times.sum())
                 cell = np.repeat(row, times) * n + question[inner]
-                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=rows.num_rows * n)
+                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=rows.num_rows * n).astype(float)
                 scores[scores == 0] = -np.inf  # weights are positive, so no token is shared
                 scores = scores.reshape(rows.num_rows, n)
                 if asked_of is not None:
