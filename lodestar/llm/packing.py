@@ -119,7 +119,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, sequence_tokens, padded_to.
 
     A document's ids are those of its whole text and `end_id`; null and empty texts are that
-    id alone. Rows with a null or repeated id are packed like any others. sequence_id holds
+    id alone. Ids are numbers, and text that isn't one raises; rows with a null or repeated
+    id are packed like any others. sequence_id holds
     the task's number in its upper bits. Other columns are ignored. An empty table gives no
     rows.
     """

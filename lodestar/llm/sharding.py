@@ -142,14 +142,23 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", **how) -> None:
-    """Writes whole rows under shard=<n>, in slot order within a file.
+    """Writes whole rows with their slot under shard=<n>, in slot order within a file.
 
     Each row is written once, whatever its id: rows are stored with a number, by which they
-    are dealt and joined with their places.
+    are dealt and joined with their places. Columns may have any names; one that is called
+    shard or slot, in any case, is written as input_shard or input_slot (and with another
+    input_ before it if that is taken too).
     """
     scratch = how.pop("scratch", None) or Scratch(df.sparkSession)
     df.schema[id_col]  # dealt by number, yet the column has to be there
-    rows = scratch.save(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    places = shuffle_to_shards(rows, shards, "__row", text_col, scratch=scratch, **how).select("__row", "shard", "slot")
-    rows = rows.join(places, "__row").drop("__row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.write.partitionBy("shard").mode("overwrite").parquet(path)
+    names: list[str] = []
+    for c in df.columns:
+        while c.lower() in {"shard", "slot", *(n.lower() for n in names)}:
+            c = f"input_{c}"  # noqa: PLW2901
+        names.append(c)
+    own = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns)]
+    rows = scratch.save(df.select(F.monotonically_increasing_id().alias("number"), *own), "numbered")
+    text = f"k{df.columns.index(text_col)}"
+    places = shuffle_to_shards(rows, shards, "number", text, scratch=scratch, **how).select("number", "shard", "slot")
+    rows = rows.join(places, "number").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), "slot", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)

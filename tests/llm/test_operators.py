@@ -447,6 +447,16 @@ def test_write_shards_keeps_rows_with_null_and_repeated_ids(spark, odd):
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
 
 
+def test_write_shards_keeps_columns_of_any_name(spark):
+    path = Scratch(spark).folder("shards")
+    rows = spark.createDataFrame([(i, f"t{i}", "a", i * 2, "b", "c") for i in range(9)], "doc_id long, text string, __row string, Shard int, slot string, `a.b` string")
+    sharding.write_shards(rows, path, 2)
+    back = spark.read.parquet(path)
+    assert set(back.columns) == {"doc_id", "text", "__row", "input_Shard", "input_slot", "a.b", "slot", "shard"}
+    assert sorted((r.doc_id, r.text, r["__row"], r.input_Shard, r.input_slot, r["a.b"]) for r in back.collect()) == [(i, f"t{i}", "a", i * 2, "b", "c") for i in range(9)]
+    assert sorted((r.shard, r.slot) for r in back.collect()) == [*((0, i) for i in range(5)), *((1, i) for i in range(4))]
+
+
 def test_word_hashes_depend_on_the_word_alone(monkeypatch):
     inside = np.ones(256, bool)
     inside[32] = False
