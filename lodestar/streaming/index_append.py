@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.operators.retrieve import lengths, postings
+from lodestar.operators.segments import SegmentIndex
 from lodestar.sources.adapters import document_chunks
 
 
@@ -27,6 +28,21 @@ def follow(spark: SparkSession, source: str, schema: str, index: str, checkpoint
     return stream.writeStream.foreachBatch(lambda df, n: append_batch(df, n, index)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_segments(spark: SparkSession, source: str, schema: str, index: str, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:
+    """The same into a SegmentIndex, where a document that comes again replaces its earlier version.
+
+    A micro-batch that is replayed is in the index's log already and changes nothing; of a
+    document that stands twice in one, the version with the larger checksum counts.
+    """
+
+    def apply(df: DataFrame, n: int) -> None:
+        last = df.groupBy("doc_id").agg(F.max_by(F.struct(*df.columns), F.xxhash64("text")).alias("d")).select("d.*")
+        SegmentIndex(df.sparkSession, index).apply(f"stream-{n}", document_chunks(last).withColumn("key", F.col("chunk_id")))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{index}/postings").drop("batch"), spark.read.parquet(f"{index}/lengths").drop("batch")
 

@@ -14,6 +14,7 @@ from lodestar.operators import retrieve as rt
 from lodestar.operators import scan, segments
 from lodestar.sources.shared import CommitLog
 from lodestar.streaming import events as st
+from lodestar.streaming import index_append
 
 WORDS = ["the", "of", "dose", "beam", "été", "plan", *(f"w{i}" for i in range(40))]
 
@@ -134,3 +135,16 @@ def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
     rows([10, 16.5]).write.mode("append").parquet(f"{folder}/in")
     rows([40]).write.mode("append").parquet(f"{folder}/in")
     assert sorted((r.ts - start).total_seconds() / 3600 for r in run().collect()) == [0, 9, 16.5, 40]
+
+
+def test_stream_replaces_documents_in_the_index(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    source, index = f"{tmp_path}/in", f"{tmp_path}/index"
+    for batch in ({1: "dose beam", 2: "dose"}, {1: "plan only", 3: "beam"}):
+        rows = [(i, t, "en", "s", len(t)) for i, t in batch.items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        index_append.follow_segments(spark, source, schema, index, f"{tmp_path}/cp").awaitTermination()
+    asked = spark.createDataFrame([(1, "dose beam plan")], "qid long, question string")
+    live = segments.SegmentIndex(spark, index)
+    assert {r.chunk_id for r in live.search(asked).collect()} == {"c1", "c2", "c3"}
+    assert {r.token: r.df for r in live.frequencies().collect()} == {"dose": 1, "beam": 1, "plan": 1, "only": 1}
