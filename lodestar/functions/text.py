@@ -50,13 +50,13 @@ def token_set(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Pieces between a sentence end and a capital, digit, quote or bracket."""
-    pieces = F.transform(F.split(normalize_ws(c), SENTENCE_END), F.trim)
+    pieces = F.transform(F.split(normalize_ws(c), SENTENCE_END), lambda s: F.trim(s))  # trim itself takes the index as what to trim
     return F.filter(pieces, lambda s: s != "")
 
 
 def answer_sentences(c: Column | str) -> Column:
     """The looser splitter for answers: after . ! ? always, after ; before a capital."""
-    return F.transform(F.split(collapse_ws(c), ANSWER_SENTENCE_END), F.trim)
+    return F.transform(F.split(collapse_ws(c), ANSWER_SENTENCE_END), lambda s: F.trim(s))
 
 
 def slug(c: Column | str, mark: str = "_", default: str | None = None) -> Column:
