@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.text import tokens
+from lodestar.operators.held import CELLS, Held, places
+from lodestar.sources.shared import ship
 
 K1, B = 1.5, 0.75
 TOP_K, FUSED_K, RRF_K = 24, 20, 60
@@ -81,11 +83,25 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def raw_okapi(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def okapi(n: Column, df: Column, mean: Column, epsilon: float = 0.25) -> Column:
+    """The variant whose negative values become epsilon times the mean."""
+    return F.when(raw_okapi(n, df) < 0, mean * epsilon).otherwise(raw_okapi(n, df))
+
+
+def mean_okapi_idf(chunks: DataFrame, text: Column | str, n: int) -> float:
+    """Over all tokens; frequencies are counted in the tasks, so no posting is exchanged."""
+    each = chunks.select(F.explode(F.array_distinct(tokens(text))).alias("token"))
+    return document_frequencies(each).agg(F.avg(raw_okapi(F.lit(n), F.col("df")))).first()[0] or 0.0
+
+
 def okapi_idf(frequencies: DataFrame, n: Column, epsilon: float = 0.25) -> DataFrame:
     """The variant whose negative values become epsilon times the mean."""
-    raw = frequencies.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    mean = frequencies.agg(F.avg(raw_okapi(n, F.col("df"))).alias("mean"))
+    return frequencies.crossJoin(F.broadcast(mean)).select("token", "df", okapi(n, F.col("df"), F.col("mean"), epsilon).alias("idf"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -125,13 +141,13 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, text: Column | str, k:
 
     scope="pre" ranks only chunks of the question's report_id, scope="post" drops others
     after ranking, so it may leave fewer than k. Scores are summed and ranked where the
-    chunks are (see `scan`); postings are joined only for the okapi variant, other
-    parameters, or a vocabulary of questions that is too large to send.
+    chunks are (see `scan`); postings are joined only for other parameters, or a vocabulary
+    of questions that is too large to send.
     """
-    if not how:
+    if how in ({}, {"variant": "plain"}, {"variant": "okapi"}):
         from lodestar.operators.scan import bm25_scan
 
-        hits = bm25_scan(questions, chunks, text, k, inside=scope == "pre")
+        hits = bm25_scan(questions, chunks, text, k, inside=scope == "pre", **how)
         if hits is not None and scope == "post":
             hits = hits.join(questions.select("qid", "report_id"), "qid").where(INSIDE).drop("report_id")
         if hits is not None:
@@ -165,59 +181,73 @@ def fill_zero(hits: DataFrame, questions: DataFrame, length: DataFrame, k: int =
 # --- dense --------------------------------------------------------------------
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", tie: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", tie: str | None = None, block: int = QUERY_BLOCK, hashed: int | None = None) -> DataFrame:
     """Exact inner product of a stated query set with all vectors: qid, id, columns of vectors, score, rank.
 
     queries: qid, query; vectors: id_col, embedding and what else is kept. Queries are sent
     to the tasks in blocks of at most `block`; a task multiplies a batch of vectors with
     them and keeps k rows a query (and ties), so no product becomes a row before that.
-    Vectors and queries without numbers, or of another length, have no product.
+    Vectors and queries without numbers, or of another length, have no product. With
+    `hashed`, a dimension, embedding lists a row's buckets, whose counts at norm 1 are the vector.
     """
+    ship(vectors.sparkSession)
     columns = [c for c in vectors.columns if c != "embedding"]
     n, out = queries.count(), None
     blocks = max(1, -(-n // block))
     for b in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        part = _dense_block(some, vectors, columns, k)
+        part = _dense_block(some, vectors, columns, k, tie or id_col, hashed)
         part = part.withColumn("score", F.round("score", DIGITS))
         out = part if out is None else out.unionByName(part)
     return top_k(out, k, ["qid"], [F.col("score").desc(), F.col(tie or id_col)])
 
 
-def _dense_block(queries: DataFrame, vectors: DataFrame, columns: list[str], k: int) -> DataFrame:
+def _dense_block(queries: DataFrame, vectors: DataFrame, columns: list[str], k: int, tie: str, hashed: int | None = None) -> DataFrame:
     """Rows of each task that may be among a query's first k."""
     held = queries.where("query IS NOT NULL").toArrow()
     asked = [np.array(q, float) for q in held["query"].to_pylist()]
     width = len(asked[0]) if asked else 0
     fit = [i for i, q in enumerate(asked) if len(q) == width and not np.isnan(q).any()]
     shipped = queries.sparkSession.sparkContext.broadcast((np.array([asked[i] for i in fit]).reshape(len(fit), width), held["qid"].take(pa.array(fit, pa.int64())).combine_chunks()))
-    rows = vectors.where(F.size("embedding") == width).select(*columns, F.col("embedding").cast("array<double>").alias("embedding"))
+    if hashed is None:
+        rows = vectors.where(F.size("embedding") == width).select(*columns, F.col("embedding").cast("array<double>").alias("embedding"))
+    else:
+        rows = vectors.where(F.size("embedding") > 0).select(*columns, "embedding")
+    tied = columns.index(tie)
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *rows.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, qids = shipped.value
         if not len(matrix):
             return
-        best, kept = np.full((k, len(matrix)), -np.inf), []
+        held, step = Held(k, len(matrix), 10.0**-DIGITS), max(1, CELLS // max(matrix.shape))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                flat = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
-                scores = flat.reshape(part.num_rows, width) @ matrix.T
-                both = np.concatenate([best, np.where(np.isnan(scores), -np.inf, scores)])
-                best = np.partition(both, len(both) - k, axis=0)[-k:]
-                i, q = np.nonzero(scores >= best.min(axis=0) - 10.0**-DIGITS)
-                kept.append((q, pa.record_batch([qids.take(pa.array(q)), *(c.take(pa.array(i)) for c in part.columns[:-1]), pa.array(scores[i, q])], names=schema.fieldNames())))
-        floor = best.min(axis=0) - 10.0**-DIGITS
-        for q, part in kept:
-            yield part.filter(pa.array(part.column(part.num_columns - 1).to_numpy() >= floor[q]))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = part.column(part.num_columns - 1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                if hashed is None:
+                    vectors_ = flat.reshape(part.num_rows, width)
+                else:
+                    row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                    vectors_ = np.bincount(row * hashed + flat, minlength=part.num_rows * hashed).reshape(part.num_rows, hashed).astype(float)
+                    vectors_ /= np.sqrt((vectors_ * vectors_).sum(axis=1, keepdims=True))
+                scores = vectors_ @ matrix.T
+                scores[np.isnan(scores)] = -np.inf
+                held.put(scores, part.select(columns), places(part.column(tied)))
+        for q, score, rows in held.found():
+            yield pa.record_batch([qids.take(pa.array(q)), *rows.columns, pa.array(score)], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
 
+def hash_bucket(token: Column, dimension: int) -> Column:
+    return (F.crc32(token.cast("binary")) % dimension).cast("int")
+
+
 def hash_embedding(chunks: DataFrame, text: Column, dimension: int = 768, id_col: str = "chunk_id") -> DataFrame:
     """Sparse long form (id, d, x): token counts by crc32 bucket, unit norm per row."""
-    buckets = chunks.select(F.col(id_col), F.explode(tokens(text)).alias("token")).select(id_col, (F.crc32(F.col("token").cast("binary")) % dimension).cast("int").alias("d"))
+    buckets = chunks.select(F.col(id_col), F.explode(tokens(text)).alias("token")).select(id_col, hash_bucket(F.col("token"), dimension).alias("d"))
     counts = buckets.groupBy(id_col, "d").agg(F.count(F.lit(1)).cast("double").alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
     return counts.select(id_col, "d", (F.col("c") / norm).alias("x"))
@@ -231,10 +261,14 @@ def hash_vectors(chunks: DataFrame, text: Column | str, dimension: int = 768, id
 
 
 def hash_dense_search(questions: DataFrame, chunks: DataFrame, text: Column, k: int = TOP_K, dimension: int = 768) -> DataFrame:
-    """Inner products of hashed embeddings; chunks that share no bucket with a question have no row. Top k are kept in the task (dense_search)."""
+    """Inner products of hashed embeddings; chunks that share no bucket with a question have no row.
+
+    A chunk's buckets stay with its row, and its vector is made where it is multiplied: of
+    the corpus nothing is exchanged but each task's top k (dense_search).
+    """
     asked = hash_vectors(questions, F.col("question"), dimension, "qid").withColumnRenamed("embedding", "query")
-    vectors = hash_vectors(chunks, text, dimension).join(chunks.select("chunk_id", "doc_id", "corpus_pos"), "chunk_id")
-    return dense_search(asked, vectors, k, tie="corpus_pos").where("score > 0")
+    buckets = F.transform(tokens(text), lambda t: hash_bucket(t, dimension))
+    return dense_search(asked, chunks.select("chunk_id", "doc_id", "corpus_pos", buckets.alias("embedding")), k, tie="corpus_pos", hashed=dimension).where("score > 0")
 
 
 def model_embedding(encode, dimension: int):

@@ -20,13 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens
-from lodestar.operators.retrieve import DIGITS, K1, TOP_K, B, idf, question_terms, top_k
+from lodestar.operators.held import CELLS, Held, places, runs
+from lodestar.operators.retrieve import DIGITS, K1, TOP_K, B, idf, mean_okapi_idf, okapi, question_terms, top_k
 from lodestar.sources.shared import fresh_folder, saved, ship
 
 #: distinct tokens of all questions that may go to the tasks at once; (question, token) rows in a block
 VOCABULARY, BLOCK_TERMS = 2_000_000, 1_000_000
-#: cells of a batch's score matrix
-CELLS = 1 << 21
+#: of a slice of a batch: products that are summed into its score matrix, tokens that are counted
+PRODUCTS, TOKENS = 1 << 20, 1 << 19
+#: tasks of the second pass for each core: what is exchanged grows with them
+TASKS = 4
 
 
 def _count(vocabulary, columns: list[str]):
@@ -34,97 +37,79 @@ def _count(vocabulary, columns: list[str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            dl = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            flat = lists.flatten().dictionary_encode()
-            code = np.array([known.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
-            token = code[flat.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(batch.num_rows), dl)
-            keep = token >= 0
-            both, tf = np.unique(row[keep] * (len(known) + 1) + token[keep], return_counts=True)
-            row, token = both // (len(known) + 1), both % (len(known) + 1)
-            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (token, tf)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(dl.astype(np.int32)), *lists], names=[*columns, "dl", "ids", "tfs"])
+        for whole in batches:
+            width = whole.column(whole.num_columns - 1).value_lengths().fill_null(0).to_numpy()
+            for at, n in runs(width, TOKENS, whole.num_rows):
+                batch = whole.slice(at, n)
+                lists = batch.column(batch.num_columns - 1)
+                dl = width[at : at + n].astype(np.int64)
+                flat = lists.flatten().dictionary_encode()
+                code = np.array([known.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+                token = code[flat.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(n), dl)
+                keep = token >= 0
+                both, tf = np.unique(row[keep] * (len(known) + 1) + token[keep], return_counts=True)
+                row, token = both // (len(known) + 1), both % (len(known) + 1)
+                offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (token, tf)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(dl.astype(np.int32)), *lists], names=[*columns, "dl", "ids", "tfs"])
 
     return run
 
 
-class _Best:
-    """The best k scores of each question so far, and the rows that may be among them."""
-
-    def __init__(self, k: int, questions: int) -> None:
-        self.best = np.full((k, questions), -np.inf)
-        self.kept: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
-        self.margin = 10.0**-DIGITS
-
-    def put(self, scores: np.ndarray, rows: pa.RecordBatch) -> None:
-        both = np.concatenate([self.best, scores])
-        self.best = np.partition(both, len(both) - len(self.best), axis=0)[-len(self.best) :]
-        i, q = np.nonzero((scores >= self.floor()) & (scores > -np.inf))
-        if len(i):
-            self.kept.append((q, scores[i, q], rows.take(pa.array(i))))
-
-    def floor(self) -> np.ndarray:
-        return self.best.min(axis=0) - self.margin
-
-    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-        floor = self.floor()
-        for q, score, rows in self.kept:
-            on = np.flatnonzero(score >= floor[q])
-            if len(on):
-                yield q[on], score[on], rows.take(pa.array(on))
-
-
 def _score(block, k: int, average: float, columns: list[str]):
     """Forward rows to the (qid, columns, score) that may be among a question's first k."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, first, question, weight, reports = block.value
         n = len(qids)
-        held = _Best(k, n)
+        if not n:
+            return
+        held, any_sign = Held(k, n, 10.0**-DIGITS), bool(len(weight)) and weight.min() <= 0
         asked_of = None if reports is None else np.array([-2 if r is None else i for i, r in enumerate(reports)])
         place = {} if reports is None else {r: [] for r in reports if r is not None}
         for i, r in enumerate(reports or ()):
             if r is not None:
                 place[r].append(i)
         for whole in batches:
-            step = max(1, CELLS // max(1, n))
-            for at in range(0, whole.num_rows, step):
-                rows = whole.slice(at, step)
+            width = whole.column(whole.num_columns - 2).value_lengths().to_numpy()
+            token = whole.column(whole.num_columns - 2).flatten().to_numpy()
+            cost = np.concatenate([[0], np.cumsum(first[token + 1] - first[token])])
+            ends = np.cumsum(width)
+            for at, count in runs(cost[ends] - cost[ends - width], PRODUCTS, max(1, CELLS // n)):
+                rows = whole.slice(at, count)
                 dl, ids, tfs = (rows.column(rows.num_columns - i) for i in (3, 2, 1))
-                if not n:
-                    continue
-                width = ids.value_lengths().to_numpy()
                 token, tf = ids.flatten().to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(float)
                 norm = K1 * (1 - B + B * dl.to_numpy() / average)
-                row = np.repeat(np.arange(rows.num_rows), width)
+                row = np.repeat(np.arange(count), width[at : at + count])
                 w = tf * (K1 + 1) / (tf + norm[row])
                 times = first[token + 1] - first[token]
                 inner = np.repeat(first[token] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                cell = np.repeat(row, times) * n + question[inner]
-                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=rows.num_rows * n).astype(float)
-                scores[scores == 0] = -np.inf  # weights are positive, so no token is shared
-                scores = scores.reshape(rows.num_rows, n)
+                cell = np.repeat(row * n, times) + question[inner]
+                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=count * n).astype(float)
+                # where all weights are positive, a zero is a pair without a shared token
+                scores[(np.bincount(cell, minlength=count * n) == 0) if any_sign else (scores == 0)] = -np.inf
+                scores = scores.reshape(count, n)
                 if asked_of is not None:
                     inside = np.broadcast_to(asked_of == -2, scores.shape).copy()
                     for i, doc in enumerate(rows.column("doc_id").to_pylist()):
                         inside[i, place.get(doc, [])] = True
                     scores[~inside] = -np.inf
-                held.put(scores, rows.select(columns))
-        for q, score, rows in held.rows():
+                rows = rows.select(columns)
+                held.put(scores, rows, places(rows.column("corpus_pos")))
+        for q, score, rows in held.found():
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), *rows.columns, pa.array(score)], names=["qid", *columns, "score"])
 
     return run
 
 
-def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: int = TOP_K, inside: bool = False) -> DataFrame | None:
+def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: int = TOP_K, inside: bool = False, variant: str = "plain") -> DataFrame | None:
     """Top k a question: qid, chunk_id, doc_id, corpus_pos, score, rank; None if the questions' vocabulary is too large.
 
     Chunks without a token of the question have no row. `inside` ranks, for questions with a
     report_id, only chunks whose doc_id it is. Scores are rounded before ranking, ties go by
-    corpus position.
+    corpus position. The okapi variant needs the mean over all of the corpus' tokens: their
+    document frequencies are summed in the tasks before they are exchanged.
     """
     spark, columns = chunks.sparkSession, ["chunk_id", "doc_id", "corpus_pos"]
     ship(spark)
@@ -140,12 +125,14 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: in
     forward = saved(forward, folder, "forward")
     n, average = forward.agg(F.count(F.lit(1)), F.avg("dl")).first()
     average = average or 1.0
-    frequencies = forward.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).select("id", "df", idf(F.lit(n), F.col("df")).alias("idf"))
+    weight = okapi(F.lit(n), F.col("df"), F.lit(mean_okapi_idf(chunks, text, n))) if variant == "okapi" else idf(F.lit(n), F.col("df"))
+    frequencies = forward.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).select("id", "df", weight.alias("idf"))
     ids = spark.createDataFrame(pa.table({"token": pa.array(vocabulary, pa.string()), "id": pa.array(range(len(vocabulary)), pa.int32())})) if vocabulary else spark.createDataFrame([], "token string, id int")
     weighted = terms.join(ids, "token").join(frequencies, "id").select("qid", "id", (F.col("qtf") * F.col("idf")).alias("tw"))
     weighted = saved(weighted, folder, "weights")
     blocks, parts = max(1, -(-weighted.count() // BLOCK_TERMS)), None
     scoped = questions.select("qid", "report_id") if inside else None
+    dealt = forward.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b
         some = weighted.where(mine).orderBy("id").toArrow()
@@ -161,6 +148,6 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: in
             reports = [of.get(q) for q in qids.to_pylist()]
         shipped = spark.sparkContext.broadcast((qids, first, order, some.column("tw").to_numpy() if len(some) else np.zeros(0), reports))
         kind = terms.schema["qid"].dataType.simpleString()
-        part = forward.mapInArrow(_score(shipped, k, float(average), columns), f"qid {kind}, {kinds}, score double")
+        part = dealt.mapInArrow(_score(shipped, k, float(average), columns), f"qid {kind}, {kinds}, score double")
         parts = part if parts is None else parts.unionByName(part)
     return top_k(parts.withColumn("score", F.round("score", DIGITS)), k, ["qid"], [F.col("score").desc(), F.col("corpus_pos")])
