@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions import rules
-from lodestar.functions.text import UNKNOWN, collapse_ws, keyword_ratio, normalize_ws, query_focus, query_terms, report_cues, sentences, share_of, text_or_empty, title_terms, tokens
+from lodestar.functions.text import UNKNOWN, collapse_ws, keyword_terms, normalize_ws, query_focus, query_terms, report_cues, sentences, share_of, terms_ratio, text_or_empty, title_terms, tokens
 
 
 def any_of(tests: Iterable[Column]) -> Column:
@@ -92,8 +92,9 @@ def has_tag(tags: Column, tag: str) -> Column:
     return F.coalesce(F.exists(tags, lambda t: F.lower(t) == tag.lower()), F.lit(False))
 
 
-def front_matter(section: Column, subsection: Column, text: Column, page_start: Column) -> Column:
-    upper, low = F.upper(text_or_empty(section)), F.lower(normalize_ws(text))
+def front_matter(section: Column, subsection: Column, text: Column, page_start: Column, plain: Column | None = None) -> Column:
+    """`plain` is the text normalised before, here and below."""
+    upper, low = F.upper(text_or_empty(section)), F.lower(normalize_ws(text) if plain is None else plain)
     early = (upper == UNKNOWN) & (F.upper(text_or_empty(subsection)) == UNKNOWN) & (F.coalesce(page_start, F.lit(999)) <= 6)
     return (upper == "FRONT_MATTER") | (early & (low.rlike(r"\.{3,}\s*\d{1,3}") | F.contains(low, F.lit("contents"))))
 
@@ -102,8 +103,10 @@ def references(section: Column) -> Column:
     return F.startswith(F.upper(text_or_empty(section)), F.lit("REFERENCES"))
 
 
-def modality_specific(tags: Column, section: Column, subsection: Column, text: Column, hints: tuple[str, ...] = rules.MODALITIES) -> Column:
-    hay = F.lower(normalize_ws(F.concat_ws(" ", text_or_empty(section), text_or_empty(subsection), text_or_empty(text))))
+def modality_specific(tags: Column, section: Column, subsection: Column, text: Column, hints: tuple[str, ...] = rules.MODALITIES, plain: Column | None = None) -> Column:
+    if plain is None:
+        plain = normalize_ws(text)
+    hay = F.lower(F.concat_ws(" ", *(F.when(c != "", c) for c in (normalize_ws(section), normalize_ws(subsection), plain))))
     return has_tag(tags, "modality_specific") | holds_any(hay, hints)
 
 
@@ -111,27 +114,37 @@ def recommendation_chunk(tags: Column, section: Column, subsection: Column) -> C
     return has_tag(tags, "recommendation") | F.contains(F.lower(F.concat_ws(" ", section, subsection)), F.lit("recommend"))
 
 
-def summary_like(section: Column, text: Column, heads: tuple[str, ...] = rules.SUMMARY_SECTIONS, phrases: tuple[str, ...] = rules.SUMMARY_PHRASES) -> Column:
+def summary_like(section: Column, text: Column, heads: tuple[str, ...] = rules.SUMMARY_SECTIONS, phrases: tuple[str, ...] = rules.SUMMARY_PHRASES, plain: Column | None = None) -> Column:
     upper = F.upper(normalize_ws(section))
-    return any_of(F.startswith(upper, F.lit(h)) for h in heads) | any_match(normalize_ws(text), [rf"\b{p}\b" for p in phrases])
+    return any_of(F.startswith(upper, F.lit(h)) for h in heads) | any_match(normalize_ws(text) if plain is None else plain, [rf"\b{p}\b" for p in phrases])
 
 
-def definition_cue(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES) -> Column:
-    return any_match(normalize_ws(text), [rf"\b{c}\b" for c in cues])
+def definition_cue(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES, plain: Column | None = None) -> Column:
+    return any_match(normalize_ws(text) if plain is None else plain, [rf"\b{c}\b" for c in cues])
+
+
+def cued_sentences(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES) -> Column:
+    """The sentences that hold a cue, lower-cased."""
+    return F.transform(F.filter(sentences(text), lambda s: any_match(s, [rf"\b{c}\b" for c in cues])), lambda s: F.lower(s))
+
+
+def holds_focus(cued: Column, focus: Column) -> Column:
+    return F.coalesce(F.exists(cued, lambda s: F.contains(s, focus)), F.lit(False))
 
 
 def focus_definition(text: Column, focus: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES) -> Column:
     """A single sentence holds both the focus and a cue."""
-    hit = F.exists(sentences(text), lambda s: F.contains(F.lower(s), focus) & any_match(s, [rf"\b{c}\b" for c in cues]))
-    return F.coalesce(hit, F.lit(False))
+    return holds_focus(cued_sentences(text, cues), focus)
 
 
 def report_match(query: Column, source: Column) -> Column:
     """Identifier overlap or conflict, then title words in common."""
-    asked, have = report_cues(query), report_cues(source)
+    return _report_match(report_cues(query), report_cues(source), title_terms(query), title_terms(source))
+
+
+def _report_match(asked: Column, have: Column, wanted: Column, named: Column) -> Column:
     shared = F.size(F.array_intersect(asked, have))
     cues = F.when(shared > 0, 0.46 + F.least(F.lit(0.10), shared * 0.03)).when((F.size(asked) > 0) & (F.size(have) > 0), -0.18).otherwise(0.0)
-    wanted, named = title_terms(query), title_terms(source)
     ratio = F.when(F.size(named) == 0, F.lit(0.0)).otherwise(share_of(wanted, named))
     return cues + F.when(ratio >= 0.45, F.least(F.lit(0.18), 0.08 + ratio * 0.15)).when(ratio >= 0.25, 0.05).otherwise(0.0)
 
@@ -145,31 +158,70 @@ RETRIEVAL_WEIGHTS = {"front": -0.18, "references": -0.12, "intro": 0.18, "micro"
 RERANK_WEIGHTS = {"front": -0.22, "references": -0.16, "intro": 0.24, "micro": 0.26, "cue": 0.16, "tag": 0.08, "focus": 0.08, "focus_sentence": 0.24, "modality": -0.30, "recommendation": -0.16, "summary": -0.24, "no_cue": -0.20, "long": -0.05, "long_tokens": 360, "front_definition": -0.12, "recommend_head": 0.18, "recommend_like": 0.08, "locator_ratio": 0.25, "locator": 0.12, "locator_known": 0.0, "versus": 0.0, "comparison_section": 0.0, "caption": -0.15}
 
 
-def _heuristic(query: Column, w: dict[str, float], caption_in_definitions: bool) -> Column:
+def question_facts(query: Column) -> dict[str, Column]:
+    """What the heuristic scores read of a question alone."""
+    return {"kind": query_type(query), "focus": query_focus(query), "asked_cues": report_cues(query), "asked_words": title_terms(query), "asked_keys": keyword_terms(query), "asks_reference": F.contains(F.lower(query), F.lit("reference"))}
+
+
+def chunk_facts(plain: Column | None = None) -> dict[str, Column]:
+    """What they read of a chunk alone, from its columns; `plain` is its normalised text if there is one already."""
     c = {name: F.col(name) for name in ("doc_id", "title", "source_path", "section", "subsection", "text", "tags", "chunk_kind", "page_start", "token_count")}
-    kind, focus, low = query_type(query), query_focus(query), F.lower(query)
     section, subsection, text = text_or_empty(c["section"]), text_or_empty(c["subsection"]), text_or_empty(c["text"])
-    intro = F.startswith(F.upper(section), F.lit("1. INTRODUCTION"))
-    front = front_matter(section, subsection, text, c["page_start"])
-    cue, sentence = definition_cue(text), focus_definition(text, focus)
-    like = recommendation_chunk(c["tags"], section, subsection)
-    caption = F.startswith(F.trim(text), F.lit("FIG.")) | F.startswith(F.trim(text), F.lit("TABLE "))
-    hay = F.lower(F.concat_ws(" ", section, subsection, text))
+    source = F.concat_ws(" ", c["doc_id"], c["title"], c["source_path"])
+    return {
+        "intro": F.startswith(F.upper(section), F.lit("1. INTRODUCTION")),
+        "micro": c["chunk_kind"] == "definition_microchunk",
+        "cue": definition_cue(text, plain=plain),
+        "tagged": has_tag(c["tags"], "definition"),
+        "modality": modality_specific(c["tags"], section, subsection, text, plain=plain),
+        "like": recommendation_chunk(c["tags"], section, subsection),
+        "summary": summary_like(section, text, plain=plain),
+        "tokens": F.coalesce(c["token_count"], F.lit(0)),
+        "front": front_matter(section, subsection, text, c["page_start"], plain),
+        "refs": references(section),
+        "caption": F.startswith(F.trim(text), F.lit("FIG.")) | F.startswith(F.trim(text), F.lit("TABLE ")),
+        "recommend_head": F.contains(F.lower(section), F.lit("recommend")) | F.contains(F.lower(subsection), F.lit("recommend")),
+        "head_keys": keyword_terms(F.concat_ws(" ", section, subsection)),
+        "known": section != UNKNOWN,
+        "versus": F.contains(F.lower(subsection), F.lit("vs")) | F.contains(F.lower(subsection), F.lit("versus")) | F.contains(F.lower(text), F.lit("compare")),
+        "compared": F.upper(section).rlike(r"^(4\. MEASUREMENT|5\. COMPUTATIONAL|6\. TECHNIQUES)"),
+        "have_cues": report_cues(source),
+        "have_words": title_terms(source),
+    }
+
+
+def focus_texts(plain: Column | None = None) -> dict[str, Column]:
+    """The two texts of a chunk that a question's focus is looked for in."""
+    text = text_or_empty("text")
+    return {"hay": F.lower(F.concat_ws(" ", text_or_empty("section"), text_or_empty("subsection"), text)), "cued": cued_sentences(text if plain is None else plain)}
+
+
+def focus_facts(hay: Column, cued: Column, focus: Column) -> dict[str, Column]:
+    """What they read of both: whether the chunk, and one of its sentences with a cue, holds the focus."""
+    return {"in_hay": F.coalesce(F.contains(hay, focus), F.lit(False)), "said": holds_focus(cued, focus)}
+
+
+def heuristic(f: dict[str, Column], w: dict[str, float], caption_in_definitions: bool) -> Column:
+    """The score from the facts of a question, a chunk and their focus."""
     definition = _sum([
-        (intro, w["intro"]), (c["chunk_kind"] == "definition_microchunk", w["micro"]), (cue, w["cue"]), (has_tag(c["tags"], "definition"), w["tag"]),
-        (F.coalesce(F.contains(hay, focus), F.lit(False)), w["focus"]), (sentence, w["focus_sentence"]),
-        (modality_specific(c["tags"], section, subsection, text) & ~sentence, w["modality"]), (like & ~sentence & ~intro, w["recommendation"]),
-        (summary_like(section, text) & ~sentence & ~cue, w["summary"]), (~intro & ~cue, w["no_cue"]), (F.coalesce(c["token_count"], F.lit(0)) > w["long_tokens"], w["long"]),
-        (front, w["front_definition"]), (caption if caption_in_definitions else F.lit(False), w["caption"]),
+        (f["intro"], w["intro"]), (f["micro"], w["micro"]), (f["cue"], w["cue"]), (f["tagged"], w["tag"]),
+        (f["in_hay"], w["focus"]), (f["said"], w["focus_sentence"]),
+        (f["modality"] & ~f["said"], w["modality"]), (f["like"] & ~f["said"] & ~f["intro"], w["recommendation"]),
+        (f["summary"] & ~f["said"] & ~f["cue"], w["summary"]), (~f["intro"] & ~f["cue"], w["no_cue"]), (f["tokens"] > w["long_tokens"], w["long"]),
+        (f["front"], w["front_definition"]), (f["caption"] if caption_in_definitions else F.lit(False), w["caption"]),
     ])
-    recommendation = _sum([(F.contains(F.lower(section), F.lit("recommend")) | F.contains(F.lower(subsection), F.lit("recommend")), w["recommend_head"]), (like, w["recommend_like"])])
-    locator = _sum([(keyword_ratio(query, F.concat_ws(" ", section, subsection)) > w["locator_ratio"], w["locator"]), (section != UNKNOWN, w["locator_known"])])
-    versus = F.contains(F.lower(subsection), F.lit("vs")) | F.contains(F.lower(subsection), F.lit("versus")) | F.contains(F.lower(text), F.lit("compare"))
-    compared = F.upper(section).rlike(r"^(4\. MEASUREMENT|5\. COMPUTATIONAL|6\. TECHNIQUES)")
-    comparison = _sum([(versus, w["versus"]), (compared, w["comparison_section"])])
-    always = _sum([(front, w["front"]), (references(section) & ~F.contains(low, F.lit("reference")), w["references"]), (F.lit(False) if caption_in_definitions else caption, w["caption"])])
+    recommendation = _sum([(f["recommend_head"], w["recommend_head"]), (f["like"], w["recommend_like"])])
+    locator = _sum([(terms_ratio(f["asked_keys"], f["head_keys"]) > w["locator_ratio"], w["locator"]), (f["known"], w["locator_known"])])
+    comparison = _sum([(f["versus"], w["versus"]), (f["compared"], w["comparison_section"])])
+    always = _sum([(f["front"], w["front"]), (f["refs"] & ~f["asks_reference"], w["references"]), (F.lit(False) if caption_in_definitions else f["caption"], w["caption"])])
+    kind = f["kind"]
     by_kind = F.when(kind == "definition", definition).when(kind == "recommendation", recommendation).when(kind == "section_locator", locator).when(kind == "comparison", comparison).otherwise(0.0)
-    return report_match(query, F.concat_ws(" ", c["doc_id"], c["title"], c["source_path"])) + always + by_kind
+    return _report_match(f["asked_cues"], f["have_cues"], f["asked_words"], f["have_words"]) + always + by_kind
+
+
+def _heuristic(query: Column, w: dict[str, float], caption_in_definitions: bool) -> Column:
+    asked, texts = question_facts(query), focus_texts()
+    return heuristic(asked | chunk_facts() | focus_facts(texts["hay"], texts["cued"], asked["focus"]), w, caption_in_definitions)
 
 
 def chunk_bonus(query: Column) -> Column:

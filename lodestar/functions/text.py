@@ -142,10 +142,17 @@ def share_of(wanted: Column, have: Column) -> Column:
     return F.size(F.array_intersect(wanted, have)) / F.greatest(F.size(wanted), F.lit(1))
 
 
+def keyword_terms(c: Column | str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-zA-Z]{3,}"), F.lit(0)))
+
+
+def terms_ratio(wanted: Column, have: Column) -> Column:
+    """Share of the wanted terms; 0 if either has none."""
+    return F.when((F.size(wanted) == 0) | (F.size(have) == 0), F.lit(0.0)).otherwise(share_of(wanted, have))
+
+
 def keyword_ratio(query: Column, text: Column) -> Column:
-    terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-zA-Z]{3,}"), F.lit(0)))
-    q, t = terms(query), terms(text)
-    return F.when((F.size(q) == 0) | (F.size(t) == 0), F.lit(0.0)).otherwise(share_of(q, t))
+    return terms_ratio(keyword_terms(query), keyword_terms(text))
 
 
 def strings(values: list[str] | tuple[str, ...]) -> Column:

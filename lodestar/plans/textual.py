@@ -317,12 +317,12 @@ SELECT q.qid, f.chunk_id, {_hb_score(pr.RETRIEVAL_WEIGHTS, False)} AS bonus, {_h
 @R.query("hb_bonuses", HB_SQL)
 def hb_bonuses(spark: SparkSession, sf: str) -> DataFrame:
     """Both heuristic scores of every question and its lexical candidates."""
+    from lodestar.operators.rerank import heuristic_scores
     from lodestar.operators.retrieve import bm25_search
 
     questions = asked(spark, sf).where("question <> ''").select("qid", "question")
     hits = bm25_search(questions, adapters.document_chunks(documents(spark, sf)), F.col("text")).select("qid", "chunk_id")
-    rows = rule_chunks_of(spark, sf).join(hits, "chunk_id").join(questions, "qid")
-    return rows.select("qid", "chunk_id", F.round(pr.chunk_bonus(F.col("question")), 6).alias("bonus"), F.round(pr.rerank_adjustment(F.col("question")), 6).alias("adjustment"))
+    return heuristic_scores(hits, questions, rule_chunks_of(spark, sf))
 
 
 @R.query("prd_front_matter", f"WITH {CHUNKS} SELECT chunk_id, upper(section) = 'FRONT_MATTER' OR (page_start <= 6 AND upper(section) = 'UNKNOWN' AND contains(lower(text), 'contents')) AS front, starts_with(upper(section), 'REFERENCES') AS refs, {any_match('text', [chr(92) + 'b' + c + chr(92) + 'b' for c in rules.DEFINITION_CUES])} AS cue FROM chunks")
