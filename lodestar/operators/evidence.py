@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.predicates import asset_query, out_of_scope
 from lodestar.functions.text import citation, page_range, query_terms, report_cues, requested_page, share_of, title_terms, token_set, tokens
-from lodestar.operators.retrieve import top_k
+from lodestar.operators.retrieve import small, top_k
 from lodestar.sources.shared import fresh_folder, saved
 
 THRESHOLD = 0.30
@@ -62,12 +62,14 @@ def most_shared(asked: DataFrame, have: DataFrame, inside: list[str]) -> DataFra
     def counted(some: DataFrame) -> DataFrame:
         """Pairs that meet on some tokens, with the number of all tokens they share."""
         pairs = some.select("qid", *inside, "token").join(have, [*inside, "token"]).select("qid", *inside, "id").distinct()
-        return pairs.join(terms.select("qid", *inside, "token"), ["qid", *inside]).join(have, [*inside, "id", "token"]).groupBy("qid", *inside, "id").agg(F.count(F.lit(1)).alias("n"))
+        # a question's pairs aren't dealt to one task
+        return pairs.join(small(terms.select("qid", *inside, "token")), ["qid", *inside]).join(have, [*inside, "id", "token"]).groupBy("qid", *inside, "id").agg(F.count(F.lit(1)).alias("n"))
 
     reach = counted(terms.where("at = 1")).groupBy("qid", *inside).agg(F.max("n").alias("m"))
     needed = terms.join(reach, ["qid", *inside]).where("at <= t - m + 1")
-    found = counted(needed)
-    return found.withColumn("most", F.max("n").over(Window.partitionBy("qid"))).where("n = most").select("qid", "id", "n")
+    found = saved(counted(needed), folder, "found")
+    most = found.groupBy("qid").agg(F.max("n").alias("n"))
+    return found.join(small(most), ["qid", "n"]).select("qid", "id", "n")
 
 
 def infer_document(questions: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
