@@ -11,6 +11,8 @@ import pyarrow as pa
 CELLS = 1 << 20
 #: entries of question, row and score beyond twice k a question, at which a task drops those that can't be among the first
 SLACK = 1 << 18
+#: rows that a task holds besides those with entries, at which it lets go of the ones without
+SPARE_ROWS = 1 << 14
 #: rows of a result batch
 OUT_ROWS = 1 << 16
 
@@ -20,7 +22,8 @@ class Held:
 
     Rounding moves a score by less than `margin`, so of two scores further apart the higher
     one stays first, and of equal ones the earlier position does. An entry goes once k others
-    are before it for certain; so copies of a row don't pile up either.
+    are before it for certain; so copies of a row don't pile up either. A row goes once it
+    has no entry left, so what is held is bounded by k and the questions, not by the rows put.
     """
 
     def __init__(self, k: int, questions: int, margin: float) -> None:
@@ -29,7 +32,7 @@ class Held:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows: list[pa.RecordBatch] = []
         self.place: list[np.ndarray] = []
-        self.limit = 2 * k * questions + SLACK
+        self.limit, self.spare = 2 * k * questions + SLACK, SPARE_ROWS
 
     def put(self, scores: np.ndarray, rows: pa.RecordBatch, place: np.ndarray) -> None:
         """Scores of (rows, questions), -inf for none; `place` (see places) is what decides ties."""
@@ -45,6 +48,22 @@ class Held:
         self.rows.append(rows.take(pa.array(np.arange(rows.num_rows))))
         self.place.append(np.array(place))
         self.n_rows += rows.num_rows
+        if self.n_rows > self.spare:
+            self._compact()
+
+    def _compact(self) -> None:
+        """Rows without an entry go, the others are numbered anew."""
+        place = np.concatenate(self.place)
+        if self.parts:
+            self._drop(place)
+            q, row, score = self.parts[0]
+            used, row = np.unique(row, return_inverse=True)
+            self.parts = [(q, row.astype(np.int32), score)]
+        else:
+            used = np.zeros(0, np.int64)
+        self.rows = [pa.Table.from_batches(self.rows).take(pa.array(used)).combine_chunks().to_batches()[0]] if len(used) else []
+        self.place, self.n_rows = ([place[used]] if len(used) else []), len(used)
+        self.spare = SPARE_ROWS + 2 * self.n_rows
 
     def _drop(self, place: np.ndarray) -> None:
         q, row, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
