@@ -13,6 +13,7 @@ from lodestar.plans.registry import Registry, table
 from lodestar.plans.retrieval import RERANK, candidates_of, questions_of, reranked_of, sparse_of
 from lodestar.plans.sql import BM25, RERANK_HEAD, tok
 from lodestar.plans.textual import NUMBERS, each_with_item
+from lodestar.sources.shared import fresh_folder, saved
 
 R = Registry()
 RUN = 8
@@ -50,7 +51,8 @@ def ev_strategies(spark: SparkSession, sf: str) -> DataFrame:
     from lodestar.plans.retrieval import hybrid_of
 
     gold, asked = gold_of(spark, sf), questions_of(spark, sf)
-    runs = {"sparse": sparse_of(spark, sf), "hybrid": hybrid_of(spark, sf).withColumnRenamed("retrieval_rank", "rank")}
+    sparse = saved(sparse_of(spark, sf), fresh_folder(spark, "strategies"), "sparse")
+    runs = {"sparse": sparse, "hybrid": hybrid_of(spark, sf, sparse).withColumnRenamed("retrieval_rank", "rank")}
     parts = [el.hit_at_k(run, gold, asked, (5,)).withColumn("strategy", F.lit(name)) for name, run in runs.items()]
     return el.summarize(parts[0].unionByName(parts[1]), "hit_at_5", "rr", by=["strategy"])
 

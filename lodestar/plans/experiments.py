@@ -19,9 +19,10 @@ from lodestar.plans.contracts import BASE, evidence_of, near_of
 from lodestar.plans.corpus import NAV, navigator_of
 from lodestar.plans.evaluation import GOLD, WILSON, gold_of
 from lodestar.plans.registry import Registry, firms, people, table
-from lodestar.plans.retrieval import HAY, LEXICAL, RERANK, TERMS, chunks_of, hybrid_of, questions_of, reranked_of, sparse_of
+from lodestar.plans.retrieval import HAY, LEXICAL, RERANK, TERMS, chunks_of, hit_chunks, hybrid_of, questions_of, reranked_of, sparse_of
 from lodestar.plans.sql import CHUNKS, HYBRID, tok, tokset
 from lodestar.plans.textual import ASKED, KEYS, SCENE, TABLE
+from lodestar.sources.shared import fresh_folder, saved
 
 R = Registry()
 
@@ -77,12 +78,15 @@ def st_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
 # --- ablation -------------------------------------------------------------------
 
 
-def ablation_candidates_of(spark: SparkSession, sf: str) -> DataFrame:
+def ablation_candidates_of(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """Both backends share one search, which is saved in a folder with their hits."""
     asked = questions_of(spark, sf)
     n = asked.count()
-    hits = {"sparse": rt.sparse_only(sparse_of(spark, sf)), "hybrid": hybrid_of(spark, sf)}
-    both = [df.select("qid", "chunk_id", "final_retrieval_score", "retrieval_rank", F.lit(kind).alias("backend")) for kind, df in hits.items()]
-    return chunks_of(spark, sf).join(rt.sized(both[0].unionByName(both[1]), 2 * n * rt.FUSED_K), "chunk_id").join(rt.sized(asked, n), "qid")
+    sparse = saved(sparse_of(spark, sf), folder, "sparse")
+    lists = {"sparse": rt.sparse_only(sparse), "hybrid": hybrid_of(spark, sf, sparse)}
+    both = [df.select("qid", "chunk_id", "final_retrieval_score", "retrieval_rank", F.lit(kind).alias("backend")) for kind, df in lists.items()]
+    hits, most = saved(both[0].unionByName(both[1]), folder, "hits"), 2 * n * rt.FUSED_K
+    return hit_chunks(spark, sf, hits, most).join(rt.sized(hits, most), "chunk_id").join(rt.sized(asked, n), "qid")
 
 
 PLAN = "(VALUES " + ", ".join(f"('{name}', '{backend}', {str(model).upper()})" for name, (backend, model, _) in ex.VARIANTS.items()) + ") AS plan(variant, backend, by_model)"
@@ -102,7 +106,10 @@ runs AS (SELECT variant, qid, chunk_id, doc_id, {OVERLAP}, row_number() OVER (PA
 def ev_ablation(spark: SparkSession, sf: str) -> DataFrame:
     """All six variants in one plan; shared keywords stand in for a neural model, and no benchmark text meets a report rule."""
     routes = routing.select_strategy(routing.with_scene(questions_of(spark, sf)), True)
-    found = ex.ablation_evidence(ablation_candidates_of(spark, sf), routes, tx.keyword_ratio(F.col("question"), F.col("text")), chunk_bonus(F.col("question")), rerank_adjustment(F.col("question")))
+    folder = fresh_folder(spark, "ablation")
+    candidates = saved(ablation_candidates_of(spark, sf, folder), folder, "candidates")
+    found = ex.ablation_evidence(candidates, routes, tx.keyword_ratio(F.col("question"), F.col("text")), chunk_bonus(F.col("question")), rerank_adjustment(F.col("question")))
+    found = saved(found, folder, "evidence")
     each = F.explode(F.array(*map(F.lit, ex.VARIANTS))).alias("variant")
     key = F.struct("variant", "qid").alias("qid")
     questions = questions_of(spark, sf).select("*", each)
