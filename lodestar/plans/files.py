@@ -89,7 +89,7 @@ def src_jsonl_strict(spark: SparkSession, sf: str) -> DataFrame:
 def src_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as CSV, whose texts hold commas, quotes and line breaks, read back split by split."""
     path = f"{shared.fresh_folder(spark, 'csv')}/csv"
-    table(spark, sf, "documents").select("doc_id", "source", "text").write.csv(path, header=True, escape='"')
+    table(spark, sf, "documents").select("doc_id", "source", "text").write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = splits.read_csv_split(spark, path, ["doc_id", "text"])
     return rows.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"), F.char_length("text").alias("n_chars"))
 

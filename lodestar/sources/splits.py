@@ -10,6 +10,7 @@ MB, so their table is broadcast, up to SPLITS of them.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -199,15 +200,17 @@ def read_csv_split(spark: SparkSession, path: str, required: list[str] | None =
     """CSV with a header in each file, quoted line breaks and a byte-order mark allowed, read by as many tasks as the file has splits.
 
     Columns are strings, named by the first file's header; missing `required` ones raise.
-    Blank lines are no records. place=True adds file, block and at, by which records are in order.
+    An empty field is null, unless it is quoted. Blank lines are no records. place=True adds
+    file, block and at, by which records are in order.
     """
     records = csv_records(spark, path, comma, **options)
-    records = records.withColumn("text", F.regexp_replace(F.regexp_replace("text", "\r$", ""), "^﻿", ""))
+    records = records.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\r\z", ""), "^﻿", ""))
     is_header = (F.col("block") == 0) & (F.col("at") == 0)
     first = records.where(is_header).orderBy("file").select("text").first()
     if first is None:
         raise ValueError(f"no header at {path}")
-    how = {"escape": '"', "sep": comma, "mode": "PERMISSIVE", "multiLine": "true", "maxCharsPerColumn": "-1"}
+    # Spark takes quoted empty fields as null too if that is what null is; no file has a value that is drawn now
+    how = {"escape": '"', "sep": comma, "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\n", "maxCharsPerColumn": "-1", "nullValue": uuid.uuid4().hex}
     n = len(spark.range(1).select(F.schema_of_csv(F.lit(first.text or ""), {"escape": '"', "sep": comma}).alias("s")).first().s.split(", "))
     plain = ", ".join(f"_c{i} string" for i in range(n))
     header = spark.range(1).select(F.from_csv(F.lit(first.text), plain, how).alias("r")).first().r
