@@ -6,6 +6,7 @@ of small bonuses are plain sums of CASE terms, so Catalyst folds what is constan
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions import rules
-from lodestar.functions.text import UNKNOWN, collapse_ws, keyword_terms, normalize_ws, query_focus, query_terms, report_cues, sentences, share_of, terms_ratio, text_or_empty, title_terms, tokens
+from lodestar.functions.text import UNKNOWN, collapse_ws, keyword_terms, normalize_ws, plain_sentences, query_focus, query_terms, report_cues, share_of, terms_ratio, text_or_empty, title_terms, tokens
 
 
 def any_of(tests: Iterable[Column]) -> Column:
@@ -26,6 +27,13 @@ def any_match(c: Column, patterns: Iterable[str]) -> Column:
     return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def any_phrase(c: Column, phrases: Iterable[str]) -> Column:
+    """Case-insensitive match of any phrase between word edges. Plain words are first looked for as they are, which is far cheaper than a pattern."""
+    phrases = tuple(phrases)
+    found = any_match(c, [rf"\b{p}\b" for p in phrases])
+    return holds_any(F.lower(c), phrases) & found if all(re.fullmatch("[a-z ]+", p) for p in phrases) else found
+
+
 def holds_any(c: Column, terms: Iterable[str]) -> Column:
     return any_of(F.contains(c, F.lit(t)) for t in terms)
 
@@ -116,16 +124,19 @@ def recommendation_chunk(tags: Column, section: Column, subsection: Column) -> C
 
 def summary_like(section: Column, text: Column, heads: tuple[str, ...] = rules.SUMMARY_SECTIONS, phrases: tuple[str, ...] = rules.SUMMARY_PHRASES, plain: Column | None = None) -> Column:
     upper = F.upper(normalize_ws(section))
-    return any_of(F.startswith(upper, F.lit(h)) for h in heads) | any_match(normalize_ws(text) if plain is None else plain, [rf"\b{p}\b" for p in phrases])
+    return any_of(F.startswith(upper, F.lit(h)) for h in heads) | any_phrase(normalize_ws(text) if plain is None else plain, phrases)
 
 
 def definition_cue(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES, plain: Column | None = None) -> Column:
-    return any_match(normalize_ws(text) if plain is None else plain, [rf"\b{c}\b" for c in cues])
+    return any_phrase(normalize_ws(text) if plain is None else plain, cues)
 
 
-def cued_sentences(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES) -> Column:
-    """The sentences that hold a cue, lower-cased."""
-    return F.transform(F.filter(sentences(text), lambda s: any_match(s, [rf"\b{c}\b" for c in cues])), lambda s: F.lower(s))
+def cued_sentences(text: Column, cues: tuple[str, ...] = rules.DEFINITION_CUES, plain: Column | None = None) -> Column:
+    """The sentences that hold a cue, lower-cased; a text without a cue isn't cut into sentences."""
+    if plain is None:
+        plain = normalize_ws(text)
+    found = F.transform(F.filter(plain_sentences(plain), lambda s: any_match(s, [rf"\b{c}\b" for c in cues])), lambda s: F.lower(s))
+    return F.when(definition_cue(text, cues, plain), found).otherwise(F.array().cast("array<string>"))
 
 
 def holds_focus(cued: Column, focus: Column) -> Column:
@@ -193,7 +204,7 @@ def chunk_facts(plain: Column | None = None) -> dict[str, Column]:
 def focus_texts(plain: Column | None = None) -> dict[str, Column]:
     """The two texts of a chunk that a question's focus is looked for in."""
     text = text_or_empty("text")
-    return {"hay": F.lower(F.concat_ws(" ", text_or_empty("section"), text_or_empty("subsection"), text)), "cued": cued_sentences(text if plain is None else plain)}
+    return {"hay": F.lower(F.concat_ws(" ", text_or_empty("section"), text_or_empty("subsection"), text)), "cued": cued_sentences(text, plain=plain)}
 
 
 def focus_facts(hay: Column, cued: Column, focus: Column) -> dict[str, Column]:

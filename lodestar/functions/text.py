@@ -50,7 +50,12 @@ def token_set(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Pieces between a sentence end and a capital, digit, quote or bracket."""
-    pieces = F.transform(F.split(normalize_ws(c), SENTENCE_END), lambda s: F.trim(s))  # trim itself takes the index as what to trim
+    return plain_sentences(normalize_ws(c))
+
+
+def plain_sentences(plain: Column) -> Column:
+    """The same of a text that is normalised already."""
+    pieces = F.transform(F.split(plain, SENTENCE_END), lambda s: F.trim(s))  # trim itself takes the index as what to trim
     return F.filter(pieces, lambda s: s != "")
 
 

@@ -13,6 +13,8 @@ CELLS = 1 << 20
 SLACK = 1 << 18
 #: rows that a task holds besides those with entries, at which it lets go of the ones without
 SPARE_ROWS = 1 << 14
+#: steps that a range of scores is cut into to compare them roughly
+STEPS = 1 << 40
 #: rows of a result batch
 OUT_ROWS = 1 << 16
 
@@ -24,10 +26,11 @@ class Held:
     one stays first, and of equal ones the earlier position does. An entry goes once k others
     are before it for certain; so copies of a row don't pile up either. A row goes once it
     has no entry left, so what is held is bounded by k and the questions, not by the rows put.
+    Scores that aren't above `least` are none.
     """
 
-    def __init__(self, k: int, questions: int, margin: float) -> None:
-        self.k, self.margin, self.n_rows, self.n = k, margin, 0, 0
+    def __init__(self, k: int, questions: int, margin: float, least: float = -np.inf) -> None:
+        self.k, self.margin, self.least, self.n_rows, self.n = k, margin, least, 0, 0
         self.floor = np.full(questions, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows: list[pa.RecordBatch] = []
@@ -38,12 +41,17 @@ class Held:
         """Scores of (rows, questions), -inf for none; `place` (see places) is what decides ties."""
         for at in range(0, len(scores), step := max(1, self.limit // max(1, scores.shape[1]))):
             part = scores[at : at + step]
-            i, q = np.nonzero((part >= self.floor - self.margin) & (part > -np.inf))
+            i, q = np.divmod(np.flatnonzero(part >= self.floor - self.margin), part.shape[1])
+            score = part[i, q]
+            if not (there := score > self.least).all():
+                i, q, score = i[there], q[there], score[there]
             if len(i):
-                self.parts.append((q.astype(np.int32), (i + at + self.n_rows).astype(np.int32), part[i, q]))
+                self.parts.append((q.astype(np.int32), (i + at + self.n_rows).astype(np.int32), score))
                 self.n += len(i)
             if self.n > self.limit:
-                self._drop(np.concatenate([*self.place, place]))
+                self._thin()
+                if self.n > self.limit * 3 // 4:
+                    self._drop(np.concatenate([*self.place, place]))
         # a copy: a slice would keep the whole batch in memory
         self.rows.append(rows.take(pa.array(np.arange(rows.num_rows))))
         self.place.append(np.array(place))
@@ -65,6 +73,24 @@ class Held:
         self.place, self.n_rows = ([place[used]] if len(used) else []), len(used)
         self.spare = SPARE_ROWS + 2 * self.n_rows
 
+    def _thin(self) -> None:
+        """Entries well below the k-th of their question go, by scores as 40-bit steps: one plain sort, but equal scores all stay."""
+        q, row, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        low, width = score.min(), np.ptp(score)
+        steps = ((score - low) * (STEPS / width)).astype(np.int64) if width > 0 else np.zeros(len(q), np.int64)
+        keys = np.sort((q.astype(np.int64) << 41) | steps)
+        ends = np.searchsorted(keys, np.arange(1, len(self.floor) + 1, dtype=np.int64) << 41)
+        full = np.diff(ends, prepend=0) >= self.k
+        kth = np.zeros(len(self.floor), np.int64)
+        kth[full] = keys[ends[full] - self.k] & ((1 << 41) - 1)
+        if width > 0:
+            # steps are rounded, so two of them are left as room
+            self.floor[full] = np.maximum(self.floor[full], low + (kth[full] - 2) * (width / STEPS))
+            kth -= int(np.ceil(self.margin * (STEPS / width))) + 2
+        stays = steps >= kth[q]
+        self.parts = [(q[stays], row[stays], score[stays])]
+        self.n = int(stays.sum())
+
     def _drop(self, place: np.ndarray) -> None:
         q, row, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.lexsort((place[row], -score, q))

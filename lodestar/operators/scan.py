@@ -4,7 +4,8 @@ Joining postings with questions makes a row of nearly every pair, as most chunks
 common word with a question. Here the corpus is tokenised once into a forward table (a row a
 chunk: its length and the counts of the questions' tokens); document frequencies and the
 mean length are sums over it; and a second pass multiplies each batch of chunks with the
-questions' weights and keeps k chunks a question and task. No pair becomes a row before
+questions' weights (those of the few tokens that many pairs share by a matrix product, the
+others one by one) and keeps k chunks a question and task. No pair becomes a row before
 that, and what is exchanged grows with tasks and questions, not with their product with the
 corpus. Questions go to the tasks in blocks of a bounded size; beyond a vocabulary of
 VOCABULARY tokens postings are joined instead.
@@ -28,6 +29,8 @@ from lodestar.sources.shared import fresh_folder, saved, ship
 VOCABULARY, BLOCK_TERMS = 2_000_000, 1_000_000
 #: of a slice of a batch: products that are summed into its score matrix, tokens that are counted
 PRODUCTS, TOKENS = 1 << 20, 1 << 19
+#: tokens of a block that are left to a matrix product, at most; cells of their matrix; the share of pairs from which that is cheaper
+COMMON, COMMON_CELLS, DENSE = 160, 1 << 23, 1 / 250
 #: tasks of the second pass for each core: what is exchanged grows with them
 TASKS = 4
 
@@ -61,11 +64,18 @@ def _score(block, k: int, average: float, columns: list[str]):
     """Forward rows to the (qid, columns, score) that may be among a question's first k."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, first, question, weight, reports = block.value
+        qids, first, question, weight, common, reports = block.value
         n = len(qids)
         if not n:
             return
-        held, any_sign = Held(k, n, 10.0**-DIGITS), bool(len(weight)) and weight.min() <= 0
+        # where all weights are positive, a zero is a pair without a shared token
+        any_sign = bool(len(weight)) and weight.min() <= 0
+        held, times = Held(k, n, 10.0**-DIGITS, -np.inf if any_sign else 0.0), np.diff(first)
+        slot, matrix = np.full(len(times), -1, np.int32), np.zeros((0 if any_sign else len(common), n))
+        for i in range(len(matrix)):
+            of = slice(first[common[i]], first[common[i] + 1])
+            matrix[i, question[of]] = weight[of]
+            slot[common[i]], times[common[i]] = i, 0
         asked_of = None if reports is None else np.array([-2 if r is None else i for i, r in enumerate(reports)])
         place = {} if reports is None else {r: [] for r in reports if r is not None}
         for i, r in enumerate(reports or ()):
@@ -74,7 +84,7 @@ def _score(block, k: int, average: float, columns: list[str]):
         for whole in batches:
             width = whole.column(whole.num_columns - 2).value_lengths().to_numpy()
             token = whole.column(whole.num_columns - 2).flatten().to_numpy()
-            cost = np.concatenate([[0], np.cumsum(first[token + 1] - first[token])])
+            cost = np.concatenate([[0], np.cumsum(times[token])])
             ends = np.cumsum(width)
             for at, count in runs(cost[ends] - cost[ends - width], PRODUCTS, max(1, CELLS // n)):
                 rows = whole.slice(at, count)
@@ -83,13 +93,16 @@ def _score(block, k: int, average: float, columns: list[str]):
                 norm = K1 * (1 - B + B * dl.to_numpy() / average)
                 row = np.repeat(np.arange(count), width[at : at + count])
                 w = tf * (K1 + 1) / (tf + norm[row])
-                times = first[token + 1] - first[token]
-                inner = np.repeat(first[token] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                cell = np.repeat(row * n, times) + question[inner]
-                scores = np.bincount(cell, np.repeat(w, times) * weight[inner], minlength=count * n).astype(float)
-                # where all weights are positive, a zero is a pair without a shared token
-                scores[(np.bincount(cell, minlength=count * n) == 0) if any_sign else (scores == 0)] = -np.inf
-                scores = scores.reshape(count, n)
+                shared, left = np.flatnonzero(slot[token] >= 0), np.zeros((count, len(matrix)))
+                left[row[shared], slot[token[shared]]] = w[shared]
+                scores = left @ matrix
+                some = np.flatnonzero(times[token])
+                of, many = token[some], times[token[some]]
+                inner = np.repeat(first[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = np.repeat(row[some] * n, many) + question[inner]
+                np.add.at(scores.reshape(-1), cell, np.repeat(w[some], many) * weight[inner])
+                if any_sign:
+                    scores[(np.bincount(cell, minlength=count * n) == 0).reshape(count, n)] = -np.inf
                 if asked_of is not None:
                     inside = np.broadcast_to(asked_of == -2, scores.shape).copy()
                     for i, doc in enumerate(rows.column("doc_id").to_pylist()):
@@ -128,7 +141,7 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: in
     weight = okapi(F.lit(n), F.col("df"), F.lit(mean_okapi_idf(chunks, text, n))) if variant == "okapi" else idf(F.lit(n), F.col("df"))
     frequencies = forward.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).select("id", "df", weight.alias("idf"))
     ids = spark.createDataFrame(pa.table({"token": pa.array(vocabulary, pa.string()), "id": pa.array(range(len(vocabulary)), pa.int32())})) if vocabulary else spark.createDataFrame([], "token string, id int")
-    weighted = terms.join(ids, "token").join(frequencies, "id").select("qid", "id", (F.col("qtf") * F.col("idf")).alias("tw"))
+    weighted = terms.join(ids, "token").join(frequencies, "id").select("qid", "id", "df", (F.col("qtf") * F.col("idf")).alias("tw"))
     weighted = saved(weighted, folder, "weights")
     blocks, parts = max(1, -(-weighted.count() // BLOCK_TERMS)), None
     scoped = questions.select("qid", "report_id") if inside else None
@@ -142,11 +155,17 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, text: Column | str, k: in
         qids = qids if code is None else code.dictionary
         token = some.column("id").to_numpy() if len(some) else np.zeros(0, np.int64)
         first = np.searchsorted(token, np.arange(len(vocabulary) + 1))
+        # how many pairs share a token of the block
+        pairs = np.zeros(len(vocabulary))
+        pairs[token] = some.column("df").to_numpy() if len(some) else 0
+        pairs *= np.diff(first)
+        most = np.argsort(-pairs, kind="stable")[: min(COMMON, COMMON_CELLS // max(1, len(qids)))]
+        common = most[pairs[most] > DENSE * n * len(qids)]
         reports = None
         if scoped is not None:
             of = dict(zip(*(c.to_pylist() for c in scoped.where(mine).toArrow().columns), strict=True))
             reports = [of.get(q) for q in qids.to_pylist()]
-        shipped = spark.sparkContext.broadcast((qids, first, order, some.column("tw").to_numpy() if len(some) else np.zeros(0), reports))
+        shipped = spark.sparkContext.broadcast((qids, first, order, some.column("tw").to_numpy() if len(some) else np.zeros(0), common, reports))
         kind = terms.schema["qid"].dataType.simpleString()
         part = dealt.mapInArrow(_score(shipped, k, float(average), columns), f"qid {kind}, {kinds}, score double")
         parts = part if parts is None else parts.unionByName(part)
